@@ -42,7 +42,8 @@ def rate_by(
     )
 
 
-def overall_rate(df: DataFrame, flag: str = "absent") -> Column:
+def overall_rate(flag: str = "absent") -> Column:
+    """Share of TRUE flags among all rows, as an aggregate."""
     return F.try_divide(F.count_if(F.col(flag)), F.count(F.lit(1)))
 
 

@@ -117,6 +117,7 @@ def second_phase(
     return {
         "classes": classes,
         "absences": absences,
+        "full_attendance": attendance,
         "attendance": attendance.select("combined_number", "date", "absent"),
         "reconciliation": panel.reconcile(absences, attendance),
     }
