@@ -14,6 +14,7 @@ import time
 
 from pyspark.sql import SparkSession
 
+from rollbook import session
 from workload import QUERIES
 
 HEADLINE = (
@@ -53,6 +54,7 @@ def main() -> None:
     chosen = sys.argv[1:] or HEADLINE
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
+        .config(map=session.AT_START)
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.ui.enabled", "false")

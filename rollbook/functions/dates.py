@@ -101,13 +101,6 @@ def weekday_array(start: Column, end: Column, holidays: Iterable[str] = ()) -> C
     return F.array_except(days, F.array(*skipped)) if skipped else days
 
 
-def month_weekday_array(year: Column, month: Column, holidays: Iterable[str] = ()) -> Column:
-    """Array of a month's weekdays, less ``holidays``; NULL for a NULL or bad month."""
-    first = date_from_parts(year, month, F.lit(1))
-    days = weekday_array(first, F.last_day(first), holidays)
-    return F.when(first.isNotNull(), days)
-
-
 def calendar_fields(date: Column) -> dict[str, Column]:
     """The date parts used as grouping keys, by name."""
     return {

@@ -6,9 +6,10 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rollbook import constants as K
+from rollbook import constants as K, session
 from rollbook.functions import dates
 from rollbook.operators import joins, rates
+from rollbook.operators.corrections import correct_flags
 
 
 def expand_days(
@@ -18,16 +19,15 @@ def expand_days(
     """One row per entity and weekday from ``start`` to ``end``.
 
     With ``months`` (names of reference-month columns) only days of those
-    months are generated; entities without any give no rows. Days come from an
-    array inside each row: no Cartesian grid and no shuffle.
+    months are kept; entities without any give no rows. The days are generated
+    and filtered inside each task: no Cartesian grid and no shuffle.
     """
     first = F.to_date(F.lit(start)) if isinstance(start, str) else start
     last = F.to_date(F.lit(end)) if isinstance(end, str) else end
-    days = dates.weekday_array(first, last, holidays)
+    days = df.withColumn(date, F.explode(F.sequence(first, last)))
     if months:
-        wanted = F.array(*[F.col(m).cast("int") for m in months])
-        days = F.filter(days, lambda d: F.array_contains(wanted, F.month(d)))
-    return df.withColumn(date, F.explode(days))
+        days = eligible_months(days, months, date)
+    return school_days(days, holidays, date)
 
 
 def eligible_months(df: DataFrame, months: Sequence[str], date: str = "date") -> DataFrame:
@@ -73,6 +73,12 @@ def weekly_rate(
     weekly = absences.groupBy(
         *class_keys, dates.sunday_week(F.col(date)).alias("year_week")
     ).agg(F.count(F.lit(1)).alias("absences"))
+    return with_rate(weekly, enrolled, class_keys, days_per_week)
+
+
+def with_rate(
+    weekly: DataFrame, enrolled: DataFrame, class_keys: Sequence[str], days_per_week: int
+) -> DataFrame:
     joined = joins.left_join(weekly, enrolled, class_keys, null_safe=True)
     return joined.withColumn(
         "absenteeism_rate",
@@ -180,55 +186,161 @@ def dates_per_entity(
     return events.groupBy(*keys).agg(F.collect_set(date).alias(name))
 
 
-def weeks_per_class(
-    weekly: DataFrame, class_keys: Sequence[str], reliable: bool,
-    min_rate: float = K.MIN_WEEKLY_RATE, name: str = "weeks",
+def believed_days(
+    classes: DataFrame, weekly: DataFrame, class_keys: Sequence[str], days: str = "days",
+    min_rate: float = K.MIN_WEEKLY_RATE, missing_is_unreliable: bool = True,
+    on_unreliable: str = "drop",
 ) -> DataFrame:
-    """The reliable (or the unreliable) weeks of each class as an array of weeks."""
-    good = F.col("absenteeism_rate") >= min_rate
-    wanted = good if reliable else ~good
-    return weekly.groupBy(*class_keys).agg(
-        F.collect_set(F.when(wanted, F.col("year_week"))).alias(name)
+    """Reduce each class's array of days to those of believable weeks.
+
+    ``classes`` has one row per class and an array of dates. The result's array
+    holds structs with ``date`` and, when flagging, ``remove``. An array is never
+    longer than the calendar.
+    """
+    rows = classes.withColumn("date", F.explode(days)).drop(days)
+    marked = mark_unreliable(
+        rows, weekly, class_keys, "date", min_rate, missing_is_unreliable, on_unreliable
     )
+    fields = ["date", "remove"] if on_unreliable == "flag" else ["date"]
+    by = [c for c in classes.columns if c != days]
+    return marked.groupBy(*by).agg(F.collect_list(F.struct(*fields)).alias(days))
 
 
-def in_dates(dates_column: str, day: Column) -> Column:
-    """Whether a day is in a date array; a NULL array holds no day."""
-    return F.coalesce(F.array_contains(F.col(dates_column), day), F.lit(False))
+def absence_marks(absences: DataFrame, entity: str, date: str = "date") -> DataFrame:
+    """Each student's absences as one array ``marks`` of dates with their number.
 
+    Repeated rows are counted per date first, so the array is no longer than the
+    calendar, whatever number of rows a student has. A missing date is one entry.
+    """
+    counted = absences.groupBy(entity, F.col(date).alias("date")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(entity).agg(F.collect_list(F.struct("date", "n")).alias("marks"))
 
-def flagged_panel(
-    entities: DataFrame, absences: DataFrame, weekly: DataFrame | None,
-    class_keys: Sequence[str], entity: str, days: str = "days",
-    start: str = K.PHASE_1_START, end: str = K.PHASE_1_END,
-    min_rate: float = K.MIN_WEEKLY_RATE, missing_is_unreliable: bool = True,
-    on_unreliable: str = "drop", flag: str = "absent", date: str = "date",
+
+def marked_students(
+    students: DataFrame, classes: DataFrame, on: Sequence[str], absences: DataFrame,
+    entity: str, label: str,
 ) -> DataFrame:
-    """Student-days with an absence flag, from one row per student.
+    """Students with their class's attributes and their absence ``marks``, as a stored table.
 
-    Absence dates and believable weeks are joined as short arrays to the
-    student, and only then are the days of the array column ``days`` expanded.
-    The panel itself, the largest table of the study, is produced by a narrow
-    step and never shuffled.
+    Only students of the given classes are kept. Weekly rates and the panel are
+    both made from this table of one row per student.
     """
-    if on_unreliable not in ("drop", "flag"):
-        raise ValueError("on_unreliable must be 'drop' or 'flag'")
-    marks = dates_per_entity(absences, [entity], name="__absent", start=start, end=end)
-    rows = joins.left_join(entities, marks, [entity])
-    kept = F.col(days)
-    if weekly is not None:
-        weeks = weeks_per_class(weekly, class_keys, missing_is_unreliable, min_rate, "__weeks")
-        rows = joins.left_join(rows, weeks, class_keys, null_safe=True)
-
-        def believed(day: Column) -> Column:
-            listed = in_dates("__weeks", dates.sunday_week(day))
-            return listed if missing_is_unreliable else ~listed
-
-        if on_unreliable == "drop":
-            kept = F.filter(kept, believed)
-    panel = rows.withColumn(date, F.explode(kept)).withColumn(
-        flag, in_dates("__absent", F.col(date))
+    known = classes.withColumn("__known", F.lit(True))
+    placed = joins.left_join(students, known, on, null_safe=True).filter("__known").drop("__known")
+    return session.materialize(
+        joins.left_join(placed, absence_marks(absences, entity), [entity]), label
+    )
+
+
+def marks_weekly_rate(
+    students: DataFrame, class_keys: Sequence[str], entity: str,
+    days_per_week: int = K.DAYS_PER_WEEK,
+) -> DataFrame:
+    """Weekly rates per class from students with ``marks``."""
+    days = students.select(*class_keys, F.explode("marks").alias("m"))
+    weekly = days.groupBy(*class_keys, dates.sunday_week(F.col("m.date")).alias("year_week")).agg(
+        F.sum("m.n").alias("absences")
+    )
+    return with_rate(weekly, enrolment(students, class_keys, entity), class_keys, days_per_week)
+
+
+def class_calendars(
+    students: DataFrame, class_days: DataFrame, on: Sequence[str]
+) -> DataFrame:
+    """Students with the array ``days`` of their class; :func:`expand_calendars`
+    makes the panel, the largest table of the study, out of them without a shuffle.
+    """
+    joined = joins.left_join(students, class_days.select(*on, "days"), on, null_safe=True)
+    return joined.filter(F.size("days") > 0)
+
+
+def reconcile_calendars(calendars: DataFrame, entity: str) -> DataFrame:
+    """Students with more reported absences than absences on lective days.
+
+    Counted inside each student's row; the panel is not expanded.
+    """
+    reported = F.aggregate(
+        "marks", F.lit(0).cast("bigint"), lambda total, mark: total + mark["n"]
+    )
+    lective = F.size(F.array_intersect(F.col("days.date"), F.col("marks.date"))).cast("bigint")
+    counted = calendars.filter(F.col("marks").isNotNull()).select(
+        entity, reported.alias("reported"), lective.alias("on_lective_days")
     )
-    if weekly is not None and on_unreliable == "flag":
-        panel = panel.withColumn("remove", ~believed(F.col(date)))
-    return panel.drop("__absent", "__weeks", days)
+    return counted.filter("reported > on_lective_days")
+
+
+def expand_calendars(
+    calendars: DataFrame, flag: str = "absent", fixes: str | None = None
+) -> DataFrame:
+    """Student-days with an absence flag from student calendars.
+
+    ``fixes`` names a map from month number to corrected absence days; such a
+    month is reset to present and its listed days set absent.
+    """
+    rows = calendars.withColumn("__day", F.explode("days"))
+    rows = rows.select(*[c for c in calendars.columns if c != "days"], "__day.*")
+    absent = F.coalesce(F.array_contains("marks.date", F.col("date")), F.lit(False))
+    if fixes:
+        listed = F.when(F.col(fixes).isNotNull(), F.col(fixes)[F.month("date")])
+        absent = F.when(
+            listed.isNotNull(), F.array_contains(listed, F.dayofmonth("date"))
+        ).otherwise(absent)
+    return rows.withColumn(flag, absent).drop("marks", *([fixes] if fixes else []))
+
+
+def two_phase_calendars(
+    first: DataFrame, second: DataFrame, entity: str = "combined_number"
+) -> DataFrame:
+    """Student calendars of both phases, for students seen in both.
+
+    ``repeated`` marks students who share an id with another row of their phase;
+    only their days can repeat.
+    """
+    columns = [entity, "days", "marks"]
+    both = joins.tag_union({1: first.select(*columns), 2: second.select(*columns)}, "phase")
+    # Read by the count of phases and by both kinds of rows: stored once.
+    rows = session.materialize(both.filter(F.size("days") > 0), "two-phase")
+    seen = rows.groupBy(F.col(entity).alias("__entity")).agg(
+        F.count_if(F.col("phase") == 1).alias("__n1"),
+        F.count_if(F.col("phase") == 2).alias("__n2"),
+    ).filter("__n1 > 0 AND __n2 > 0")
+    joined = rows.join(seen, F.col(entity).eqNullSafe(F.col("__entity")))
+    repeated = F.when(F.col("phase") == 1, F.col("__n1") > 1).otherwise(F.col("__n2") > 1)
+    return joined.withColumn("repeated", repeated).drop("__entity", "__n1", "__n2")
+
+
+def attendance_rows(
+    calendars: DataFrame, corrections: DataFrame | None = None, entity: str = "combined_number",
+    phase: int | None = 1,
+) -> DataFrame:
+    """Distinct student-days outside the break, corrected.
+
+    A student with a single row in a phase has distinct days by construction,
+    so those rows are corrected and expanded without a shuffle; only the days of
+    repeated ids are compared. ``corrections`` come from
+    :func:`rollbook.operators.corrections.correction_days`.
+    """
+    columns = [entity, "date", "absent", "phase"]
+    single = calendars.filter(~F.col("repeated"))
+    fixes = None
+    if corrections is not None:
+        fixes = "__fixes"
+        by_entity = correction_maps(corrections, entity, fixes)
+        if phase is None:
+            single = single.join(by_entity, entity, "left")
+        else:
+            tagged = by_entity.withColumn("phase", F.lit(phase))
+            single = single.join(tagged, [entity, "phase"], "left")
+    expanded = drop_break(expand_calendars(single, fixes=fixes)).select(*columns)
+    compared = drop_break(
+        expand_calendars(calendars.filter(F.col("repeated")))
+    ).select(*columns).distinct()
+    if corrections is not None:
+        compared = correct_flags(compared, corrections, entity, phase=phase)
+    return expanded.unionByName(compared)
+
+
+def correction_maps(corrections: DataFrame, entity: str, name: str) -> DataFrame:
+    """Corrected days as one map per entity, at most one entry per month."""
+    entries = F.collect_list(F.struct("month", "days"))
+    return corrections.groupBy(entity).agg(F.map_from_entries(entries).alias(name))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rollbook import constants as K
 from rollbook.functions import dates, recode
+from rollbook.operators import panel
 
 
 def to_long(
@@ -67,8 +68,8 @@ def marks_long(
         )
         for m in marks
     ])
-    present = F.filter(cells, lambda c: c[value].isNotNull())
-    return df.select(*ids, F.explode(present).alias("c")).select(*ids, "c.*")
+    rows = df.select(*ids, F.explode(cells).alias("c")).select(*ids, "c.*")
+    return rows.filter(F.col(value).isNotNull())
 
 
 def mark_columns(df: DataFrame, token: str = K.MARK_TOKEN) -> list[Mark]:
@@ -131,8 +132,12 @@ def calendar_days(
     usable = months.filter(F.col("action").isNotNull() & (F.col("action") != K.NOT_USABLE))
     # Repeated class-months are removed while they are still months.
     distinct = usable.select(*keys, "month_number").distinct()
-    days = dates.month_weekday_array(F.lit(year), F.col("month_number"), holidays)
-    return distinct.select(*keys, F.explode(days).alias("date"))
+    first = dates.date_from_parts(F.lit(year), F.col("month_number"), F.lit(1))
+    days = distinct.withColumn("__first", first).filter(F.col("__first").isNotNull())
+    expanded = panel.expand_days(
+        days, F.col("__first"), F.last_day("__first"), holidays=holidays
+    )
+    return expanded.select(*keys, "date")
 
 
 def class_calendar(

@@ -20,6 +20,7 @@ CLASS_COLUMNS = ("_URI", "SCHOOL_UUID", "CLASS_UUID", "CLASS_NAME", "GRADE", *MO
 STUDENT_COLUMNS = (
     "_URI", "NAME", "PERMID", "SCHOOL_UUID", "CLASS_UUID", "DOB", "HOUSEHOLD_NUMBER", "GENDER",
 )
+CLASS_UUIDS = ["SCHOOL_UUID", "CLASS_UUID"]
 CLASS_KEYS = ["DISTRICT", "SCHOOL_NAME", "GRADE", "CLASS_NAME"]
 SLOT_COLUMNS = {
     1: "DAYS_OF_ABSENCE_FIRST_MONTH",
@@ -86,30 +87,52 @@ def school_labels() -> dict[str, Column]:
     return {c: recode.recode(F.col(c), labels) for c, labels in codes.items()}
 
 
-def eligible_students(
-    students: DataFrame, classes: DataFrame, schools: DataFrame,
+def eligible_classes(
+    classes: DataFrame, schools: DataFrame,
     start: str = K.PHASE_1_START, end: str = K.PHASE_1_END,
 ) -> DataFrame:
-    """Students with class, school and the array of their observable ``days``.
+    """Classes with their school and the array of observable ``days``.
 
-    Only weekdays in one of the class's reference months count; students without
+    Only weekdays in one of the class's reference months count; classes without
     any are left out.
     """
-    in_class = students.join(
-        classes.select("SCHOOL_UUID", "CLASS_UUID", "CLASS_NAME", "GRADE", *MONTHS),
-        ["SCHOOL_UUID", "CLASS_UUID"], "left",
-    )
     single = keep_first(schools, ["SCHOOL_UUID"], [F.col(c) for c in schools.columns])
-    placed = in_class.join(single, "SCHOOL_UUID", "left")
+    placed = classes.select(
+        "SCHOOL_UUID", "CLASS_UUID", "CLASS_NAME", "GRADE", *MONTHS
+    ).join(single, "SCHOOL_UUID", "left")
     wanted = F.array(*[F.col(m).cast("int") for m in MONTHS])
     days = F.filter(
         dates.weekday_array(F.to_date(F.lit(start)), F.to_date(F.lit(end))),
         lambda d: F.coalesce(F.array_contains(wanted, F.month(d)), F.lit(False)),
     )
-    return (
-        placed.withColumn("days", days).filter(F.size("days") > 0)
-        .withColumnRenamed("_URI", "student_id")
+    return placed.withColumn("days", days).filter(F.size("days") > 0)
+
+
+def eligible_students(students: DataFrame, classes: DataFrame) -> DataFrame:
+    """Students of the eligible classes, without the days."""
+    named = students.withColumnRenamed("_URI", "student_id")
+    return joins.left_join(
+        named, classes.withColumnRenamed("days", "__days"), CLASS_UUIDS, null_safe=True
+    ).filter(F.col("__days").isNotNull()).drop("__days")
+
+
+def phase_one_calendars(
+    students: DataFrame, classes: DataFrame, schools: DataFrame, absences: DataFrame,
+    start: str = K.PHASE_1_START, end: str = K.PHASE_1_END,
+    missing_is_unreliable: bool = True, on_unreliable: str = "drop",
+) -> DataFrame:
+    """Students with class and school attributes, their days and absence dates."""
+    observable = eligible_classes(classes, schools, start, end)
+    named = students.withColumnRenamed("_URI", "student_id")
+    in_class = panel.marked_students(
+        named, observable.drop("days"), CLASS_UUIDS, absences, "student_id", "phase-one"
+    )
+    believed = panel.believed_days(
+        observable.select(*CLASS_UUIDS, *CLASS_KEYS, "days"),
+        panel.marks_weekly_rate(in_class, CLASS_KEYS, "student_id"), CLASS_KEYS,
+        missing_is_unreliable=missing_is_unreliable, on_unreliable=on_unreliable,
     )
+    return panel.class_calendars(in_class, believed, CLASS_UUIDS)
 
 
 def phase_one_panel(
@@ -118,15 +141,11 @@ def phase_one_panel(
     missing_is_unreliable: bool = True, on_unreliable: str = "drop",
 ) -> DataFrame:
     """Student-day panel of the first phase with labels and absence flag."""
-    eligible = eligible_students(students, classes, schools, start, end)
-    enrolled = panel.enrolment(eligible, CLASS_KEYS)
-    in_class = absences.join(eligible.select("student_id", *CLASS_KEYS), "student_id", "left")
-    weekly = panel.weekly_rate(in_class, enrolled, CLASS_KEYS)
-    rows = panel.flagged_panel(
-        eligible, absences, weekly, CLASS_KEYS, "student_id", start=start, end=end,
-        missing_is_unreliable=missing_is_unreliable, on_unreliable=on_unreliable,
+    calendars = phase_one_calendars(
+        students, classes, schools, absences, start, end, missing_is_unreliable, on_unreliable
     )
-    return describe(rows).withColumns({
+    # Labels are put on the students, before their days are expanded.
+    return panel.expand_calendars(describe(calendars)).withColumns({
         "year": F.year("date"), "month": F.month("date"), "day": F.dayofmonth("date"),
     })
 

@@ -106,28 +106,36 @@ def class_absences(
     return joins.left_join(kept, classes, ["combined_number"])
 
 
-def phase_two_attendance(
+def phase_two_calendars(
     classes: DataFrame, absences: DataFrame, start: str = K.PHASE_2_START,
     end: str = K.PHASE_2_END, calendar: DataFrame | None = None,
     missing_is_unreliable: bool = True, on_unreliable: str = "drop",
 ) -> DataFrame:
-    """Student-days of the second phase.
+    """Students with their class's believable days and their absence dates.
 
     ``absences`` come from :func:`class_absences`. School days are the weekdays
     from ``start`` to ``end``, or those of a class ``calendar``.
     """
-    enrolled = panel.enrolment(classes, CLASS_KEYS, "combined_number")
-    weekly = panel.weekly_rate(absences, enrolled, CLASS_KEYS)
     if calendar is None:
         days = dates.weekday_array(F.to_date(F.lit(start)), F.to_date(F.lit(end)))
-        students = classes.withColumn("days", days)
+        observable = classes.select(*CLASS_KEYS).distinct().withColumn("days", days)
     else:
-        open_days = panel.dates_per_entity(calendar, CLASS_KEYS, name="days", start=start, end=end)
-        students = classes.join(open_days, CLASS_KEYS, "inner")
-    return panel.flagged_panel(
-        students, absences, weekly, CLASS_KEYS, "combined_number", start=start, end=end,
+        observable = panel.dates_per_entity(
+            calendar, CLASS_KEYS, name="days", start=start, end=end
+        )
+    in_class = panel.marked_students(
+        classes, observable.drop("days"), CLASS_KEYS, absences, "combined_number", "phase-two"
+    )
+    believed = panel.believed_days(
+        observable, panel.marks_weekly_rate(in_class, CLASS_KEYS, "combined_number"), CLASS_KEYS,
         missing_is_unreliable=missing_is_unreliable, on_unreliable=on_unreliable,
     )
+    return panel.class_calendars(in_class, believed, CLASS_KEYS)
+
+
+def phase_two_attendance(classes: DataFrame, absences: DataFrame, **options) -> DataFrame:
+    """Student-days of the second phase; options as in :func:`phase_two_calendars`."""
+    return panel.expand_calendars(phase_two_calendars(classes, absences, **options))
 
 
 def class_label_column(school: str = "school_number", grade: str = "grade", name: str = "class"):

@@ -29,16 +29,15 @@ def phase_one_tables(forms: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
         3: forms["form_c_days_third"],
     }
     absences = phase_one.slot_absences(slots, students, classes)
-    eligible = phase_one.eligible_students(students, classes, schools)
-    roster = phase_one.roster(eligible, forms["ids"])
-    rows = phase_one.phase_one_panel(students, classes, schools, absences)
-    numbered = rows.select("date", "absent", "student_id").join(
-        roster.select("student_id", "combined_number"), "student_id", "left"
+    calendars = phase_one.phase_one_calendars(students, classes, schools, absences)
+    eligible = phase_one.eligible_students(
+        students, phase_one.eligible_classes(classes, schools)
     )
+    roster = phase_one.roster(eligible, forms["ids"])
     return {
-        "panel": rows,
+        "panel": panel.expand_calendars(phase_one.describe(calendars)),
         "students": roster,
-        "attendance": numbered.select("combined_number", "date", "absent"),
+        "calendars": numbered_calendars(calendars, roster),
         "school_locations": phase_one.school_locations(schools),
         "reference": students.join(
             classes.select("CLASS_UUID", *[
@@ -52,6 +51,14 @@ def phase_one_tables(forms: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
+def numbered_calendars(calendars: DataFrame, roster: DataFrame) -> DataFrame:
+    """First-phase calendars under the combined id of the roster."""
+    numbers = roster.select("student_id", "combined_number")
+    return calendars.select("student_id", "days", "marks").join(
+        numbers, "student_id", "left"
+    )
+
+
 def performance(form_b2: DataFrame, form_b2b: DataFrame) -> DataFrame:
     """Marks of both evaluation forms as one long table."""
     first = recode.suffix_columns(form_b2, "avaliation", "_2015")
@@ -65,15 +72,15 @@ def performance(form_b2: DataFrame, form_b2b: DataFrame) -> DataFrame:
 
 
 def corrected(
-    attendance: DataFrame, students: DataFrame, corrections: DataFrame, reference: DataFrame,
+    calendars: DataFrame, students: DataFrame, corrections: DataFrame, reference: DataFrame,
     student_order: str = "student_id",
 ) -> tuple[DataFrame, DataFrame]:
-    """Attendance and students after all corrections."""
+    """Attendance from two-phase calendars and students, after all corrections."""
     matched = fix.match_corrections(corrections, students, student_order)
     monthed = fix.with_reference_months(matched, reference, "reference_order")
     days = fix.correction_days(monthed, "correction_order")
     return (
-        fix.correct_flags(attendance, days),
+        panel.attendance_rows(calendars, days),
         fix.correct_entities(students, corrections, "correction_order", student_order),
     )
 
@@ -89,11 +96,11 @@ def schools(students: DataFrame, locations: DataFrame) -> DataFrame:
 
 
 def study(
-    first: Mapping[str, DataFrame], second_attendance: DataFrame, corrections: DataFrame,
+    first: Mapping[str, DataFrame], second: Mapping[str, DataFrame], corrections: DataFrame,
     census: DataFrame, marks: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Result tables from the phases' tables, corrections and census."""
-    both = panel.two_phase(first["attendance"], second_attendance)
+    both = panel.two_phase_calendars(first["calendars"], second["calendars"])
     attendance, students = corrected(both, first["students"], corrections, first["reference"])
     linked = census_students(students, census)
     tables = {
@@ -113,11 +120,12 @@ def second_phase(
     """Classes, absences, attendance and reconciliation of the second phase."""
     classes = phase_two.student_classes(form_b2, form_b3)
     absences = phase_two.class_absences(phase_two.dated_months(tables), classes)
-    attendance = phase_two.phase_two_attendance(classes, absences, calendar=calendar)
+    calendars = phase_two.phase_two_calendars(classes, absences, calendar=calendar)
+    attendance = panel.expand_calendars(calendars)
     return {
         "classes": classes,
         "absences": absences,
-        "full_attendance": attendance,
-        "attendance": attendance.select("combined_number", "date", "absent"),
-        "reconciliation": panel.reconcile(absences, attendance),
+        "calendars": calendars,
+        "attendance": attendance,
+        "reconciliation": panel.reconcile_calendars(calendars, "combined_number"),
     }

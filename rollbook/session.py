@@ -18,6 +18,10 @@ ADAPTIVE = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# Set when a session is built: recording the Python line of every column
+# expression takes longer than planning the query does.
+AT_START = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
 # Parquet is read compressed; a shuffled row is several times larger.
 SHUFFLE_EXPANSION = 4
@@ -83,3 +87,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Used where several later steps need the same table: it is computed once,
+    survives lost executors, and its true size guides the choice of joins.
+    """
+    path = new_shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

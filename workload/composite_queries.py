@@ -10,7 +10,6 @@ from rollbook.operators import joins, linkage, panel, quality
 from rollbook.plans import phase_one, phase_two, report, study
 from workload import views
 from workload.base import Tables, pad, query, rounded
-from workload.panel_queries import reliable_panel_rows
 
 
 @query("slot_absences", f"WITH {views.SLOT_ABSENCES} SELECT student_id, date FROM slot_absences")
@@ -59,11 +58,13 @@ def second_phase(t: Tables) -> dict[str, DataFrame]:
     return study.second_phase(b2, b3, month_tables(t))
 
 
-def first_phase(t: Tables) -> DataFrame:
-    """First-phase attendance under the combined id."""
+def first_calendars(t: Tables) -> DataFrame:
+    """First-phase calendars under the combined id."""
+    learners, classes = views.student_form(t), views.class_form(t)
+    absences = phase_one.slot_absences(views.slot_tables(t), learners, classes)
+    calendars = phase_one.phase_one_calendars(learners, classes, views.school_form(t), absences)
     numbered = views.ids(t).select("PERMID", "combined_number")
-    rows = reliable_panel_rows(t).select("PERMID", "date", "absent")
-    return rows.join(numbered, "PERMID").select("combined_number", "date", "absent")
+    return calendars.select("PERMID", "days", "marks").join(numbered, "PERMID")
 
 
 TWO_PHASE = f"""phases_raw AS (
@@ -75,12 +76,21 @@ attendance AS (
   SELECT DISTINCT combined_number, date, absent, phase FROM phases_raw
   WHERE month(date) NOT IN (12, 1) AND combined_number IN (
     SELECT combined_number FROM phases_raw GROUP BY 1 HAVING count(DISTINCT phase) = 2))"""
+PHASED_ROWS = ",\n".join([views.STUDENTS, views.ORDER_DAYS]) + """,
+phased AS (
+  SELECT combined_number, date, status = 'F' AS absent,
+         CASE WHEN year(date) <= 1995 THEN 1 ELSE 2 END AS phase
+  FROM order_days JOIN students USING (student_id)
+  WHERE year(date) <= 1995 OR year(date) >= 2001)"""
 ATTENDANCE = ",\n".join([views.PHASE_ONE, views.IDS, views.PHASE_TWO, TWO_PHASE])
 
 
+def both_calendars(t: Tables) -> DataFrame:
+    return panel.two_phase_calendars(first_calendars(t), second_phase(t)["calendars"])
+
+
 def attendance(t: Tables) -> DataFrame:
-    second = second_phase(t)["attendance"]
-    return panel.two_phase(first_phase(t), second)
+    return panel.attendance_rows(both_calendars(t))
 
 
 @query("two_phase", f"WITH {ATTENDANCE} SELECT * FROM attendance")
@@ -89,6 +99,19 @@ def two_phase(t: Tables) -> DataFrame:
     return attendance(t)
 
 
+@query("two_phase_rows", f"""WITH {PHASED_ROWS}
+SELECT DISTINCT combined_number, date, absent, phase FROM phased
+WHERE month(date) NOT IN (12, 1) AND combined_number IN (
+  SELECT combined_number FROM phased GROUP BY 1 HAVING count(DISTINCT phase) = 2)""")
+def two_phase_rows(t: Tables) -> DataFrame:
+    """The same from two tables of dated rows, with their repeats."""
+    people = views.students(t).select("student_id", "combined_number")
+    rows = views.order_days(t).join(people, "student_id").select(
+        "combined_number", "date", (F.col("status") == "F").alias("absent")
+    )
+    return panel.two_phase(rows.filter(F.year("date") <= 1995), rows.filter(F.year("date") >= 2001))
+
+
 @query("panel_report", f"""WITH {ATTENDANCE},
 daily AS (
   SELECT date, CASE left(combined_number, 2) WHEN '01' THEN 'a' WHEN '02' THEN 'b' END AS district,
@@ -283,16 +306,15 @@ LEFT JOIN correction_days k ON k.combined_number = a.combined_number AND k.month
   AND a.phase = 1""")
 def corrected_panel(t: Tables) -> DataFrame:
     """Two-phase attendance after all corrections."""
-    rows = attendance(t).withColumns({"day": F.dayofmonth("date"), "month": F.month("date")})
-    return fix.correct_flags(rows, correction_days(t))
+    rows = panel.attendance_rows(both_calendars(t), correction_days(t))
+    return rows.withColumns({"day": F.dayofmonth("date"), "month": F.month("date")})
 
 
 # --- roster and census ------------------------------------------------------
 
 def eligible(t: Tables) -> DataFrame:
-    return phase_one.eligible_students(
-        views.student_form(t), views.class_form(t), views.school_form(t)
-    )
+    classes = phase_one.eligible_classes(views.class_form(t), views.school_form(t))
+    return phase_one.eligible_students(views.student_form(t), classes)
 
 
 @query("roster", f"""WITH {views.PHASE_ONE}, {views.IDS}

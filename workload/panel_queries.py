@@ -291,7 +291,7 @@ def class_day_expansion(t: Tables) -> DataFrame:
     """Second-phase attendance: each student over the class's believable days."""
     from workload.composite_queries import second_phase
 
-    return second_phase(t)["full_attendance"]
+    return second_phase(t)["attendance"]
 
 
 @query("reconcile", f"""WITH {views.PHASE_TWO},

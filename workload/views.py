@@ -12,6 +12,12 @@ from rollbook.functions import keys
 from workload.base import Tables, day, pad
 
 
+def regions_of(t: Tables) -> DataFrame:
+    """Customers with the region number of their nation."""
+    nation = t("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    return t("customer").join(nation, "c_nationkey")
+
+
 def places(t: Tables) -> DataFrame:
     nation = t("nation").select("n_nationkey", "n_name", "n_regionkey")
     region = t("region").select("r_regionkey", "r_name")
@@ -129,8 +135,7 @@ def class_form(t: Tables) -> DataFrame:
     """One class per region and segment; a third of the last months is mistyped as January."""
     first = F.col("first_student")
     return (
-        t("customer").join(places(t), F.col("c_nationkey") == F.col("n_nationkey"))
-        .groupBy("n_regionkey", "c_mktsegment").agg(F.min("c_custkey").alias("first_student"))
+        regions_of(t).groupBy("n_regionkey", "c_mktsegment").agg(F.min("c_custkey").alias("first_student"))
         .select(
             F.concat_ws("/", "n_regionkey", "c_mktsegment").alias("_URI"),
             F.col("n_regionkey").cast("string").alias("SCHOOL_UUID"),
@@ -159,7 +164,7 @@ def student_form(t: Tables) -> DataFrame:
     """One form per customer."""
     key = F.col("c_custkey")
     born = F.date_add(F.to_date(F.lit("2000-01-01")), (key % 3000).cast("int"))
-    joined = t("customer").join(places(t), F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = regions_of(t)
     return joined.select(
         key.cast("string").alias("_URI"), F.col("c_name").alias("NAME"),
         F.concat(F.lpad(key.cast("string"), 12, "0"), F.lit("-01")).alias("PERMID"),
@@ -255,7 +260,7 @@ panel_1 AS (
 def ids(t: Tables) -> DataFrame:
     """Id numbers per student: region, region and customer number."""
     key = F.col("c_custkey")
-    joined = t("customer").join(places(t), F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = regions_of(t)
     raw = F.concat_ws("-", "n_regionkey", "c_nationkey", key)
     return joined.select(
         F.col("c_name").alias("NAME"),
@@ -278,7 +283,7 @@ IDS = f"""ids AS (
 
 def form_b2(t: Tables) -> DataFrame:
     """Second-phase student form: building and trade segments, the found flag from the balance."""
-    joined = t("customer").join(places(t), F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = regions_of(t)
     return joined.select(
         F.col("c_custkey").cast("string").alias("uri"),
         F.concat_ws("-", "n_regionkey", "c_nationkey", "c_custkey").alias("student_number"),
@@ -290,7 +295,7 @@ def form_b2(t: Tables) -> DataFrame:
 
 def form_b3(t: Tables) -> DataFrame:
     """Third student form: ids without their leading zero, some without a grade."""
-    joined = t("customer").join(places(t), F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = regions_of(t)
     padded = keys.composite_id(F.concat_ws("-", "n_regionkey", "c_nationkey", "c_custkey"))
     return joined.select(
         F.col("c_custkey").cast("string").alias("uri"),
