@@ -31,17 +31,27 @@ def rate_by(
         "presences": F.count_if(~F.col(flag)),
         "eligibles": F.count(F.lit(1)),
     }
+    counts = []
     if distinct:
         counted = [c for c in dict.fromkeys(distinct.values()) if c not in by]
         df = df.groupBy(*by, *counted).agg(*[c.alias(n) for n, c in parts.items()])
         parts = {n: F.sum(n) for n in parts}
-    counts = [distinct_with_null(F.col(c)).alias(n) for n, c in (distinct or {}).items()]
+        counts = [_distinct_count(c, by, counted).alias(n) for n, c in distinct.items()]
     grouped = df.groupBy(*by).agg(*counts, *[c.alias(n) for n, c in parts.items()])
     return grouped.withColumn(
         "absenteeism_rate", F.try_divide(F.col("absences") * F.lit(scale), F.col("eligibles"))
     )
 
 
+def _distinct_count(column: str, by: Sequence[str], counted: Sequence[str]) -> Column:
+    """Distinct values per group over rows unique in the group and counted columns."""
+    if column in by:
+        return F.lit(1).cast("bigint")
+    if list(counted) == [column]:
+        return F.count(F.lit(1))
+    return distinct_with_null(F.col(column))
+
+
 def overall_rate(flag: str = "absent") -> Column:
     """Share of TRUE flags among all rows, as an aggregate."""
     return F.try_divide(F.count_if(F.col(flag)), F.count(F.lit(1)))

@@ -34,18 +34,15 @@ def yearly_rate_by_nation(t: Tables) -> DataFrame:
     return rounded(rates.rate_by(yearly, ["year", "school_name"]), "absenteeism_rate")
 
 
-def _reports(t: Tables, by: str) -> DataFrame:
-    labelled = shipments(t).withColumns({
-        "year_month": dates.year_month(F.col("date"), " "),
-        "class_number": keys.class_label(
-            F.col("school_number"), F.col("grade"), F.col("class_name")
-        ),
-    })
-    report = rates.rate_by(
-        labelled, ["year_month", by],
-        distinct={"students": "combined_number", "classes": "class_number"},
+def _monthly(facts: DataFrame, by: list[str], distinct: dict[str, str]) -> DataFrame:
+    """Monthly report; months are grouped as dates and labelled afterwards."""
+    monthly = facts.withColumn("month_start", dates.month_start(F.col("date")))
+    report = rates.rate_by(monthly, ["month_start", *by], distinct=distinct)
+    labelled = report.withColumn("year_month", dates.year_month(F.col("month_start"), " "))
+    return rounded(
+        labelled.withColumnRenamed("eligibles", "student_school_days").drop("month_start"),
+        "absenteeism_rate",
     )
-    return rounded(report.withColumnRenamed("eligibles", "student_school_days"), "absenteeism_rate")
 
 
 REPORT_SQL = """count(DISTINCT combined_number) AS students,
@@ -64,14 +61,21 @@ labelled AS (
 SELECT year_month, class_number, {REPORT_SQL} FROM labelled GROUP BY 1, 2""")
 def monthly_rate_by_class(t: Tables) -> DataFrame:
     """Monthly report per class."""
-    return _reports(t, "class_number")
+    parts = ["school_number", "grade", "class_name"]
+    report = _monthly(shipments(t), parts, {"students": "combined_number", "classes": "class_name"})
+    label = keys.class_label(*[F.col(p) for p in parts])
+    return report.withColumn("class_number", label).drop(*parts)
 
 
 @query("monthly_rate_by_region", f"""WITH {LABELLED}
 SELECT year_month, district, {REPORT_SQL} FROM labelled GROUP BY 1, 2""")
 def monthly_rate_by_region(t: Tables) -> DataFrame:
     """Monthly report per district."""
-    return _reports(t, "district")
+    label = keys.class_label(F.col("school_number"), F.col("grade"), F.col("class_name"))
+    labelled = shipments(t).withColumn("class_number", label)
+    return _monthly(
+        labelled, ["district"], {"students": "combined_number", "classes": "class_number"}
+    )
 
 
 MONTHLY_FACT_SQL = """facts AS (
