@@ -14,42 +14,58 @@ def distinct_with_null(column: Column) -> Column:
     return F.count_distinct(column) + F.max(F.when(column.isNull(), 1).otherwise(0))
 
 
-def rate_by(
-    df: DataFrame, by: Sequence[str], flag: str = "absent",
-    distinct: Mapping[str, str] | None = None, scale: float = 100.0,
+def day_counts(df: DataFrame, by: Sequence[str], flag: str = "absent") -> DataFrame:
+    """``absences``, ``presences`` and ``eligibles`` (all rows) of a nullable flag per group."""
+    return df.groupBy(*by).agg(
+        F.count_if(F.col(flag)).alias("absences"), F.count_if(~F.col(flag)).alias("presences"),
+        F.count(F.lit(1)).alias("eligibles"),
+    )
+
+
+def sum_counts(
+    counts: DataFrame, by: Sequence[str], distinct: Mapping[str, str] | None = None,
+    unique: str | None = None, scale: float = 100.0,
 ) -> DataFrame:
-    """Counts and rate of a nullable flag per group.
+    """Day counts summed to coarser groups, with the rate.
 
-    ``absences``, ``presences`` and ``eligibles`` (all rows) with
-    ``absenteeism_rate`` = absences / eligibles x ``scale``. ``distinct`` maps
-    output names to columns whose distinct values are counted; rows are then
-    first reduced to one per group and counted value, so neither a hot group
-    nor the fan-out of several distinct counts meets the raw rows.
+    ``distinct`` maps output names to columns whose distinct values are counted,
+    NULL as one value. ``unique`` names a column that does not repeat within a
+    group of ``by``: its values are simply the rows.
     """
-    parts = {
-        "absences": F.count_if(F.col(flag)),
-        "presences": F.count_if(~F.col(flag)),
-        "eligibles": F.count(F.lit(1)),
-    }
-    counts = []
-    if distinct:
-        counted = [c for c in dict.fromkeys(distinct.values()) if c not in by]
-        df = df.groupBy(*by, *counted).agg(*[c.alias(n) for n, c in parts.items()])
-        parts = {n: F.sum(n) for n in parts}
-        counts = [_distinct_count(c, by, counted).alias(n) for n, c in distinct.items()]
-    grouped = df.groupBy(*by).agg(*counts, *[c.alias(n) for n, c in parts.items()])
-    return grouped.withColumn(
+    numbers = []
+    for name, column in (distinct or {}).items():
+        if column in by:
+            number = F.lit(1).cast("bigint")
+        elif column == unique:
+            number = F.count(F.lit(1))
+        else:
+            number = distinct_with_null(F.col(column))
+        numbers.append(number.alias(name))
+    sums = [F.sum(c).alias(c) for c in ("absences", "presences", "eligibles")]
+    return with_rate(counts.groupBy(*by).agg(*numbers, *sums), scale)
+
+
+def with_rate(counts: DataFrame, scale: float = 100.0) -> DataFrame:
+    return counts.withColumn(
         "absenteeism_rate", F.try_divide(F.col("absences") * F.lit(scale), F.col("eligibles"))
     )
 
 
-def _distinct_count(column: str, by: Sequence[str], counted: Sequence[str]) -> Column:
-    """Distinct values per group over rows unique in the group and counted columns."""
-    if column in by:
-        return F.lit(1).cast("bigint")
-    if list(counted) == [column]:
-        return F.count(F.lit(1))
-    return distinct_with_null(F.col(column))
+def rate_by(
+    df: DataFrame, by: Sequence[str], flag: str = "absent",
+    distinct: Mapping[str, str] | None = None, scale: float = 100.0,
+) -> DataFrame:
+    """Day counts per group with ``absenteeism_rate`` = absences / eligibles x ``scale``.
+
+    With ``distinct`` (see :func:`sum_counts`) rows are first reduced to one per
+    group and counted value, so neither a hot group nor the fan-out of several
+    distinct counts meets the raw rows.
+    """
+    if not distinct:
+        return with_rate(day_counts(df, by, flag), scale)
+    counted = [c for c in dict.fromkeys(distinct.values()) if c not in by]
+    unique = counted[0] if len(counted) == 1 else None
+    return sum_counts(day_counts(df, [*by, *counted], flag), by, distinct, unique, scale)
 
 
 def overall_rate(flag: str = "absent") -> Column:

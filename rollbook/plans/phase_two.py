@@ -144,26 +144,33 @@ def class_label_column(school: str = "school_number", grade: str = "grade", name
 
 def monthly_class_report(attendance: DataFrame, classes: DataFrame) -> DataFrame:
     """Monthly students, classes, absences, presences and rate per class."""
-    labelled = _labelled(attendance, classes)
-    return rates.rate_by(
-        labelled, ["year_month", "class_number"],
-        distinct={"students": "combined_number", "classes": "class_number"},
-    ).withColumnRenamed("eligibles", "student_school_days")
+    return _monthly_report(student_months(attendance, classes), "class_number")
 
 
 def monthly_district_report(attendance: DataFrame, classes: DataFrame) -> DataFrame:
     """The same per district."""
-    labelled = _labelled(attendance, classes).withColumn(
+    counts = student_months(attendance, classes).withColumn(
         "district", keys.district_of(F.col("combined_number"))
     )
-    return rates.rate_by(
-        labelled, ["year_month", "district"],
-        distinct={"students": "combined_number", "classes": "class_number"},
-    ).withColumnRenamed("eligibles", "student_school_days")
+    return _monthly_report(counts, "district")
 
 
-def _labelled(attendance: DataFrame, classes: DataFrame) -> DataFrame:
+def student_months(attendance: DataFrame, classes: DataFrame) -> DataFrame:
+    """Day counts per student and month with the class label.
+
+    Student-days are reduced to student-months before the class is joined.
+    """
+    monthly = attendance.withColumn("month_start", dates.month_start(F.col("date")))
+    counts = rates.day_counts(monthly, ["combined_number", "month_start"])
     named = classes.select("combined_number", class_label_column().alias("class_number"))
-    return joins.left_join(attendance, named, ["combined_number"]).withColumn(
-        "year_month", dates.year_month(F.col("date"), " ")
+    return joins.left_join(counts, named, ["combined_number"])
+
+
+def _monthly_report(counts: DataFrame, by: str) -> DataFrame:
+    report = rates.sum_counts(
+        counts, ["month_start", by],
+        {"students": "combined_number", "classes": "class_number"},
     )
+    return report.withColumn("year_month", dates.year_month(F.col("month_start"), " ")).drop(
+        "month_start"
+    ).withColumnRenamed("eligibles", "student_school_days")

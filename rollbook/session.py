@@ -97,4 +97,4 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = new_shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

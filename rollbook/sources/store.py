@@ -15,7 +15,7 @@ def load_snapshot(spark: SparkSession, path: str) -> DataFrame:
 def save_snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write a table and return it read back, with its lineage cut."""
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cached(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rollbook.functions import dates, keys
 from rollbook.operators import rates
-from workload.base import Tables, query, rounded
+from workload.base import Tables, day, query, rounded
 from workload.views import EVENT_DAYS, SHIPMENTS, STUDENTS, event_days, shipments, students
 
 RATE_SQL = """count(*) FILTER (WHERE absent) AS absences,
@@ -34,10 +34,28 @@ def yearly_rate_by_nation(t: Tables) -> DataFrame:
     return rounded(rates.rate_by(yearly, ["year", "school_name"]), "absenteeism_rate")
 
 
-def _monthly(facts: DataFrame, by: list[str], distinct: dict[str, str]) -> DataFrame:
+def _student_months(t: Tables) -> DataFrame:
+    """Day counts per student and month, then the student's attributes.
+
+    The lines are reduced to student-months on two narrow keys before any
+    attribute is joined.
+    """
+    lines = t("lineitem").select(
+        "l_orderkey", dates.month_start(day("l_shipdate")).alias("month_start"),
+        F.when(F.col("l_linenumber") != 7, F.col("l_returnflag") == "R").alias("absent"),
+    )
+    owners = t("orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("student_id")
+    )
+    counts = rates.day_counts(lines.join(owners, "l_orderkey"), ["month_start", "student_id"])
+    return counts.join(students(t), "student_id")
+
+
+def _monthly(counts: DataFrame, by: list[str], classes: str) -> DataFrame:
     """Monthly report; months are grouped as dates and labelled afterwards."""
-    monthly = facts.withColumn("month_start", dates.month_start(F.col("date")))
-    report = rates.rate_by(monthly, ["month_start", *by], distinct=distinct)
+    report = rates.sum_counts(
+        counts, ["month_start", *by], {"students": "student_id", "classes": classes}, "student_id"
+    )
     labelled = report.withColumn("year_month", dates.year_month(F.col("month_start"), " "))
     return rounded(
         labelled.withColumnRenamed("eligibles", "student_school_days").drop("month_start"),
@@ -62,7 +80,7 @@ SELECT year_month, class_number, {REPORT_SQL} FROM labelled GROUP BY 1, 2""")
 def monthly_rate_by_class(t: Tables) -> DataFrame:
     """Monthly report per class."""
     parts = ["school_number", "grade", "class_name"]
-    report = _monthly(shipments(t), parts, {"students": "combined_number", "classes": "class_name"})
+    report = _monthly(_student_months(t), parts, "class_name")
     label = keys.class_label(*[F.col(p) for p in parts])
     return report.withColumn("class_number", label).drop(*parts)
 
@@ -72,9 +90,8 @@ SELECT year_month, district, {REPORT_SQL} FROM labelled GROUP BY 1, 2""")
 def monthly_rate_by_region(t: Tables) -> DataFrame:
     """Monthly report per district."""
     label = keys.class_label(F.col("school_number"), F.col("grade"), F.col("class_name"))
-    labelled = shipments(t).withColumn("class_number", label)
     return _monthly(
-        labelled, ["district"], {"students": "combined_number", "classes": "class_number"}
+        _student_months(t).withColumn("class_number", label), ["district"], "class_number"
     )
 
 
