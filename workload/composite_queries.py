@@ -385,7 +385,7 @@ CENSUS = """members AS (
          DATE '1990-01-01' + CAST(c_custkey % 4000 AS INTEGER) AS dob,
          CASE c_custkey % 3 + 1 WHEN 1 THEN 'male' WHEN 2 THEN 'female' END AS gender,
          CAST(c_nationkey AS VARCHAR) AS house_number,
-         32.0 + c_nationkey / 100e0 AS lng, -25.0 - n / 1000e0 AS lat, 'first' AS geo
+         32.0 + s_nationkey / 100e0 AS lng, -25.0 - n / 1000e0 AS lat, 'first' AS geo
   FROM customer
   LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) ON c_nationkey = s_nationkey),
 individuals AS (
