@@ -7,7 +7,6 @@ from collections.abc import Iterable
 from pyspark.sql import Column, functions as F
 
 from rollbook import constants as K
-from rollbook.functions.keys import zero_pad
 
 
 def sunday_week(date: Column) -> Column:
@@ -34,10 +33,15 @@ def in_break(date: Column, months: Iterable[int] = K.BREAK_MONTHS) -> Column:
 
 
 def date_from_parts(year: Column, month: Column, day: Column) -> Column:
-    """A date, or NULL where the parts name no calendar day."""
-    text = F.concat_ws("-", year.cast("string"), zero_pad(month), zero_pad(day))
-    known = year.isNotNull() & month.isNotNull() & day.isNotNull()
-    return F.when(known, F.try_to_date(text, "yyyy-MM-dd"))
+    """A date, or NULL where the parts name no calendar day.
+
+    Integer arithmetic throughout: nothing is formatted or parsed, and no part
+    can raise an error under ANSI rules.
+    """
+    y, m, d = (part.try_cast("int") for part in (year, month, day))
+    first = F.make_date(y, F.when(m.between(1, 12), m), F.lit(1))
+    exists = d.between(1, F.dayofmonth(F.last_day(first)))
+    return F.when(exists, F.date_add(first, d - 1))
 
 
 def reference_month(
