@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rollbook.llm import mixing, prefix, sharding
+from rollbook import session
+from rollbook.llm import mixing, packing, prefix, sharding, token_files
+
+#: Folder of the public tokenizers' files; None: where their package lies.
+TOKENIZERS: str | None = None
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +25,14 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def tokenizer(name: str) -> str:
+    if TOKENIZERS is not None:
+        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query
 def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words that the mix takes of every document; sources weigh 1, 2, 3 in turn."""
@@ -29,6 +41,13 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+@query
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of at most 4096 ids."""
+    packed = packing.pack_documents(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"), 1, 4096)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @query
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 24 contiguous shards of nearly equal bytes."""
@@ -39,3 +58,11 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents written as token ids in 16 bits each, and read back."""
+    path = session.new_shared_path(spark, "token-files")
+    token_files.write(table(spark, folder, "documents"), path, tokenizer("byte_bpe_50k.json"), 2, 50_257)
+    return token_files.documents(token_files.read(spark, path))

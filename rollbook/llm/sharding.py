@@ -23,13 +23,11 @@ def shard(df: DataFrame, size: Column, order: list[Column], shards: int) -> Data
     keys = [F.col(f"o{i}").asc_nulls_first() for i in range(len(order))]
     ordered = in_order(rows, keys, "shard-order").select("row", "size", "at")
     summed = prefix_sums(ordered, size=F.col("size"), place=F.lit(1))
-    total = ordered.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"), F.count("*").alias("n"))
-    # One row of two numbers.
-    placed = summed.join(F.broadcast(total))
+    total, n = ordered.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     # A table of empty rows has no bytes to cut by: its rows are cut by number.
-    middle = F.when(F.col("total") > 0, 2 * F.col("size_before") + F.col("size")).otherwise(2 * F.col("place_before") + 1)
-    whole = F.when(F.col("total") > 0, F.col("total")).otherwise(F.col("n"))
-    placed = placed.withColumn("shard", F.least(F.floor(middle.cast("decimal(38,0)") * shards / (2 * whole)), F.lit(shards - 1)).cast("int"))
+    middle, whole = (2 * F.col("size_before") + F.col("size"), total) if total else (2 * F.col("place_before") + 1, max(n, 1))
+    cut = F.floor(middle.cast("decimal(38,0)") * shards / (2 * whole))
+    placed = summed.withColumn("shard", F.least(cut, F.lit(shards - 1)).cast("int"))
     # One row for each shard.
     begins = placed.groupBy("shard").agg(F.min("place_before").alias("begins"))
     placed = placed.join(F.broadcast(begins), "shard").withColumn("slot", F.col("place_before") - F.col("begins"))
