@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rollbook import session
-from rollbook.llm import mixing, packing, prefix, sharding, token_files
+from rollbook.llm import mixing, packing, prefix, sharding, substrings, token_files
 
 #: Folder of the public tokenizers' files; None: where their package lies.
 TOKENIZERS: str | None = None
@@ -60,6 +60,13 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every text when repeated windows of 35 words go."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs, "text", 35).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """All documents written as token ids in 16 bits each, and read back."""
