@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rollbook import session
-from rollbook.llm import mixing, packing, prefix, sharding, substrings, token_files
+from rollbook.llm import jaccard, mixing, packing, prefix, sharding, substrings, token_files
 
 #: Folder of the public tokenizers' files; None: where their package lies.
 TOKENIZERS: str | None = None
@@ -73,3 +73,9 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = session.new_shared_path(spark, "token-files")
     token_files.write(table(spark, folder, "documents"), path, tokenizer("byte_bpe_50k.json"), 2, 50_257)
     return token_files.documents(token_files.read(spark, path))
+
+
+@query
+def op9_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Near copies among all documents: five-word shingles, similarity of 0.75 or more."""
+    return jaccard.near_copies(table(spark, folder, "documents"))
