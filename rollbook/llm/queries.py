@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rollbook import session
-from rollbook.llm import jaccard, mixing, packing, prefix, sharding, substrings, token_files
+from rollbook.llm import classifier, jaccard, mixing, packing, prefix, rules, sharding, substrings, token_files
 
 #: Folder of the public tokenizers' files; None: where their package lies.
 TOKENIZERS: str | None = None
@@ -48,6 +48,16 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query
+def op3_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document, learnt from four fifths of the labels."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    weights = classifier.fit(docs, labels.filter(~held_out).select("doc_id", F.col("quality").cast("int").alias("label")))
+    scored = classifier.score(docs.select("doc_id", "text"), weights)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 24 contiguous shards of nearly equal bytes."""
@@ -79,3 +89,11 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op9_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Near copies among all documents: five-word shingles, similarity of 0.75 or more."""
     return jaccard.near_copies(table(spark, folder, "documents"))
+
+
+@query
+def op10_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule statistics and verdict of every document."""
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+    judged = rules.judge(table(spark, folder, "documents"), labels)
+    return judged.select("doc_id", *rules.COUNTS, "base_failed", "kept", "anomaly")
