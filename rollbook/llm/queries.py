@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rollbook import session
-from rollbook.llm import classifier, jaccard, mixing, packing, prefix, rules, sharding, substrings, token_files
+from rollbook.llm import classifier, jaccard, mixing, packing, prefix, rules, sharding, substrings, token_files, topk, url_lists
 
 #: Folder of the public tokenizers' files; None: where their package lies.
 TOKENIZERS: str | None = None
@@ -70,6 +70,61 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op5_url_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page against two dated lists that the pages themselves give.
+
+    A page counts as fetched on a day of 2024 that follows from its id. A host is listed as
+    insecure from the day after it was seen over http until the day after it was seen only
+    over https; a folder as tracking in the same way, by campaign parameters.
+    """
+    pages = table(spark, folder, "pages").select("page_id", "url", F.pmod(F.col("page_id") * 7919, F.lit(366)).cast("int").alias("fetch_day"))
+    url, after = F.col("url"), F.col("fetch_day") + 1
+    insecure = pages.select(F.lit("insecure").alias("list"), url_lists.host(url).alias("key"), after.alias("day"), url.startswith("http://").alias("listed"))
+    tracking = pages.select(F.lit("tracking").alias("list"), url_lists.folder(url).alias("key"), after.alias("day"), url.contains("utm_source=").alias("listed"))
+    tested = url_lists.active(pages, url, F.col("fetch_day"), insecure.unionByName(tracking).filter("key <> ''"))
+    return tested.select("page_id", "fetch_day", "n_active", "lists", "blocked")
+
+
+ORACLES["op5_url_lists"] = """
+WITH page AS (
+    SELECT row_number() OVER () AS nr, page_id, url, CAST((page_id * 7919) % 366 AS INTEGER) AS fetch_day,
+        lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+        regexp_extract(url, '^[^:/?#]+://[^/?#]+/([^/?#]+)', 1) AS segment
+    FROM pages
+), entry AS (
+    SELECT 'insecure' AS list, host AS key, fetch_day + 1 AS day, starts_with(url, 'http://') AS listed FROM page WHERE host <> ''
+    UNION ALL
+    SELECT 'tracking', host || '/' || segment, fetch_day + 1, contains(url, 'utm_source=') FROM page WHERE host <> '' AND segment <> ''
+), daily AS (
+    SELECT list, key, day, bool_or(listed) AS listed FROM entry WHERE day IS NOT NULL GROUP BY ALL
+), held AS (
+    SELECT list, key, day AS begins, lead(day) OVER (PARTITION BY list, key ORDER BY day) AS ends, listed FROM daily
+), label AS (
+    SELECT nr, fetch_day, host, segment, string_split(host, '.') AS labels FROM page WHERE host <> ''
+), asked AS (
+    SELECT DISTINCT nr, fetch_day, key FROM (
+        SELECT nr, fetch_day, unnest(list_transform(range(1, len(labels) + 1), k -> array_to_string(labels[k:], '.'))) AS key FROM label
+        UNION ALL
+        SELECT nr, fetch_day, host || '/' || segment FROM label WHERE segment <> ''
+    )
+), met AS (
+    SELECT nr, count(*) AS n_active, string_agg(DISTINCT list, ',' ORDER BY list) AS lists
+    FROM asked JOIN held ON asked.key = held.key AND listed AND begins <= fetch_day AND (ends IS NULL OR fetch_day < ends) GROUP BY nr
+)
+SELECT page_id, fetch_day, coalesce(n_active, 0) AS n_active, coalesce(lists, '') AS lists, n_active IS NOT NULL AS blocked
+FROM page LEFT JOIN met USING (nr)
+"""
+
+
+@query
+def op6_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector."""
+    rows = table(spark, folder, "embeddings").filter(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    whole = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vector"))
+    return topk.top_k(whole, F.col("vec_id") % 50 == 0, 5)
+
+
 @query
 def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every text when repeated windows of 35 words go."""
