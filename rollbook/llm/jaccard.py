@@ -17,11 +17,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from rollbook import session
 from rollbook.llm import repeats, words as w
 from rollbook.llm.components import components
+from rollbook.llm.prefix import unfold
 
 SHINGLE = 5
 #: Sets from this size on publish only hashes of the lower half, which still leaves more
@@ -162,30 +165,32 @@ def _signature(one: np.ndarray) -> tuple[int, int]:
     return tuple(int(w.mix(one ^ np.uint64(c)).sum(dtype=np.uint64).view(np.int64)) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id.
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75, carry: list[str] | None = None, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """One row for each row of ``docs``: the columns ``carry`` (default: ``doc_id``), and
+    n_shingles, component_id and ``first``, true for one row of every component.
 
     Shingles are runs of five words, A-Z lower-cased; a text of fewer words is one shingle,
     one without words (or null) has none and is linked with nothing. Two texts are linked
     when their sets have a Jaccard similarity of at least ``percent`` / 100; component_id is
-    the smallest ``doc_id`` reachable over links. Texts of equal sets are one node of the
+    the smallest ``doc_id`` reachable over links, and ``first`` marks a row with it. Texts of equal sets are one node of the
     search. A null ``doc_id`` takes part and gets its component's smallest known id, null if
     there is none. Repeated rows are linked. An empty table gives no rows.
     """
     limit = Threshold(percent)
-    slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows, buckets = repeats.dealt(slim, "text")
+    carry = [doc_id] if carry is None else carry
+    slim = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*carry, doc_id, text])))
+    rows, buckets = repeats.dealt(slim, text)
 
     def publish(table: pa.Table) -> pa.Table:
         parts = []
-        for words in repeats.each_chunk(*repeats.texts_of(table, "text"), lower=True):
+        for words in repeats.each_chunk(*repeats.texts_of(table, text), lower=True):
             parts += [s[: published(s, limit)[0]] for s in shingle_sets(words)]
         return repeats.entries(table.column("block")[0].as_py(), parts, buckets)
 
     def describe(table: pa.Table, replies: pa.Table) -> pa.Table:
         known = repeats.Known(replies)
         n, low, high, kept, tokens = [], [], [], [], []
-        for words in repeats.each_chunk(*repeats.texts_of(table, "text"), lower=True):
+        for words in repeats.each_chunk(*repeats.texts_of(table, text), lower=True):
             sets = shingle_sets(words)
             shown = [s[: published(s, limit)[0]] for s in sets]
             counts = known.counts_of(np.concatenate(shown)) if shown else np.zeros(0, np.uint32)
@@ -198,23 +203,29 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
                 high.append(b)
                 kept.append(s.tobytes() if rare else None)
                 tokens.append(rare)
-        ids = pa.compute.struct_field(table.column("row"), "doc_id")
-        return pa.table({"doc_id": ids, "n_shingles": pa.array(n, pa.int64()), "low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64()), "kept": pa.array(kept, pa.binary()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
+        ids = pc.struct_field(table.column("row"), doc_id).cast(pa.int64())
+        own = {"row": repeats.fields_of(table, carry), "id": ids}
+        return pa.table(own | {"n_shingles": pa.array(n, pa.int64()), "low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64()), "kept": pa.array(kept, pa.binary()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
 
     replies = repeats.repeated(rows.groupBy("block").applyInArrow(publish, repeats.ENTRY_SCHEMA))
-    schema = "doc_id long, n_shingles long, low long, high long, kept binary, tokens array<bigint>"
-    described = session.materialize(repeats.by_block(rows, replies, describe, schema), "jaccard-sets")
+    kinds = StructType([slim.schema[c] for c in carry]).simpleString()
+    schema = f"row {kinds}, id long, n_shingles long, low long, high long, kept binary, tokens array<bigint>"
+    described = repeats.by_block(rows, replies, describe, schema).withColumn("at", F.monotonically_increasing_id())
+    described = session.materialize(described, "jaccard-sets")
 
-    alone = described.filter("low is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    alone = described.filter("low is null").select("row", "n_shingles", F.col("id").alias("component_id"), F.lit(True).alias("first"))
     several = described.filter("low is not null")
     same = ["n_shingles", "low", "high"]
-    nodes = several.groupBy(*same).agg(F.min("doc_id").alias("least"), F.first("kept").alias("kept"), F.first("tokens").alias("tokens"))
+    least = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "at")).alias("least")
+    nodes = several.groupBy(*same).agg(least, F.first("kept").alias("kept"), F.first("tokens").alias("tokens"))
     nodes = session.materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
     roots = _roots(nodes, limit, tile_shingles)
     named = nodes.select("node", "least", *same).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(smallest, "root").select(*same, "component_id")
-    return alone.unionByName(several.select("doc_id", *same).join(named, same).select("doc_id", "n_shingles", "component_id"))
+    smallest = named.groupBy("root").agg(F.min("least").alias("whole"))
+    named = named.join(smallest, "root").select(*same, "whole")
+    found = several.select("row", "at", *same).join(named, same)
+    found = found.select("row", "n_shingles", F.col("whole.id").alias("component_id"), (F.col("whole.at") == F.col("at")).alias("first"))
+    return unfold(alone.unionByName(found), "n_shingles", "component_id", "first")
 
 
 def _roots(nodes: DataFrame, limit: Threshold, tile_shingles: int) -> DataFrame:

@@ -104,7 +104,7 @@ WITH page AS (
     SELECT nr, fetch_day, host, segment, string_split(host, '.') AS labels FROM page WHERE host <> ''
 ), asked AS (
     SELECT DISTINCT nr, fetch_day, key FROM (
-        SELECT nr, fetch_day, unnest(list_transform(range(1, len(labels) + 1), k -> array_to_string(labels[k:], '.'))) AS key FROM label
+        SELECT nr, fetch_day, unnest(list_transform(range(1, len(labels) + 1), lambda k: array_to_string(labels[k:], '.'))) AS key FROM label
         UNION ALL
         SELECT nr, fetch_day, host || '/' || segment FROM label WHERE segment <> ''
     )
@@ -143,7 +143,7 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Near copies among all documents: five-word shingles, similarity of 0.75 or more."""
-    return jaccard.near_copies(table(spark, folder, "documents"))
+    return jaccard.near_copies(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query

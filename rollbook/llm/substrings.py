@@ -107,16 +107,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35) -> Dat
                 else:
                     digests.append(hashlib.sha256(b" ".join(parts)).hexdigest())
                     kept.append(None if nulls[len(kept)] else raw.decode())
-        row = table.column("row").combine_chunks()
-        row = row.chunk(0) if isinstance(row, pa.ChunkedArray) else row
-        others = [i for i, f in enumerate(row.type) if f.name != text]
-        slim = pa.StructArray.from_arrays([row.field(i) for i in others], fields=[row.type.field(i) for i in others]) if others else None
+        slim = repeats.fields_of(table, others)
         columns = {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": digests, "kept": pa.array(kept, pa.string())}
         return pa.table(({"row": slim} if others else {}) | columns)
 
-    others = StructType([f for f in docs.schema.fields if f.name != text])
-    schema = (f"row {others.simpleString()}, " if len(others) else "") + "n_words long, n_removed long, kept_sha256 string, kept string"
+    others = [c for c in docs.columns if c != text]
+    kinds = StructType([docs.schema[c] for c in others])
+    schema = (f"row {kinds.simpleString()}, " if others else "") + "n_words long, n_removed long, kept_sha256 string, kept string"
     anchors = repeats.repeated(rows.groupBy("block").applyInArrow(publish_anchors, repeats.ENTRY_SCHEMA))
     windows = repeats.repeated(repeats.by_block(rows, anchors, publish_windows, repeats.ENTRY_SCHEMA))
     out = repeats.by_block(rows, windows, remove, schema)
-    return unfold(out, "n_words", "n_removed", "kept_sha256", "kept") if len(others) else out
+    return unfold(out, "n_words", "n_removed", "kept_sha256", "kept") if others else out
