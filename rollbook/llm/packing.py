@@ -25,7 +25,9 @@ BLOCK_PIECES = 4000
 ISLANDS = 2
 ROUNDS = 2
 POPULATION = 4
-GENERATIONS = 5
+GENERATIONS = 6
+#: Displaced pieces of a child, longest first, that try to replace a smaller one.
+REPLACED = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _STATE = "block long, island int, lengths binary, ats binary, bins array<binary>, done boolean"
@@ -94,37 +96,81 @@ def decreasing(lengths: list[int], order: list[int], capacity: int) -> list[list
     return bins.held
 
 
+def least_sequences(lengths: list[int], capacity: int) -> int:
+    """No packing has fewer sequences.
+
+    Items of more than half a sequence each need one; below a length k, items are left out,
+    and what lies between must fit beside those large items that leave room for it.
+    """
+    x = np.sort(np.array(lengths, dtype=np.int64))
+    sums = np.concatenate([[0], np.cumsum(x)])
+    at_half = int(np.searchsorted(x, capacity / 2, side="right"))
+    k = np.unique(np.append(x[:at_half], 0))
+    low, high = np.searchsorted(x, k), np.maximum(np.searchsorted(x, capacity - k, side="right"), at_half)
+    room = (high - at_half) * capacity - (sums[high] - sums[at_half])
+    rest = -(-np.maximum(sums[at_half] - sums[low] - room, 0) // capacity)
+    return int((len(x) - at_half + rest).max()) if len(x) else 0
+
+
 def fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[int, float]:
     """Fewer sequences first, then fuller ones (mean square of fill)."""
     return -len(bins), sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
 
 
 def cross(one: list[list[int]], other: list[list[int]], lengths: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """A child of ``one`` that holds a run of well-filled sequences of ``other``."""
-    fills = [sum(lengths[i] for i in b) for b in other]
-    good = sorted(range(len(other)), key=lambda k: -fills[k])
-    share = max(1, len(good) // 3)
+    """A child of ``one`` that holds a run of well-filled sequences of ``other``.
+
+    Sequences of ``one`` that hold a piece of the run are dropped, and a few others that
+    are not full; their pieces first replace smaller ones where that fills a sequence
+    better, and are then best-fitted, longest first.
+    """
+    good = sorted(other, key=lambda b: -sum(lengths[i] for i in b))
+    share = max(1, len(good) // 8)
     begin = int(rng.integers(0, max(1, len(good) // 2 - share + 1)))
-    injected = [other[k] for k in good[begin: begin + share]]
-    taken = {i for b in injected for i in b}
-    child, displaced = Bins(capacity), []
-    for b in injected:
-        child.add(list(b), capacity - sum(lengths[i] for i in b))
-    emptied = set(rng.choice(len(one), size=max(1, len(one) // 50), replace=False).tolist()) if one else set()
+    held = [list(b) for b in good[begin: begin + share]]
+    taken = {i for b in held for i in b}
+    emptied = set(rng.choice(len(one), size=min(len(one), 2 + len(one) // 50), replace=False).tolist())
+    displaced: list[int] = []
     for k, b in enumerate(one):
-        fill = sum(lengths[i] for i in b)
-        if taken.isdisjoint(b) and not (k in emptied and fill < capacity):
-            child.add(list(b), capacity - fill)
+        if taken.isdisjoint(b) and not (k in emptied and sum(lengths[i] for i in b) < capacity):
+            held.append(list(b))
         else:
             displaced += [i for i in b if i not in taken]
-    for i in sorted(displaced, key=lambda i: -lengths[i]):
+    size, where = np.array(lengths, dtype=np.int64), np.full(len(lengths), -1)
+    for k, b in enumerate(held):
+        where[b] = k
+    room = np.array([capacity - sum(lengths[i] for i in b) for b in held], dtype=np.int64)
+    waiting = []
+    for n, i in enumerate(sorted(displaced, key=lambda i: -lengths[i])):
+        gain = size[i] - size
+        gain[(where < 0) | (gain > room[where])] = 0
+        j = int(gain.argmax()) if n < REPLACED else i
+        if gain[j] > 0:
+            room[where[j]] -= gain[j]
+            where[i], where[j] = where[j], -1
+        waiting.append(j if gain[j] > 0 else i)
+    child = Bins(capacity)
+    order = np.argsort(where, kind="stable")
+    order = order[where[order] >= 0]
+    for b in np.split(order, np.flatnonzero(np.diff(where[order])) + 1) if len(order) else []:
+        child.add(b.tolist(), int(room[where[b[0]]]))
+    for i in sorted(waiting, key=lambda i: -lengths[i]):
         child.best_fit(i, lengths[i])
     return child.held
 
 
+def founders(lengths: list[int], population: list[list[list[int]]], capacity: int, rng: np.random.Generator) -> list[list[list[int]]]:
+    """Fill a population with best fits in slightly disturbed orders of length."""
+    out = list(population)
+    while len(out) < POPULATION:
+        noise = np.array(lengths) * rng.uniform(0.8, 1.2, len(lengths))
+        out.append(decreasing(lengths, np.argsort(-noise, kind="stable").tolist(), capacity))
+    return out
+
+
 def evolve(lengths: list[int], population: list[list[list[int]]], capacity: int, rng: np.random.Generator, generations: int) -> list[list[list[int]]]:
     """Best solutions first; stops where no solution can have fewer sequences."""
-    least = -(-sum(lengths) // capacity)
+    least = least_sequences(lengths, capacity)
     scored = sorted(((fitness(p, lengths, capacity), p) for p in population), key=lambda x: x[0], reverse=True)
     for _ in range(generations):
         if len(scored[0][1]) <= least:
@@ -167,7 +213,7 @@ def pack(items: DataFrame, capacity: int, block_pieces: int = BLOCK_PIECES, isla
         lengths = pdf["length"].to_numpy(np.int64)
         sizes = lengths.tolist()
         bins = decreasing(sizes, range(len(sizes)), capacity)
-        done = len(bins) <= -(-int(lengths.sum()) // capacity)
+        done = len(bins) <= least_sequences(sizes, capacity)
         row = {"block": int(pdf["block"].iloc[0]), "island": 0, "lengths": lengths.astype(np.int32).tobytes(), "ats": pdf["at"].to_numpy(np.int64).tobytes(), "bins": [_numbers(bins, len(sizes))], "done": done}
         return pd.DataFrame([row])
 
@@ -178,11 +224,7 @@ def pack(items: DataFrame, capacity: int, block_pieces: int = BLOCK_PIECES, isla
                 lengths = np.frombuffer(row.lengths, np.int32).tolist()
                 population = [_lists(b) for b in row.bins]
                 rng = np.random.default_rng([row.block, row.island, turn])
-                while len(population) < POPULATION and not row.done:
-                    # Other starts: the order of lengths, slightly disturbed.
-                    noise = np.array(lengths) * rng.uniform(0.9, 1.1, len(lengths))
-                    population.append(decreasing(lengths, np.argsort(-noise, kind="stable").tolist(), capacity))
-                best = population if row.done else evolve(lengths, population, capacity, rng, GENERATIONS)
+                best = evolve(lengths, founders(lengths, population, capacity, rng), capacity, rng, GENERATIONS)
                 found.append([_numbers(b, len(lengths)) for b in best[:2]])
             yield pdf.assign(bins=found)
 
