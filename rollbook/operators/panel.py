@@ -164,12 +164,21 @@ def two_phase(
 
 def reconcile(
     absences: DataFrame, panel: DataFrame, entity: str = "combined_number",
-    flag: str = "absent",
+    flag: str = "absent", date: str = "date",
 ) -> DataFrame:
-    """Entities with more reported absences than absences on lective days."""
-    reported = absences.groupBy(entity).agg(F.count(F.lit(1)).alias("reported"))
-    counted = panel.groupBy(entity).agg(F.count_if(F.col(flag)).alias("on_lective_days"))
-    return reported.join(counted, entity, "inner").filter("reported > on_lective_days")
+    """Entities with more reported absences than absences on lective days.
+
+    Repeated absence rows count on both sides: a lective day counts once for each
+    absence row of its date.
+    """
+    reported = absences.groupBy(entity, date).agg(F.count(F.lit(1)).alias("__n"))
+    lective = panel.filter(F.col(flag)).groupBy(entity, date).agg(F.count(F.lit(1)).alias("__days"))
+    known = panel.select(entity).distinct()
+    met = reported.join(lective, [entity, date], "left").groupBy(entity).agg(
+        F.sum("__n").alias("reported"),
+        F.coalesce(F.sum(F.col("__n") * F.col("__days")), F.lit(0)).alias("on_lective_days"),
+    )
+    return met.join(known, entity, "left_semi").filter("reported > on_lective_days")
 
 
 def dates_per_entity(
@@ -257,12 +266,14 @@ def class_calendars(
 def reconcile_calendars(calendars: DataFrame, entity: str) -> DataFrame:
     """Students with more reported absences than absences on lective days.
 
-    Counted inside each student's row; the panel is not expanded.
+    Counted inside each student's row; the panel is not expanded. Repeated absence
+    rows count on both sides.
     """
-    reported = F.aggregate(
-        "marks", F.lit(0).cast("bigint"), lambda total, mark: total + mark["n"]
-    )
-    lective = F.size(F.array_intersect(F.col("days.date"), F.col("marks.date"))).cast("bigint")
+    def total(marks: Column) -> Column:
+        return F.aggregate(marks, F.lit(0).cast("bigint"), lambda n, mark: n + mark["n"])
+
+    reported = total(F.col("marks"))
+    lective = total(F.filter("marks", lambda m: F.coalesce(F.array_contains("days.date", m["date"]), F.lit(False))))
     counted = calendars.filter(F.col("marks").isNotNull()).select(
         entity, reported.alias("reported"), lective.alias("on_lective_days")
     )

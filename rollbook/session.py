@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +27,6 @@ AT_START = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
 # Parquet is read compressed; a shuffled row is several times larger.
 SHUFFLE_EXPANSION = 4
-MAX_SHUFFLE_PARTITIONS = 100_000
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -35,26 +36,14 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shuffle_partitions_for(input_bytes: int, at_least: int) -> int:
-    """Partitions that keep one shuffle block set near the target size."""
-    wanted = -(-input_bytes * SHUFFLE_EXPANSION // TARGET_PARTITION_BYTES)
-    return max(at_least, min(wanted, MAX_SHUFFLE_PARTITIONS))
+def initial_partitions(input_bytes: int, at_least: int = 1) -> int:
+    """Partitions that keep one shuffle block set near the target size.
 
-
-def size_shuffles(spark: SparkSession, path: str) -> int:
-    """Raise ``spark.sql.shuffle.partitions`` to fit the bytes below ``path``.
-
-    Small inputs leave the session's own value alone; adaptive execution
-    coalesces what turns out too fine.
+    For the caller who knows how much a job reads: as the session's
+    ``spark.sql.adaptive.coalescePartitions.initialPartitionNum`` it is where
+    adaptive execution starts to coalesce. Queries never change the setting.
     """
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    size = fs.getContentSummary(hadoop_path).getLength()
-    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = shuffle_partitions_for(size, current)
-    if wanted != current:
-        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
-    return wanted
+    return max(at_least, -(-input_bytes * SHUFFLE_EXPANSION // TARGET_PARTITION_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -89,6 +78,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Shuffle files of a stored table's computation are of no use once it is stored.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def dropped_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within this, a finished query's shuffle files are removed; the setting is put back."""
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
@@ -96,5 +103,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     survives lost executors, and its true size guides the choice of joins.
     """
     path = new_shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with dropped_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

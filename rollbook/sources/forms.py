@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 import posixpath
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from rollbook import constants as K
 from rollbook.functions import dates
@@ -20,16 +23,27 @@ def table_name(path: str) -> str:
     return stem.lower().replace("%20", " ").replace(" ", "_")
 
 
+def _below(path: str, directory: str) -> str:
+    """``path`` relative to ``directory``, whatever scheme either is written with."""
+    plain = [re.sub("^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", p) for p in (unquote(path), directory)]
+    inner = plain[1].strip("/") + "/"
+    return plain[0][plain[0].index(inner) + len(inner):]
+
+
 def form_files(spark: SparkSession, directory: str) -> dict[str, str]:
-    """Table name to path for the CSV files of a directory.
+    """Table name to path for the forms of a directory: CSV files, and folders of them.
 
     Names only: the file source prunes the content column, on any file system.
     """
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
-        .load(directory).select("path")
+        .option("recursiveFileLookup", True).load(directory).select("path")
     )
-    return {table_name(r.path): r.path for r in files.sort("path").toLocalIterator()}
+    found = {}
+    for r in files.sort("path").toLocalIterator():
+        form = _below(r.path, directory).split("/")[0]
+        found.setdefault(table_name(form), f"{directory.rstrip('/')}/{form}")
+    return found
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
@@ -37,32 +51,94 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
     return df.dropna(how="all")
 
 
+def read_text_columns(
+    spark: SparkSession, path: str, multi_line: bool = False, file: str | None = None
+) -> DataFrame:
+    """CSV files with a header as text columns, each file by the names in its own header.
+
+    Files of equal header are read together, so the plan has a branch for each
+    header, not for each file. A doubled quote inside quotes is a quote;
+    ``multi_line`` allows line breaks in cells, at the price of unsplit files.
+    ``file`` names a column for the path of a row's file.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), "value",
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+    )
+    # The first line of each file; files are grouped by it, and only names reach the driver.
+    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for r in first.sort("file").toLocalIterator():
+        groups.setdefault(r.header.lstrip("\ufeff"), []).append(r.file)
+    frames = []
+    for header, files in groups.items():
+        names = next(csv.reader([header]))
+        kinds = StructType([StructField(n, StringType()) for n in names])
+        reader = spark.read.schema(kinds).option("header", True).option("escape", '"')
+        frame = reader.option("multiLine", multi_line).csv([_readable(f) for f in files])
+        own = [F.col("_metadata.file_path").alias(file)] if file else []
+        frames.append(frame.select(*(F.col(f"`{n}`") for n in names), *own))
+    if not frames:
+        return spark.createDataFrame([], StructType([StructField(file, StringType())] if file else []))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def _readable(path: str) -> str:
+    """A path of file metadata as a path to read: there blanks are written as %20."""
+    return unquote(path)
+
+
+def _kinds(schema: StructType | str, as_text: Sequence[str] = ()) -> dict[str, str]:
+    given = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return {f.name: "string" if f.name in as_text else f.dataType.simpleString() for f in given}
+
+
+def _typed(raw: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
+    """The named columns by name; values that do not parse and absent columns are NULL."""
+    return raw.select(*(
+        (F.col(f"`{n}`").try_cast(k) if n in raw.columns else F.lit(None).cast(k)).alias(n)
+        for n, k in kinds.items()
+    ))
+
+
 def read_form(
     spark: SparkSession, path: str, schema: StructType | str | None = None,
-    as_text: Sequence[str] = (),
+    as_text: Sequence[str] = (), multi_line: bool = False,
 ) -> DataFrame:
-    """One form. Without a schema all columns are text, so no code loses its zeros;
-    ``as_text`` turns single columns of a given schema into text.
+    """One form, a file or a folder of files. Without a schema all columns are text, so
+    no code loses its zeros; ``as_text`` turns single columns of a given schema into text.
+
+    Columns are found by name. A value that does not parse is NULL;
+    :func:`failed_casts` counts these.
     """
-    reader = spark.read.option("header", True)
-    if schema is not None:
-        given = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        fields = ", ".join(
-            f"`{f.name}` {'string' if f.name in as_text else f.dataType.simpleString()}"
-            for f in given.fields
-        )
-        reader = reader.schema(fields)
-    return drop_empty_rows(reader.csv(path))
+    raw = read_text_columns(spark, path, multi_line)
+    return drop_empty_rows(raw if schema is None else _typed(raw, _kinds(schema, as_text)))
+
+
+def failed_casts(
+    spark: SparkSession, path: str, schema: StructType | str,
+    as_text: Sequence[str] = (), multi_line: bool = False,
+) -> DataFrame:
+    """Values of a form that do not parse under its schema: (column, n), columns with any."""
+    raw, kinds = read_text_columns(spark, path, multi_line), _kinds(schema, as_text)
+    known = [n for n in kinds if n in raw.columns]
+    counts = raw.agg(*(
+        F.count_if(F.col(f"`{n}`").isNotNull() & F.col(f"`{n}`").try_cast(kinds[n]).isNull()).alias(n)
+        for n in known
+    ))
+    return counts.unpivot([], known, "column", "n").filter("n > 0")
 
 
 def read_forms(
     spark: SparkSession, directory: str,
     schemas: Mapping[str, StructType | str] | None = None,
-    as_text: Mapping[str, Sequence[str]] | None = None,
+    as_text: Mapping[str, Sequence[str]] | None = None, multi_line: Collection[str] = (),
 ) -> dict[str, DataFrame]:
     """All forms of a directory by table name, empty rows removed."""
     return {
-        name: read_form(spark, path, (schemas or {}).get(name), (as_text or {}).get(name, ()))
+        name: read_form(
+            spark, path, (schemas or {}).get(name), (as_text or {}).get(name, ()), name in multi_line
+        )
         for name, path in form_files(spark, directory).items()
     }
 
@@ -71,12 +147,13 @@ def read_multi(
     spark: SparkSession, directory: str, schema: StructType | str, columns: Sequence[str],
     key: str = "combined_number", order: Sequence[Column] | None = None,
 ) -> DataFrame:
-    """Union of a directory's lists, one row per key.
+    """Union of a directory's lists, one row per key; each list by its own header.
 
     The first row counts: by ``order``, or by file name and then the columns.
     """
-    rows = spark.read.schema(schema).option("header", True).csv(directory)
-    named = rows.select(*columns, F.col("_metadata.file_path").alias("__file"))
+    raw = read_text_columns(spark, directory, file="__file")
+    kinds = _kinds(schema)
+    named = _typed(raw, {c: kinds[c] for c in columns} | {"__file": "string"})
     by = order or [F.col("__file"), *[F.col(c) for c in columns]]
     return keep_first(named, [key], by).drop("__file")
 
@@ -89,39 +166,44 @@ def read_table(
     types = schema or ", ".join(f"`{n}` string" for n in names)
     return spark.read.schema(types).option("header", header).option(
         "enforceSchema", True
-    ).csv(path).toDF(*names)
+    ).option("escape", '"').csv(path).toDF(*names)
 
 
 def read_sheets(
-    spark: SparkSession, paths: Sequence[str], marker: str = "NAME"
+    spark: SparkSession, paths: Sequence[str], marker: str = "NAME", headerless: str = "error"
 ) -> DataFrame:
-    """Correction sheets (one CSV each): the rows below the repeated header row.
+    """Correction sheets (a CSV file each, or a folder of parts): the rows below the
+    repeated header row.
 
     Sheets may differ in columns; all values are text. ``sheet`` is the position
-    in ``paths`` and ``line`` the row within it, so ``correction_order`` restores
-    the order of entry. A sheet without a repeated header gives no rows.
+    in ``paths`` and ``line`` the place within it, so ``correction_order`` restores
+    the order of entry. A sheet without a repeated header is an error, or gives no
+    rows if ``headerless`` is "skip".
     """
-    frames = []
-    for sheet, path in enumerate(paths):
-        frames.append(_read_sheet(spark, path).withColumn("sheet", F.lit(sheet)))
-    rows = frames[0]
-    for frame in frames[1:]:
-        rows = rows.unionByName(frame, allowMissingColumns=True)
+    sheets = [_read_sheet(spark, p).withColumn("sheet", F.lit(k)) for k, p in enumerate(paths)]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sheets)
     header = (
         rows.filter(F.col(marker) == marker).groupBy("sheet").agg(F.min("line").alias("__header"))
     )
+    if headerless == "error":
+        known = {r.sheet for r in header.select("sheet").toLocalIterator()}
+        lost = [p for k, p in enumerate(paths) if k not in known]
+        if lost:
+            raise ValueError(f"no repeated header row in {lost}")
     below = rows.join(header, "sheet", "inner").filter(F.col("line") > F.col("__header"))
     return below.drop("__header").withColumn(
-        "correction_order", F.col("sheet").cast("bigint") * F.lit(1 << 40) + F.col("line")
+        "correction_order", F.col("sheet").cast("bigint") * F.lit(1 << 52) + F.col("line")
     )
 
 
 def _read_sheet(spark: SparkSession, path: str) -> DataFrame:
-    # A multi-line file is read as one split: the running id follows its rows.
-    return (
-        spark.read.option("header", True).option("multiLine", True).csv(path)
-        .withColumn("line", F.monotonically_increasing_id())
-    )
+    # A multi-line file is read as one split, so the running id follows its rows; parts
+    # follow one another by name.
+    raw = read_text_columns(spark, path, multi_line=True, file="__file")
+    rows = raw.withColumn("line", F.monotonically_increasing_id() % F.lit(1 << 33))
+    parts = sorted(r[0] for r in raw.select("__file").distinct().toLocalIterator())
+    place = F.create_map(*(F.lit(x) for k, p in enumerate(parts) for x in (p, k)))
+    return rows.withColumn("line", place[F.col("__file")].cast("bigint") * F.lit(1 << 33) + F.col("line")).drop("__file")
 
 
 def type_corrections(corrections: DataFrame, origin: str = K.EXCEL_ORIGIN) -> DataFrame:

@@ -32,8 +32,8 @@ def cached(
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Write a report as CSV with a header."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Write a report as CSV with a header; a quote inside a cell is doubled."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_results(tables: dict[str, DataFrame], folder: str) -> None:

@@ -43,7 +43,7 @@ def test_correction_sheets(spark, tmp_path, rows):
     write(tmp_path / "s2.csv", "NAME,permids,class_names\nNAME,permids,class_names\nana,p1,B\n")
     write(tmp_path / "s3.csv", "NAME,permids\nnobody,p4\n")
     paths = [str(tmp_path / f"s{i}.csv") for i in (1, 2, 3)]
-    got = forms.type_corrections(forms.read_sheets(spark, paths))
+    got = forms.type_corrections(forms.read_sheets(spark, paths, headerless="skip"))
     ordered = got.sort("correction_order").select("NAME", "permids", "dobs", "grades", "class_names")
     assert [tuple(r) for r in ordered.collect()] == [
         ("ana", "p1", dt.date(2001, 4, 19), 5.0, None), ("rui", "p3", None, None, None),
@@ -76,10 +76,18 @@ def test_results_as_csv(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out" / "b")).count() == 3
 
 
-def test_shuffle_sizing():
-    assert session.shuffle_partitions_for(10, 8) == 8
-    assert session.shuffle_partitions_for(100 * 2**40, 8) == session.MAX_SHUFFLE_PARTITIONS
-    assert session.shuffle_partitions_for(2**40, 8) == 32768
+def test_initial_partitions_have_no_ceiling():
+    assert session.initial_partitions(10, 8) == 8
+    assert session.initial_partitions(2**40, 8) == 32768
+    assert session.initial_partitions(100 * 2**40) == 3_276_800
+
+
+def test_queries_leave_the_settings_alone(spark):
+    from workload.base import Tables
+
+    before = spark.conf.getAll
+    Tables(spark, "/nowhere")
+    assert spark.conf.getAll == before
 
 
 def test_stored_tables_go_to_the_shared_folder(spark):
@@ -89,9 +97,43 @@ def test_stored_tables_go_to_the_shared_folder(spark):
     assert session.cut_lineage(df).agg(F.sum("x")).first()[0] == 20
 
 
-def test_size_of_inputs_raises_partitions_only(spark, tmp_path):
-    spark.range(10).write.parquet(str(tmp_path / "t"))
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    assert session.size_shuffles(spark, str(tmp_path)) == int(before)
-    with pytest.raises(Exception):
-        session.size_shuffles(spark, str(tmp_path / "missing"))
+def test_columns_are_found_by_name(spark, tmp_path, rows):
+    write(tmp_path / "f.csv", "B,A\n1,2\n")
+    assert rows(forms.read_form(spark, str(tmp_path / "f.csv"), "A int, B int")) == [(2, 1)]
+    assert rows(forms.read_form(spark, str(tmp_path / "f.csv"), "A int, C int")) == [(2, None)]
+
+
+def test_lists_of_different_column_order(spark, tmp_path, rows):
+    write(tmp_path / "a.csv", "combined_number,NAME\n01,ana\n")
+    write(tmp_path / "b.csv", "NAME,combined_number\nrui,02\neva,01\n")
+    got = forms.read_multi(spark, str(tmp_path), "combined_number string, NAME string", ["combined_number", "NAME"])
+    assert rows(got) == [("01", "ana"), ("02", "rui")]
+
+
+def test_quotes_commas_and_line_breaks(spark, tmp_path, rows):
+    write(tmp_path / "f.csv", 'A,"B, b",C\n1,"say ""hi"", x",2\n')
+    write(tmp_path / "g.csv", 'A,B\n1,"two\nlines"\n2,x\n')
+    assert rows(forms.read_form(spark, str(tmp_path / "f.csv"))) == [("1", 'say "hi", x', "2")]
+    assert rows(forms.read_form(spark, str(tmp_path / "g.csv"), multi_line=True)) == [("1", "two\nlines"), ("2", "x")]
+
+
+def test_forms_stored_as_folders(spark, tmp_path, rows):
+    tables = {"one": spark.createDataFrame([("01", 'a "b", c')], "k string, t string").repartition(1), "two": spark.range(3)}
+    store.write_results(tables, str(tmp_path / "out"))
+    write(tmp_path / "out" / "Three x.csv", "k\n7\n")
+    read = forms.read_forms(spark, str(tmp_path / "out"))
+    assert sorted(read) == ["one", "three_x", "two"]
+    assert rows(read["one"]) == [("01", 'a "b", c')] and read["two"].count() == 3 and rows(read["three_x"]) == [("7",)]
+
+
+def test_failed_casts_are_counted(spark, tmp_path, rows):
+    write(tmp_path / "f.csv", "A,B\n1,x\n,2\nz,y\n")
+    assert rows(forms.read_form(spark, str(tmp_path / "f.csv"), "A int, B int")) == [(1, None), (None, 2)]
+    assert rows(forms.failed_casts(spark, str(tmp_path / "f.csv"), "A int, B int")) == [("A", 1), ("B", 2)]
+
+
+def test_a_sheet_without_its_header_is_an_error(spark, tmp_path):
+    write(tmp_path / "s.csv", "NAME,permids\nnobody,p4\n")
+    with pytest.raises(ValueError, match="s.csv"):
+        forms.read_sheets(spark, [str(tmp_path / "s.csv")])
+    assert forms.read_sheets(spark, [str(tmp_path / "s.csv")], headerless="skip").count() == 0

@@ -19,7 +19,6 @@ class Tables:
         self.folder = folder.rstrip("/")
         self._read: dict[str, DataFrame] = {}
         session.tune(spark)
-        session.size_shuffles(spark, self.folder)
 
     def __call__(self, name: str) -> DataFrame:
         # One footer read per table and query; the plan decides what is scanned.

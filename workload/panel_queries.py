@@ -297,8 +297,8 @@ def class_day_expansion(t: Tables) -> DataFrame:
 @query("reconcile", f"""WITH {views.PHASE_TWO},
 reported AS (SELECT combined_number, count(*) AS reported FROM absences_2 GROUP BY 1),
 counted AS (
-  SELECT combined_number, count(*) FILTER (WHERE absent) AS on_lective_days
-  FROM attendance_2 GROUP BY 1)
+  SELECT combined_number, count(a.date) AS on_lective_days
+  FROM attendance_2 LEFT JOIN absences_2 a USING (combined_number, date) GROUP BY 1)
 SELECT combined_number, reported, on_lective_days
 FROM reported JOIN counted USING (combined_number) WHERE reported > on_lective_days""")
 def reconcile(t: Tables) -> DataFrame:
