@@ -217,9 +217,9 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     several = described.filter("low is not null")
     same = ["n_shingles", "low", "high"]
     least = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "at")).alias("least")
-    nodes = several.groupBy(*same).agg(least, F.first("kept").alias("kept"), F.first("tokens").alias("tokens"))
+    nodes = several.groupBy(*same).agg(least, F.first("tokens").alias("tokens"))
     nodes = session.materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
-    roots = _roots(nodes, limit, tile_shingles)
+    roots = _roots(nodes, several.select("at", "kept"), limit, tile_shingles)
     named = nodes.select("node", "least", *same).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("least").alias("whole"))
     named = named.join(smallest, "root").select(*same, "whole")
@@ -228,25 +228,30 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     return unfold(alone.unionByName(found), "n_shingles", "component_id", "first")
 
 
-def _roots(nodes: DataFrame, limit: Threshold, tile_shingles: int) -> DataFrame:
-    """(node, root) of all nodes that may have a link."""
+def _roots(nodes: DataFrame, sets: DataFrame, limit: Threshold, tile_shingles: int) -> DataFrame:
+    """(node, root) of all nodes that may have a link; ``sets`` has (at, kept).
+
+    Sets are large: they move once, when it is known which nodes are compared with which.
+    """
     tokens = nodes.select("node", F.explode("tokens").alias("token"))
     first = tokens.groupBy("token").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
     stars = tokens.join(first, "token").select("a", F.col("node").alias("b"))
     clusters = session.materialize(components(stars), "jaccard-clusters").withColumnRenamed("root", "cluster")
-    placed = nodes.select("node", "n_shingles", "kept").join(clusters, "node")
+    placed = nodes.select("node", "n_shingles", "least.at").join(clusters, "node")
     sizes = placed.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / tile_shingles).cast("int").alias("tiles"))
-    placed = session.materialize(placed.join(sizes, "cluster"), "jaccard-placed")
+    placed = session.materialize(placed.join(sizes, "cluster").drop("n_shingles"), "jaccard-placed")
 
     def link(table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("kept").to_pylist()]
         return pa.table({"a": pa.array(nodes), "b": pa.array(linked_roots(nodes, sets, limit))})
 
-    links = placed.filter("tiles = 1").select("cluster", "node", "kept").groupBy("cluster").applyInArrow(link, "a long, b long")
+    alone = placed.filter("tiles = 1").join(sets, "at").select("cluster", "node", "kept")
+    links = alone.groupBy("cluster").applyInArrow(link, "a long, b long")
     large = placed.filter("tiles > 1").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     if large.isEmpty():
         return components(links)
+    large = large.join(sets, "at").drop("at")
     # First every tile with tile 0; after that only tiles of clusters that are still in parts.
     links = session.materialize(links.unionByName(_tiled(large, F.lit(1), link)), "jaccard-links")
     known = components(links)
