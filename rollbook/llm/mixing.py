@@ -14,7 +14,7 @@ which partial sums meet.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,6 +24,11 @@ from rollbook.llm.prefix import beside, in_order, prefix_sums, unfold
 #: Rates are held in millionths.
 UNIT = 1_000_000
 
+#: Tables of up to so many sources are broadcast, so that a source with a large share of
+#: all documents is not one join key; beyond, joins are shuffled and
+#: adaptive execution splits the large source.
+FEW_SOURCES = 50_000
+
 _KEY = ["src_null", "src"]
 
 
@@ -122,18 +127,23 @@ def mix(df: DataFrame, source: Column, size: Column, weights: Sequence[float] =
     )
     goals = session.materialize(targets(sources, weights, cap), "mix-goals")
     solved = multipliers(cells.filter("size > 0"), goals, cap)
+    few = goals.count() <= FEW_SOURCES
+
+    def to_all(by_source: DataFrame) -> DataFrame:
+        return F.broadcast(by_source) if few else by_source
+
     rates = goals.join(solved, _KEY, "left")
     tilted = F.when(F.col("m").isNull() | (F.col("size") == 0), F.lit(UNIT)).otherwise(rate(F.col("m"), F.col("size"), F.col("mean"), cap))
-    slim = ordered.select("at", *_KEY, "size").join(rates.select(*_KEY, "m", "mean", "tokens", "target"), _KEY)
+    slim = ordered.select("at", *_KEY, "size").join(to_all(rates.select(*_KEY, "m", "mean", "tokens", "target")), _KEY)
     summed = prefix_sums(slim, tilt=tilted)
     starts = summed.groupBy(*_KEY).agg(F.min("tilt_before").alias("start"))
     upto = F.col("tilt_before") - F.col("start") + UNIT // 2
     copies = F.floor((upto + F.col("tilt")) / UNIT) - F.floor(upto / UNIT)
-    counted = summed.join(starts, _KEY).select("at", *_KEY, "size", "tokens", "target", "tilt", copies.cast("int").alias("copies"))
+    counted = summed.join(to_all(starts), _KEY).select("at", *_KEY, "size", "tokens", "target", "tilt", copies.cast("int").alias("copies"))
     counted = session.materialize(counted, "mix-copies")
     changes = None
     for _ in range(repairs):
-        changes = _repair(counted, changes, cap)
+        changes = _repair(counted, changes, cap, to_all)
     counted = _changed(counted, changes)
     out = ordered.select("at", "row").join(counted, "at").select(
         "row", "size", F.col("tokens").alias("source_size"), "target", (F.col("tilt") / UNIT).alias("rate"),
@@ -149,13 +159,13 @@ def _changed(counted: DataFrame, changes: DataFrame | None) -> DataFrame:
     return counted.join(by_row, "at", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)).cast("int")).drop("change")
 
 
-def _repair(counted: DataFrame, changes: DataFrame | None, cap: int) -> DataFrame:
+def _repair(counted: DataFrame, changes: DataFrame | None, cap: int, to_all: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """One more change for each source that a single copy more or less brings nearer."""
     now = _changed(counted, changes)
     gaps = now.groupBy(*_KEY).agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap"))
     able = F.when(F.col("gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
     left = F.round(F.abs(F.abs(F.col("gap")) - F.col("size")), 3)
     better = (F.col("size") > 0) & able & (left < F.abs(F.col("gap")))
-    best = now.join(gaps, _KEY).filter(better).groupBy(*_KEY).agg(F.min(F.struct(left.alias("left"), "at", F.signum("gap").cast("int").alias("change"))).alias("best"))
+    best = now.join(to_all(gaps), _KEY).filter(better).groupBy(*_KEY).agg(F.min(F.struct(left.alias("left"), "at", F.signum("gap").cast("int").alias("change"))).alias("best"))
     new = best.select("best.at", "best.change")
     return session.materialize(new if changes is None else changes.unionByName(new), "mix-changes")
