@@ -64,6 +64,8 @@ LETTER_YEAR = {"a": 2015, "b": 2015, "c": 2015, "d": 2016}
 LETTER_TRIMESTER = {"a": 1, "b": 2, "c": 3, "d": 4}
 MARK_TOKEN = "avaliation"
 MARK_SUBJECT_START = 22
+MARK_PERIODS = ("mt", "ap")
+MARK_YEARS = ("2015", "2016")
 ETHICS_COLUMNS = ("days_off_august", "day_off_august")
 ETHICS_SUBJECT = "etica"
 

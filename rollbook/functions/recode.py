@@ -27,11 +27,11 @@ def standardise_names(
 ) -> DataFrame:
     """Replace a name by its standard form; names without an entry become NULL.
 
-    The lookup holds one row per spelling. Spark broadcasts it while its size
+    Of several entries for a spelling the first standard form in order counts. Spark broadcasts it while its size
     stays under ``spark.sql.autoBroadcastJoinThreshold`` and joins by shuffle
     beyond.
     """
-    spelled = lookup.select(F.col(found).alias(column), F.col(correct).alias("__standard"))
+    spelled = lookup.groupBy(F.col(found).alias(column)).agg(F.min(correct).alias("__standard"))
     joined = df.join(spelled, column, "left")
     return joined.withColumn(column, F.col("__standard")).select(*df.columns)
 

@@ -23,6 +23,12 @@ def _order(order: str) -> list[Column]:
     return [F.col(order).asc_nulls_last()]
 
 
+def _corrected(rows: DataFrame, corrections: DataFrame, person: str, name: str) -> DataFrame:
+    """The few rows of persons that a correction names: pruned before anything is sorted."""
+    persons = corrections.select(F.col("permids").alias(person), F.col("NAME").alias(name)).dropna().distinct()
+    return rows.join(persons, [person, name], "left_semi")
+
+
 def match_corrections(
     corrections: DataFrame, students: DataFrame, student_order: str,
     entity: str = "combined_number",
@@ -31,7 +37,7 @@ def match_corrections(
 
     A correction without name, permid or matching id is dropped.
     """
-    known = students.filter(F.col("PERMID").isNotNull() & F.col("NAME").isNotNull())
+    known = _corrected(students, corrections, "PERMID", "NAME")
     first = keep_first(known, ["PERMID", "NAME"], _order(student_order)).select(
         F.col("PERMID").alias("permids"), "NAME", F.col(entity)
     )
@@ -54,7 +60,7 @@ def correct_entities(
         for new, old in attributes.items()
     ])
     # Only persons whose first row carries an id can be corrected.
-    known = students.filter(F.col("PERMID").isNotNull() & F.col("NAME").isNotNull())
+    known = _corrected(students, corrections, "PERMID", "NAME")
     first = keep_first(known, ["PERMID", "NAME"], _order(student_order))
     fixed = first.filter(F.col(entity).isNotNull()).join(last, ["PERMID", "NAME"], "inner")
     replaced = fixed.withColumns({
@@ -75,10 +81,13 @@ def with_reference_months(
     """
     order = _order(reference_order)
     payload = F.struct(*months).alias("__months")
-    person = keep_first(reference, ["permid", "name"], order).select(
+    own = _corrected(reference, corrections, "permid", "name")
+    named = corrections.select(F.col("NAME").alias("name")).dropna().distinct()
+    namesakes = reference.join(named, "name", "left_semi")
+    person = keep_first(own, ["permid", "name"], order).select(
         F.col("permid").alias("permids"), F.col("name").alias("NAME"), payload
     )
-    by_name = keep_first(reference, ["name"], order).select(
+    by_name = keep_first(namesakes, ["name"], order).select(
         F.col("name").alias("NAME"), payload.alias("__fallback")
     )
     joined = corrections.join(person, ["permids", "NAME"], "left").join(by_name, "NAME", "left")

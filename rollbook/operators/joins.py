@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rollbook import session
+
 
 def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:
     return [c for c in left.columns if c in set(right.columns)]
@@ -80,6 +82,8 @@ def cumulative_snapshots(series: DataFrame, date: str = "date") -> DataFrame:
     the later calendar days and kept where the day was observed: an equi-join,
     not a theta join.
     """
+    # Small (a row for each day and group) and read three times: stored once.
+    series = session.materialize(series, "daily-series")
     observed = series.select(F.col(date).alias("observation_date")).distinct()
     last = series.select(F.max(date)).scalar()
     expanded = series.filter(F.col(date).isNotNull()).withColumn(

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rollbook import constants as K
+from rollbook import constants as K, session
 from rollbook.functions import dates, geo, keys, recode
 from rollbook.operators import joins
 from rollbook.operators.dedupe import keep_first
@@ -85,57 +85,123 @@ def link_exact(students: DataFrame, census: DataFrame, null_safe: bool = False)
     return joins.left_join(folded, people, ["PERMID", "gender"], null_safe)
 
 
-def deletion_variants(name: Column, deletions: int) -> Column:
-    """The name and every string left after removing up to ``deletions`` characters."""
+def _segment(length: Column, parts: int, i: int) -> tuple[Column, Column]:
+    """First letter (from 1) and size of part ``i`` of a text cut into even parts."""
+    begin = F.floor(length * i / parts).cast("int")
+    return begin + 1, F.floor(length * (i + 1) / parts).cast("int") - begin
 
-    def shortened(text: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.length(text)),
-            lambda i: F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1)),
-        )
 
-    level = F.array(name)
-    every = level
-    for _ in range(deletions):
-        longer = F.filter(level, lambda t: F.length(t) > 0)
-        level = F.array_distinct(F.flatten(F.transform(longer, shortened)))
-        every = F.array_union(every, level)
-    return every
+def _own_parts(text: Column, distance: int) -> Column:
+    """Every part of a name as (length of the name, number of the part, letters)."""
+    n = F.length(text)
+    cut = [_segment(n, distance + 1, i) for i in range(distance + 1)]
+    return F.array(*(F.struct(n.alias("l"), F.lit(i).alias("i"), F.substr(text, a, b).alias("t")) for i, (a, b) in enumerate(cut)))
+
+
+def _looked_for(text: Column, distance: int) -> Column:
+    """The parts that a name within the distance may have, as letters of ``text``.
+
+    One of ``distance + 1`` parts of the other name is untouched, and lies at most
+    ``distance`` letters away from its place.
+    """
+    n = F.length(text)
+    lengths = F.filter(F.sequence(n - distance, n + distance), lambda x: x >= 0)
+
+    def of_length(length: Column) -> Column:
+        out = []
+        for i in range(distance + 1):
+            a, b = _segment(length, distance + 1, i)
+            places = F.filter(F.sequence(a - distance, a + distance), lambda p: (p >= 1) & (p + b <= n + 1))
+            out.append(F.transform(places, lambda p: F.struct(length.cast("int").alias("l"), F.lit(i).alias("i"), F.substr(text, p, b).alias("t"))))
+        return F.concat(*out)
+
+    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
 
 
 def link_fuzzy(
-    students: DataFrame, census: DataFrame, max_distance: int = 2,
+    students: DataFrame, census: DataFrame, max_distance: int = 4,
     name: str = "name", gender: str = "gender", person: str = "permid",
 ) -> DataFrame:
     """Nearest census name of the same gender within an edit distance.
 
     Adds ``match_name``, ``match_distance`` and ``match_person``; NULL where no
-    name is near enough. Ties go to the name first in order, then to the
-    smallest person id.
+    name is near enough (:func:`open_names` lists those). Ties go to the name
+    first in order, then to the smallest person id.
 
     Both sides are first reduced to distinct names, so a name shared by a third
-    of all people is compared once. Two names within distance d share a string
-    left after at most d deletions on each side: the join on that string finds
-    every pair, and only names a few letters apart meet at all. The join key is
-    a hash; the edit distance itself decides.
+    of all people is compared once. Equal names are joined first. Then the
+    distance widens by one letter at a time for the names still unmatched: cut
+    into one part more than the distance, a near name keeps a part whole, so an
+    equi-join on parts finds every pair, and each pair is measured once. The
+    cost of a round grows with the square of the distance, not with a power.
     """
     wanted = students.select(F.col(gender).alias("g"), F.col(name).alias("n")).dropna().distinct()
     offered = census.select(
         F.col(gender).alias("g"), F.col(name).alias("m"), F.col(person).alias("p")
     ).dropna(subset=["g", "m"]).groupBy("g", "m").agg(F.min("p").alias("p"))
+    wanted, offered = session.materialize(wanted, "names-wanted"), session.materialize(offered, "names-offered")
+    found = wanted.join(offered.withColumnRenamed("m", "n"), ["g", "n"]).select(
+        "g", "n", F.struct(F.lit(0).alias("d"), F.col("n").alias("m"), "p").alias("b")
+    )
+    found = session.materialize(found, "names-matched")
+    for distance in range(1, max_distance + 1):
+        left = wanted.join(found, ["g", "n"], "left_anti")
+        if left.isEmpty():
+            break
+        asked = left.select("g", "n", F.explode(_looked_for(F.col("n"), distance)).alias("k"))
+        known = offered.select("g", "m", F.explode(_own_parts(F.col("m"), distance)).alias("k"))
+        pairs = asked.join(known, ["g", "k"]).select("g", "n", "m").distinct()
+        near = pairs.filter(F.levenshtein("n", "m", distance) >= 0).join(offered, ["g", "m"])
+        best = near.groupBy("g", "n").agg(F.min(F.struct(F.lit(distance).alias("d"), "m", "p")).alias("b"))
+        found = session.materialize(found.unionByName(best), "names-matched")
+    matched = found.select(
+        F.col("g").alias(gender), F.col("n").alias(name), F.col("b.m").alias("match_name"),
+        F.col("b.d").alias("match_distance"), F.col("b.p").alias("match_person"),
+    )
+    return students.join(matched, [gender, name], "left")
 
-    def keyed(df: DataFrame, text: str) -> DataFrame:
-        variants = F.explode(deletion_variants(F.col(text), max_distance))
-        return df.select("*", variants.alias("v")).select(
-            *df.columns, F.xxhash64("g", "v").alias("k")
-        )
-
-    pairs = keyed(wanted, "n").join(keyed(offered, "m"), ["k", "g"]).select(
-        "g", "n", "m", "p", F.levenshtein("n", "m", max_distance).alias("d")
-    ).filter("d >= 0")
-    best = pairs.groupBy("g", "n").agg(F.min(F.struct("d", "m", "p")).alias("b")).select(
-        F.col("g").alias(gender), F.col("n").alias(name),
-        F.col("b.m").alias("match_name"), F.col("b.d").alias("match_distance"),
-        F.col("b.p").alias("match_person"),
+
+def open_names(
+    linked: DataFrame, census: DataFrame, max_distance: int = 4, name: str = "name", gender: str = "gender",
+) -> DataFrame:
+    """Names that :func:`link_fuzzy` left open, with the number of people and a reason."""
+    genders = census.select(F.col(gender).alias("__known")).dropna().distinct()
+    left = linked.filter(F.col("match_name").isNull()).groupBy(gender, name).agg(F.count(F.lit(1)).alias("people"))
+    reason = (
+        F.when(F.col(name).isNull(), "no name").when(F.col(gender).isNull(), "no gender")
+        .when(F.col("__known").isNull(), "gender absent from the census")
+        .otherwise(f"no name within {max_distance} letters")
+    )
+    return left.join(genders, F.col(gender) == F.col("__known"), "left").select(gender, name, "people", reason.alias("reason"))
+
+
+def link_nearest(
+    linked: DataFrame, census: DataFrame, max_distance: int = 4, name: str = "NAME",
+    attributes: Sequence[str] = ("lng", "lat"),
+) -> DataFrame:
+    """Positions of the nearest census name for students that exact linkage left without.
+
+    Adds ``perfect_match_in_census`` and ``approximate_match_in_census``: the name was
+    found as it is, or with other letters. Students with a position keep it and have
+    FALSE in both. The census must hold one row per permid.
+    """
+    # Columns by place: exact linkage may leave names that differ in case only.
+    place = {c: f"__{i}" for i, c in enumerate(linked.columns)}
+    rows = linked.toDF(*(f"__{i}" for i in range(len(linked.columns))))
+    own, sex, held = place[name], place["gender"], [place[c] for c in attributes]
+    people = census.select(
+        keys.match_gender(F.col("gender")).alias(sex), F.col("name").alias(own), "permid",
+        *(F.col(c).alias(f"__found_{c}") for c in attributes),
+    ).filter(F.col(f"__found_{attributes[0]}").isNotNull())
+    near = link_fuzzy(rows.filter(F.col(held[0]).isNull()), people, max_distance, own, sex)
+    taken = people.select(F.col("permid").alias("match_person"), *(f"__found_{c}" for c in attributes))
+    near = near.join(taken, "match_person", "left").withColumns(
+        {h: F.coalesce(h, f"__found_{c}") for h, c in zip(held, attributes)}
     )
-    return students.join(best, [gender, name], "left")
+    flags = {
+        "perfect_match_in_census": F.coalesce(F.col("match_distance") == 0, F.lit(False)),
+        "approximate_match_in_census": F.coalesce(F.col("match_distance") > 0, F.lit(False)),
+    }
+    near = near.withColumns(flags).select(*rows.columns, *flags)
+    rest = rows.filter(F.col(held[0]).isNotNull()).withColumns({f: F.lit(False) for f in flags})
+    return rest.unionByName(near).toDF(*linked.columns, *flags)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -36,16 +35,21 @@ def parse_mark(
     column: str, subject_start: int = K.MARK_SUBJECT_START,
     letter_year: Mapping[str, int] = K.LETTER_YEAR,
     letter_trimester: Mapping[str, int] = K.LETTER_TRIMESTER,
+    periods: Sequence[str] = K.MARK_PERIODS, years: Sequence[str] = K.MARK_YEARS,
 ) -> Mark:
     """Year, trimester, period and subject from an evaluation column's name."""
     tokens = column.split("_")
     letter = next((t for t in tokens if len(t) == 1), None)
-    period = next((t.upper() for t in ("mt", "ap") if t in tokens), None)
-    letters = "|".join(f"_{x}_" for x in letter_trimester)
-    subject = re.sub(f"{letters}|_2016|_2015|_mt_|_ap_", "_", column[subject_start - 1:])
+    period = next((t for t in tokens if t in periods), None)
+    said = {*letter_year, *periods, *years}
+    first, *middle = column[subject_start - 1:].split("_")
+    # The first and the last token border on no underscore on one side: they stay, but
+    # for a year at the end.
+    last = ["" if t in years else t for t in middle[-1:]]
+    subject = "_".join([first, *(t for t in middle[:-1] if t not in said), *last])
     return Mark(
-        column, letter_year.get(letter), letter_trimester.get(letter), period,
-        re.sub(letters, "", subject),
+        column, letter_year.get(letter), letter_trimester.get(letter),
+        None if period is None else period.upper(), subject,
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -90,13 +90,15 @@ def school_labels() -> dict[str, Column]:
 def eligible_classes(
     classes: DataFrame, schools: DataFrame,
     start: str = K.PHASE_1_START, end: str = K.PHASE_1_END,
+    school_order: Sequence[Column] = (),
 ) -> DataFrame:
     """Classes with their school and the array of observable ``days``.
 
+    Of a school filed twice the first row counts, by ``school_order``, then by its values.
     Only weekdays in one of the class's reference months count; classes without
     any are left out.
     """
-    single = keep_first(schools, ["SCHOOL_UUID"], [F.col(c) for c in schools.columns])
+    single = keep_first(schools, ["SCHOOL_UUID"], [*school_order, *[F.col(c) for c in schools.columns]])
     placed = classes.select(
         "SCHOOL_UUID", "CLASS_UUID", "CLASS_NAME", "GRADE", *MONTHS
     ).join(single, "SCHOOL_UUID", "left")
@@ -174,8 +176,10 @@ ROSTER = (
 def roster(eligible: DataFrame, ids: DataFrame) -> DataFrame:
     """Students of the panel with the id numbers that match them in every attribute.
 
-    A missing attribute matches a missing attribute. ``ids`` must be unique in
-    the shared attributes; ``sources.forms.read_multi`` removes repeated ids.
+    A missing attribute matches a missing attribute. Of ``ids`` that repeat in the
+    shared attributes the first counts, by their other columns.
     """
     students = describe(eligible).select(*ROSTER).distinct()
+    shared = joins.shared_columns(students, ids)
+    ids = keep_first(ids, shared, [F.col(c) for c in ids.columns if c not in shared] or [F.lit(0)])
     return joins.natural_left_join(students, ids, null_safe=True)

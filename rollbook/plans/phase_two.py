@@ -71,23 +71,27 @@ def dated_months(tables: Sequence[MonthTable]) -> DataFrame:
     )
 
 
-def student_classes(form_b2: DataFrame, form_b3: DataFrame) -> DataFrame:
+def student_classes(form_b2: DataFrame, form_b3: DataFrame, order: str | None = None) -> DataFrame:
     """One class per student: the third form first, then the second.
 
+    Of a student filed twice in a form the first row counts, by the forms' column
+    ``order`` if given, then by the class.
+
     The school number is the second part of the id in both.
     """
     b3 = form_b3.select(
         "combined_number", F.col("students_grade").try_cast("double").cast("int").alias("grade"),
         F.col("students_class").alias("class"), F.lit(0).alias("__rank"),
+        (F.col(order) if order else F.lit(0)).alias("__order"),
     )
     b2 = form_b2.select(
         "combined_number", F.col("grade").try_cast("double").cast("int").alias("grade"), "class",
-        F.lit(1).alias("__rank"),
+        F.lit(1).alias("__rank"), (F.col(order) if order else F.lit(0)).alias("__order"),
     )
     number = F.split_part("combined_number", F.lit("-"), F.lit(2)).try_cast("int")
     both = b3.unionByName(b2).withColumn("school_number", number)
     known = joins.require(both, CLASS_KEYS)
-    order = [F.col(c) for c in ("__rank", *CLASS_KEYS)]
+    order = [F.col(c) for c in ("__rank", "__order", *CLASS_KEYS)]
     return keep_first(known, ["combined_number"], order).select("combined_number", *CLASS_KEYS)
 
 

@@ -86,8 +86,11 @@ def corrected(
 
 
 def census_students(students: DataFrame, census: DataFrame) -> DataFrame:
-    """Students with census attributes; the name column in lower case."""
-    return linkage.link_exact(students, census).withColumnRenamed("NAME", "name")
+    """Students with census attributes, positions also by the nearest name; the name
+    column in lower case.
+    """
+    linked = linkage.link_nearest(linkage.link_exact(students, census), census)
+    return linked.withColumnRenamed("NAME", "name")
 
 
 def schools(students: DataFrame, locations: DataFrame) -> DataFrame:

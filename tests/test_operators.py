@@ -223,9 +223,12 @@ def test_calendars_agree_with_rows(spark, rows):
 
 
 def test_reconciliation(spark, rows):
-    absences = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "combined_number string")
+    absences = spark.createDataFrame(
+        [("a", 1), ("a", 2), ("b", 1), ("c", 1)], "combined_number string, date int"
+    )
     grid = spark.createDataFrame(
-        [("a", True), ("a", False), ("b", True)], "combined_number string, absent boolean"
+        [("a", 1, True), ("a", 3, False), ("b", 1, True)],
+        "combined_number string, date int, absent boolean",
     )
     assert rows(panel.reconcile(absences, grid)) == [("a", 2, 1)]
 
@@ -403,3 +406,45 @@ def test_yes_rows_decide_which_months_exist(spark, rows):
     assert rows(got, "uri", "month", "class", "info", "info_yes") == [
         ("u", "may", "A", 1, 2), ("v", "fev", None, None, 1),
     ]
+
+
+def test_open_names_have_a_reason(spark, rows):
+    students = spark.createDataFrame([("M", "abcdef"), ("M", "zzzzzzzzz"), ("M", None), (None, "x"), ("X", "abc"), ("M", "zzzzzzzzz")], "gender string, name string")
+    census = spark.createDataFrame([(1, "abcxef", "M")], "permid int, name string, gender string")
+    linked = linkage.link_fuzzy(students, census, 3)
+    assert linked.filter("match_person = 1 and match_distance = 1").count() == 1
+    assert rows(linkage.open_names(linked, census, 3), "name", "people", "reason") == sorted([
+        ("zzzzzzzzz", 2, "no name within 3 letters"), (None, 1, "no name"), ("x", 1, "no gender"),
+        ("abc", 1, "gender absent from the census"),
+    ], key=repr)
+
+
+def test_nearest_name_gives_a_position(spark, rows):
+    linked = spark.createDataFrame([("a", "rui", "MALE", 1.0), ("b", "ana", "MALE", None), ("c", "anna", "MALE", None), ("d", "xyzxyz", "MALE", None)],
+                                   "sid string, NAME string, gender string, lng double")
+    census = spark.createDataFrame([("p1", "ana", "Male", 7.0), ("p2", "rui", "male", None)], "permid string, name string, gender string, lng double")
+    got = linkage.link_nearest(linked, census, 2, attributes=["lng"])
+    assert rows(got, "sid", "lng", "perfect_match_in_census", "approximate_match_in_census") == [
+        ("a", 1.0, False, False), ("b", 7.0, True, False), ("c", 7.0, False, True), ("d", None, False, False),
+    ]
+
+
+def test_repeated_absences_count_on_both_sides(spark):
+    day = dt.date(2016, 3, 1)
+    absences = spark.createDataFrame([("a", day), ("a", day)], "combined_number string, date date")
+    grid = spark.createDataFrame([("a", day, True)], "combined_number string, date date, absent boolean")
+    assert panel.reconcile(absences, grid).count() == 0
+    calendars = spark.createDataFrame(
+        [("a", [(day,)], [(day, 2)]), ("b", [(day,)], [(day, 1), (dt.date(2016, 3, 2), 2)])],
+        "combined_number string, days array<struct<date:date>>, marks array<struct<date:date,n:bigint>>",
+    )
+    got = panel.reconcile_calendars(calendars, "combined_number").collect()
+    assert [tuple(r) for r in got] == [("b", 3, 1)]
+
+
+def test_repeated_spellings_give_one_row(spark, rows):
+    from rollbook.functions import recode
+
+    names = spark.createDataFrame([("a",), ("b",)], "name string")
+    lookup = spark.createDataFrame([("a", "B"), ("a", "A")], "found string, correct string")
+    assert rows(recode.standardise_names(names, lookup, "name", "found", "correct")) == [("A",), (None,)]

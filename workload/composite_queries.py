@@ -79,9 +79,8 @@ attendance AS (
 PHASED_ROWS = ",\n".join([views.STUDENTS, views.ORDER_DAYS]) + """,
 phased AS (
   SELECT combined_number, date, status = 'F' AS absent,
-         CASE WHEN year(date) <= 1995 THEN 1 ELSE 2 END AS phase
-  FROM order_days JOIN students USING (student_id)
-  WHERE year(date) <= 1995 OR year(date) >= 2001)"""
+         CASE WHEN year(date) < 1998 THEN 1 ELSE 2 END AS phase
+  FROM order_days JOIN students USING (student_id))"""
 ATTENDANCE = ",\n".join([views.PHASE_ONE, views.IDS, views.PHASE_TWO, TWO_PHASE])
 
 
@@ -109,7 +108,7 @@ def two_phase_rows(t: Tables) -> DataFrame:
     rows = views.order_days(t).join(people, "student_id").select(
         "combined_number", "date", (F.col("status") == "F").alias("absent")
     )
-    return panel.two_phase(rows.filter(F.year("date") <= 1995), rows.filter(F.year("date") >= 2001))
+    return panel.two_phase(rows.filter(F.year("date") < 1998), rows.filter(F.year("date") >= 1998))
 
 
 @query("panel_report", f"""WITH {ATTENDANCE},

@@ -50,17 +50,49 @@ best AS (
   SELECT name, gender, arg_min(m, (d, m)) AS m, min(d) AS d, arg_min(p, (d, m)) AS p
   FROM (SELECT DISTINCT name, gender, m, p, levenshtein(name, m) AS d
         FROM roster JOIN census ON gender = g)
-  WHERE d <= 2 GROUP BY 1, 2)
+  WHERE d <= 4 GROUP BY 1, 2)
 SELECT student_id, r.name, r.gender, b.m AS match_name, CAST(b.d AS INTEGER) AS match_distance,
        b.p AS match_person
 FROM roster r LEFT JOIN best b ON r.name = b.name AND r.gender = b.gender""")
 def link_fuzzy(t: Tables) -> DataFrame:
-    """Nearest name of the same gender within two letters."""
+    """Nearest name of the same gender within four letters, the distance widened in rounds."""
     students = t("part").selectExpr("p_partkey AS student_id", f"{WRITTEN} AS name", "p_brand AS gender")
     census = t("part").selectExpr("p_name AS name", "p_brand AS gender", "p_partkey AS permid")
     return linkage.link_fuzzy(students, census)
 
 
+@query("linked_census_fuzzy", f"""WITH roster AS (
+  SELECT p_partkey AS student_id, {WRITTEN} AS name, p_brand AS gender,
+         CASE WHEN p_partkey % 3 = 0 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0') END AS permid FROM part),
+census AS (
+  SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS permid, p_brand AS gender, p_name AS name,
+         CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END AS lng FROM part),
+exact AS (SELECT r.*, c.lng FROM roster r LEFT JOIN census c USING (permid)),
+named AS (SELECT name AS m, gender AS g, min(permid) AS p FROM census WHERE lng IS NOT NULL GROUP BY ALL),
+best AS (
+  SELECT name, gender, min(d) AS d, arg_min(p, (d, m)) AS p
+  FROM (SELECT DISTINCT e.name, e.gender, m, p, levenshtein(e.name, m) AS d
+        FROM (SELECT DISTINCT name, gender FROM exact WHERE lng IS NULL) e JOIN named ON e.gender = g)
+  WHERE d <= 4 GROUP BY 1, 2)
+SELECT student_id, upper(e.gender) AS gender, coalesce(e.lng, c.lng) AS lng,
+       e.lng IS NULL AND coalesce(d = 0, FALSE) AS perfect_match_in_census,
+       e.lng IS NULL AND coalesce(d > 0, FALSE) AS approximate_match_in_census
+FROM exact e LEFT JOIN best b ON e.lng IS NULL AND e.name = b.name AND e.gender = b.gender
+LEFT JOIN census c ON c.permid = b.p""")
+def linked_census_fuzzy(t: Tables) -> DataFrame:
+    """Exact linkage first, then positions of the nearest name for students without one."""
+    students = t("part").selectExpr(
+        "p_partkey AS student_id", f"{WRITTEN} AS NAME", "p_brand AS gender",
+        "CASE WHEN p_partkey % 3 = 0 THEN lpad(CAST(p_partkey AS STRING), 6, '0') END AS PERMID",
+    )
+    census = t("part").selectExpr(
+        "lpad(CAST(p_partkey AS STRING), 6, '0') AS permid", "p_brand AS gender", "p_name AS name",
+        "CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END AS lng",
+    )
+    linked = linkage.link_nearest(linkage.link_exact(students, census), census, attributes=["lng"])
+    return linked.select("student_id", "gender", "lng", "perfect_match_in_census", "approximate_match_in_census")
+
+
 # --- positions --------------------------------------------------------------
 
 UTM_N = "(1e0 / 298.257223563e0 / (2e0 - 1e0 / 298.257223563e0))"

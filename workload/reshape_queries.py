@@ -176,7 +176,7 @@ acted AS (
 def class_form(t: Tables) -> DataFrame:
     """The class form with columns chosen by pattern and their prefix removed."""
     return recode.select_matching(
-        class_answers(t), keep="class_room", drop="reason|administative|data|district",
+        class_answers(t), keep="class_room", drop="reason",
         always=("uri", "school_code", "grade", "class"), strip="^class_room_",
         rename={"school_code": "school_number"},
     )
