@@ -152,3 +152,89 @@ def op10_rules(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
     judged = rules.judge(table(spark, folder, "documents"), labels)
     return judged.select("doc_id", *rules.COUNTS, "base_failed", "kept", "anomaly")
+
+
+ORACLES["op6_topk"] = """
+WITH vector AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS whole FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.whole, b.whole) AS BIGINT) AS score
+    FROM vector a JOIN vector b ON a.vec_id <> b.vec_id AND len(a.whole) = len(b.whole) WHERE a.vec_id % 50 = 0
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+ORACLES["op7_substrings"] = r"""
+WITH spelled AS (
+    SELECT row_number() OVER () AS nr, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), begun AS (
+    SELECT nr, words, unnest(range(1, len(words) - 33)) AS s FROM spelled WHERE len(words) >= 35
+), windows AS (
+    SELECT nr, s, md5(array_to_string(words[s:s + 34], ' ')) AS h FROM begun
+), twice AS (
+    SELECT h FROM windows GROUP BY h HAVING count(*) > 1
+), gone AS (
+    SELECT DISTINCT nr, unnest(range(s, s + 35)) AS p FROM windows JOIN twice USING (h)
+), placed AS (
+    SELECT nr, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM spelled
+), kept AS (
+    SELECT nr, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM placed ANTI JOIN gone USING (nr, p) GROUP BY nr
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM spelled LEFT JOIN kept USING (nr)
+"""
+
+ORACLES["op9_jaccard"] = r"""
+WITH RECURSIVE spelled AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), shingle AS (
+    SELECT DISTINCT doc_id, h FROM (
+        SELECT doc_id, md5(array_to_string(words[s:s + 4], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS s FROM spelled WHERE len(words) >= 5)
+        UNION ALL
+        SELECT doc_id, md5(array_to_string(words, ' ')) FROM spelled WHERE len(words) BETWEEN 1 AND 4
+    )
+), held AS (
+    SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingle a JOIN shingle b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL
+), link AS (
+    SELECT c.a, c.b FROM common c JOIN held x ON x.doc_id = c.a JOIN held y ON y.doc_id = c.b WHERE 100 * c.n >= 75 * (x.n + y.n - c.n)
+), reached(doc_id, least) AS (
+    SELECT b, a FROM link UNION SELECT a, b FROM link
+    UNION
+    SELECT r.doc_id, l.o FROM reached r JOIN (SELECT a AS i, b AS o FROM link UNION ALL SELECT b, a FROM link) l ON l.i = r.least
+)
+SELECT s.doc_id, coalesce(any_value(held.n), 0) AS n_shingles, least(s.doc_id, min(r.least)) AS component_id
+FROM spelled s LEFT JOIN held USING (doc_id) LEFT JOIN reached r ON r.doc_id = s.doc_id GROUP BY s.doc_id
+"""
+
+ORACLES["op4_sharding"] = """
+WITH RECURSIVE step(i, k, c) AS (
+    SELECT i, 0, CAST(i AS BIGINT) FROM range(256) t(i)
+    UNION ALL
+    SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8
+), crc AS (
+    SELECT list(c ORDER BY i) AS of_byte FROM step WHERE k = 8
+), bytes AS (
+    SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x:
+        CAST(16 * (strpos('0123456789ABCDEF', x[1]) - 1) + strpos('0123456789ABCDEF', x[2]) - 1 AS BIGINT)) AS b FROM documents
+), sized AS (
+    SELECT doc_id, CAST(coalesce(len(b), 0) + 8 AS BIGINT) AS size,
+        CAST(xor(list_reduce(b, lambda c, x: xor(c >> 8, of_byte[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS BIGINT) AS text_crc32
+    FROM bytes, crc
+), summed AS (
+    SELECT *, CAST(sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32 NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before,
+        CAST(sum(size) OVER () AS BIGINT) AS total
+    FROM sized
+), cut AS (
+    SELECT *, CAST(least((2 * before + size) * 24 // (2 * total), 23) AS INTEGER) AS shard FROM summed
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+    row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32 NULLS FIRST, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM cut
+"""
