@@ -171,9 +171,10 @@ def student_months(attendance: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _monthly_report(counts: DataFrame, by: str) -> DataFrame:
+    # A student has one row a month, and one class and district.
     report = rates.sum_counts(
         counts, ["month_start", by],
-        {"students": "combined_number", "classes": "class_number"},
+        {"students": "combined_number", "classes": "class_number"}, "combined_number",
     )
     return report.withColumn("year_month", dates.year_month(F.col("month_start"), " ")).drop(
         "month_start"

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from rollbook.functions import dates, keys
 from rollbook.operators import rates
+from rollbook.plans import phase_two
 from workload.base import Tables, day, query, rounded
 from workload.views import EVENT_DAYS, SHIPMENTS, STUDENTS, event_days, shipments, students
 
@@ -34,32 +34,22 @@ def yearly_rate_by_nation(t: Tables) -> DataFrame:
     return rounded(rates.rate_by(yearly, ["year", "school_name"]), "absenteeism_rate")
 
 
-def _student_months(t: Tables) -> DataFrame:
-    """Day counts per student and month, then the student's attributes.
-
-    The lines are reduced to student-months on two narrow keys before any
-    attribute is joined.
-    """
+def _attendance(t: Tables) -> DataFrame:
+    """Student-days under the combined id."""
     lines = t("lineitem").select(
-        "l_orderkey", dates.month_start(day("l_shipdate")).alias("month_start"),
+        "l_orderkey", day("l_shipdate").alias("date"),
         F.when(F.col("l_linenumber") != 7, F.col("l_returnflag") == "R").alias("absent"),
     )
     owners = t("orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("student_id")
     )
-    counts = rates.day_counts(lines.join(owners, "l_orderkey"), ["month_start", "student_id"])
-    return counts.join(students(t), "student_id")
+    ids = students(t).select("student_id", "combined_number")
+    return lines.join(owners, "l_orderkey").join(ids, "student_id").drop("l_orderkey", "student_id")
 
 
-def _monthly(counts: DataFrame, by: list[str], classes: str) -> DataFrame:
-    """Monthly report; months are grouped as dates and labelled afterwards."""
-    report = rates.sum_counts(
-        counts, ["month_start", *by], {"students": "student_id", "classes": classes}, "student_id"
-    )
-    labelled = report.withColumn("year_month", dates.year_month(F.col("month_start"), " "))
-    return rounded(
-        labelled.withColumnRenamed("eligibles", "student_school_days").drop("month_start"),
-        "absenteeism_rate",
+def _classes(t: Tables) -> DataFrame:
+    return students(t).select(
+        "combined_number", "school_number", "grade", F.col("class_name").alias("class")
     )
 
 
@@ -79,20 +69,16 @@ labelled AS (
 SELECT year_month, class_number, {REPORT_SQL} FROM labelled GROUP BY 1, 2""")
 def monthly_rate_by_class(t: Tables) -> DataFrame:
     """Monthly report per class."""
-    parts = ["school_number", "grade", "class_name"]
-    report = _monthly(_student_months(t), parts, "class_name")
-    label = keys.class_label(*[F.col(p) for p in parts])
-    return report.withColumn("class_number", label).drop(*parts)
+    report = phase_two.monthly_class_report(_attendance(t), _classes(t))
+    return rounded(report, "absenteeism_rate")
 
 
 @query("monthly_rate_by_region", f"""WITH {LABELLED}
-SELECT year_month, district, {REPORT_SQL} FROM labelled GROUP BY 1, 2""")
+SELECT year_month, left(combined_number, 2) AS district, {REPORT_SQL} FROM labelled GROUP BY 1, 2""")
 def monthly_rate_by_region(t: Tables) -> DataFrame:
     """Monthly report per district."""
-    label = keys.class_label(F.col("school_number"), F.col("grade"), F.col("class_name"))
-    return _monthly(
-        _student_months(t).withColumn("class_number", label), ["district"], "class_number"
-    )
+    report = phase_two.monthly_district_report(_attendance(t), _classes(t))
+    return rounded(report, "absenteeism_rate")
 
 
 MONTHLY_FACT_SQL = """facts AS (
