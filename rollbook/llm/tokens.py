@@ -13,7 +13,7 @@ import re
 import numpy as np
 
 #: Distinct parts a worker remembers; parts beyond are encoded whenever they occur.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 #: Letters of Latin-1 followed by ASCII punctuation without the apostrophe.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
@@ -43,7 +43,7 @@ class _Parts(dict):
 
     def __init__(self, tokenizer, words: bool) -> None:
         self.tokenizer, self.model, self.words = tokenizer, tokenizer.model, words
-        self.cores: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
         ids = self._split(part)
@@ -54,14 +54,19 @@ class _Parts(dict):
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _core(self, core: str) -> bytes:
-        known = self.cores.get(core)
-        if known is None:
-            written = "".join([_LETTERS[b] for b in core.encode()])
-            known = np.array([t.id for t in self.model.tokenize(written)], dtype="<u4").tobytes()
-            if len(self.cores) < REMEMBERED:
-                self.cores[core] = known
-        return known
+    def _merged(self, word: str) -> bytes:
+        """Ids of letters, or of signs, that the tokenizer never cuts before merging."""
+        written = "".join([_LETTERS[b] for b in word.encode()])
+        return np.array([t.id for t in self.model.tokenize(written)], dtype="<u4").tobytes()
+
+    def _bare(self, word: str) -> bytes:
+        """The same without a space in front: signs after a word, words after a line feed."""
+        ids = self.bare.get(word)
+        if ids is None:
+            ids = self._merged(word)
+            if len(self.bare) < REMEMBERED // 8:
+                self.bare[word] = ids
+        return ids
 
     def _split(self, part: str) -> bytes:
         if self.words:
@@ -69,7 +74,9 @@ class _Parts(dict):
             if plain is None:
                 return self._whole(part) if part else b""
             core, tail = plain[1].lower(), plain[2]
-            return self._core(core) + (self[tail] if tail else b"")
+            if core == part:
+                return self._merged(core)
+            return self[core] + (self[tail] if tail else b"")
         begin = part[1:2] if part[:1] == "\n" else part[:1]
         if not begin or not _visible(begin) or not _visible(part[-1]):
             raise Doubtful
@@ -77,13 +84,13 @@ class _Parts(dict):
             plain = _PLAIN.fullmatch(part, 1)
             if plain is None:
                 return self._whole(part)
-            head = self._core("\n") + self._core(plain[1])
+            head = self._bare("\n") + self._bare(plain[1])
         else:
             plain = _PLAIN.fullmatch(part)
             if plain is None:
                 return self._whole(" " + part)
-            head = self._core(" " + plain[1])
-        return head + (self._core(plain[2]) if plain[2] else b"")
+            head = self[plain[1]] if plain[2] else self._merged(" " + part)
+        return head + (self._bare(plain[2]) if plain[2] else b"")
 
 
 def _visible(c: str) -> bool:
