@@ -189,7 +189,7 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame
     equal scores; an empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(weights)
-    rows = beside(docs)
+    rows, names = beside(docs), docs.columns
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = held.value.astype(float)
@@ -201,6 +201,7 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame
             for i, j in w.chunks(offsets):
                 at = offsets[i: j + 1]
                 found.append(margins(w.words_of(data[at[0]: at[-1]], at - at[0]), weights))
+            row = w.fields_of(row, names)
             yield pa.RecordBatch.from_arrays([row, pa.array(probability(np.concatenate(found)))], ["row", "score"])
 
     return unfold(rows.mapInArrow(apply, f"row {docs.schema.simpleString()}, score double"), "score")

@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 from rollbook import session
 from rollbook.llm import repeats, words as w
 from rollbook.llm.components import components
-from rollbook.llm.prefix import unfold
+from rollbook.llm.prefix import SEPARATED, beside, unfold
 
 SHINGLE = 5
 #: Sets from this size on publish only hashes of the lower half, which still leaves more
@@ -204,7 +204,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
                 kept.append(s.tobytes() if rare else None)
                 tokens.append(rare)
         ids = pc.struct_field(table.column("row"), doc_id).cast(pa.int64())
-        own = {"row": repeats.fields_of(table, carry), "id": ids}
+        own = {"row": w.fields_of(table.column("row"), carry), "id": ids}
         return pa.table(own | {"n_shingles": pa.array(n, pa.int64()), "low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64()), "kept": pa.array(kept, pa.binary()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
 
     replies = repeats.repeated(rows.groupBy("block").applyInArrow(publish, repeats.ENTRY_SCHEMA))
@@ -228,6 +228,21 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     return unfold(alone.unionByName(found), "n_shingles", "component_id", "first")
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` that :func:`near_copies` marks as first, with all their columns.
+
+    Rows are known by a hash of all columns meanwhile, so texts are moved once more and
+    never stored. Rows without words are all kept; of rows equal in all columns one stays.
+    """
+    keyed = beside(docs).withColumn("digest", F.xxhash64("row"))
+    worded = F.coalesce(F.col("row").getField(text).cast("string").rlike(SEPARATED), F.lit(False))
+    slim = keyed.select(F.col("row").getField(doc_id).alias("doc_id"), F.col("row").getField(text).alias("text"), "digest")
+    marked = near_copies(slim, percent=percent, carry=["doc_id", "digest"])
+    first = session.materialize(marked.filter("first and n_shingles > 0").select("digest").distinct(), "jaccard-first")
+    kept = keyed.filter(worded).join(first, "digest", "left_semi").dropDuplicates(["digest"])
+    return unfold(kept.unionByName(keyed.filter(~worded)))
+
+
 def _roots(nodes: DataFrame, sets: DataFrame, limit: Threshold, tile_shingles: int) -> DataFrame:
     """(node, root) of all nodes that may have a link; ``sets`` has (at, kept).
 

@@ -39,16 +39,6 @@ def texts_of(table: pa.Table, text: str) -> tuple[np.ndarray, np.ndarray]:
     return w.text_buffers(column if pa.types.is_string(column.type) else column.cast(pa.string()))
 
 
-def fields_of(table: pa.Table, names: list[str]) -> pa.StructArray | None:
-    """The named columns of a block's rows as one struct column; None for no names."""
-    row = table.column("row").combine_chunks()
-    row = row.chunk(0) if isinstance(row, pa.ChunkedArray) else row
-    if not names:
-        return None
-    at = [row.type.get_field_index(n) for n in names]
-    return pa.StructArray.from_arrays([row.field(i) for i in at], fields=[row.type.field(i) for i in at])
-
-
 def each_chunk(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Iterator[w.Words]:
     for i, j in w.chunks(offsets):
         at = offsets[i: j + 1]

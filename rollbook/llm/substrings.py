@@ -107,7 +107,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35) -> Dat
                 else:
                     digests.append(hashlib.sha256(b" ".join(parts)).hexdigest())
                     kept.append(None if nulls[len(kept)] else raw.decode())
-        slim = repeats.fields_of(table, others)
+        slim = w.fields_of(table.column("row"), others) if others else None
         columns = {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": digests, "kept": pa.array(kept, pa.string())}
         return pa.table(({"row": slim} if others else {}) | columns)
 

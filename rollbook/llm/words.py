@@ -120,6 +120,15 @@ def text_buffers(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return raw[at[0]: at[-1]], at - at[0]
 
 
+def fields_of(row: pa.StructArray | pa.ChunkedArray, names: list[str]) -> pa.StructArray:
+    """The named fields of a struct column, all nullable as declared schemas are."""
+    if isinstance(row, pa.ChunkedArray):
+        row = row.combine_chunks()
+        row = row.chunk(0) if isinstance(row, pa.ChunkedArray) else row
+    at = [row.type.get_field_index(n) for n in names]
+    return pa.StructArray.from_arrays([row.field(i) for i in at], fields=[row.type.field(i).with_nullable(True) for i in at])
+
+
 def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of about ``most`` bytes; a longer text stands alone."""
     n, i = len(offsets) - 1, 0

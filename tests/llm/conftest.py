@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard string, row string, at long, score string"
 
@@ -40,7 +41,7 @@ def corpus():
 def docs(spark, corpus):
     """The corpus with further columns whose names operators use themselves."""
     rows = [(i, t, "en", s, None if t is None else len(t), -1, "x", "y", -2, "z") for i, t, s in corpus]
-    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).withColumn("never_null", F.lit(1))
 
 
 @pytest.fixture(scope="session")

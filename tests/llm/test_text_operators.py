@@ -114,8 +114,17 @@ def test_near_copies(docs, corpus, rows, monkeypatch, half_from, tile, block_byt
     assert set(docs.columns) <= set(got.columns)
 
 
+def test_one_of_each(docs, corpus):
+    got = jaccard.one_of_each(docs)
+    want, groups = expected_components(corpus)
+    kept = [r.doc_id for r in got.collect()]
+    assert len(kept) == groups and got.columns == docs.columns
+    assert {i for i in kept if i is not None} == {c for _, _, c in want if c is not None}
+
+
 def test_near_copies_of_empty(empty):
     assert jaccard.near_copies(empty).count() == 0
+    assert jaccard.one_of_each(empty).count() == 0
 
 
 def test_count_tree_loses_no_link():
