@@ -20,7 +20,7 @@ from rollbook.llm.prefix import beside
 
 #: Bytes of text in a block, and bytes of text whose hashes share a bucket, on average.
 BLOCK_BYTES = 4 << 20
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 8 << 20
 
 _ENTRY = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
 _REPLY = pa.schema([("block", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
