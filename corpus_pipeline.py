@@ -35,7 +35,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near copies, that of the smallest id."""
-    return jaccard.near_copies(docs, carry=DOCUMENT).filter("first").select(*DOCUMENT)
+    return jaccard.one_of_each(docs.select(*DOCUMENT))
 
 
 def drop_repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
