@@ -10,6 +10,7 @@ from rollbook.operators import joins, linkage, panel, quality
 from rollbook.plans import phase_one, phase_two, report, study
 from workload import views
 from workload.base import Tables, pad, query, rounded
+from workload.link_queries import utm_sql
 
 
 @query("slot_absences", f"WITH {views.SLOT_ABSENCES} SELECT student_id, date FROM slot_absences")
@@ -379,7 +380,7 @@ def census(t: Tables) -> DataFrame:
     ])
 
 
-CENSUS = """members AS (
+CENSUS = f"""members AS (
   SELECT lpad(CAST(c_custkey AS VARCHAR), 12, '0') || '-01' AS permid,
          DATE '1990-01-01' + CAST(c_custkey % 4000 AS INTEGER) AS dob,
          CASE c_custkey % 3 + 1 WHEN 1 THEN 'male' WHEN 2 THEN 'female' END AS gender,
@@ -393,8 +394,14 @@ individuals AS (
          CASE s_suppkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' END AS gender,
          left(lpad(CAST(s_suppkey AS VARCHAR), 12, '0'), 8) AS house_number, 'second' AS geo
   FROM supplier),
+coordinates AS (
+  SELECT left(lpad(CAST(s_suppkey AS VARCHAR), 12, '0'), 8) AS house_number,
+         min(CASE WHEN s_acctbal > 0 THEN 450000e0 + s_suppkey % 1000 * 100 END) AS easting,
+         min(CASE WHEN s_acctbal > 0 THEN 7180000e0 + s_suppkey % 1000 * 100 END) AS northing
+  FROM supplier GROUP BY 1),
+placed AS ({utm_sql('easting', 'northing', 'coordinates', 'house_number')}),
 census AS (
-  SELECT permid, dob, gender, house_number, geo, NULL AS lng, NULL AS lat FROM individuals
+  SELECT permid, dob, gender, house_number, geo, lng, lat FROM individuals LEFT JOIN placed USING (house_number)
   UNION ALL
   SELECT permid, dob, gender, house_number, geo, lng, lat FROM members
   WHERE permid NOT IN (SELECT permid FROM individuals))"""
@@ -404,7 +411,7 @@ census AS (
 SELECT s.uri AS student_id, s.permid,
        CASE gender_code WHEN 1 THEN 'MALE' WHEN 2 THEN 'FEMALE' END AS gender,
        c.dob AS census_dob, c.house_number, c.geo,
-       CASE WHEN c.geo = 'first' THEN round(c.lng, 6) END AS lng
+       round(c.lng, 6) AS lng, round(c.lat, 6) AS lat
 FROM student_form s
 LEFT JOIN census c ON s.permid = c.permid
   AND upper(c.gender) = CASE gender_code WHEN 1 THEN 'MALE' WHEN 2 THEN 'FEMALE' END""")
@@ -418,7 +425,7 @@ def linked_census(t: Tables) -> DataFrame:
     return linked.select(
         "student_id", F.col("PERMID").alias("permid"), "gender", F.col("dob").alias("census_dob"),
         "house_number", "geo",
-        F.round(F.when(F.col("geo") == "first", F.col("lng")), 6).alias("lng"),
+        F.round("lng", 6).alias("lng"), F.round("lat", 6).alias("lat"),
     )
 
 
