@@ -13,7 +13,7 @@ import re
 import numpy as np
 
 #: Distinct parts a worker remembers; parts beyond are encoded whenever they occur.
-REMEMBERED = 300_000
+REMEMBERED = 450_000
 
 #: Letters of Latin-1 followed by ASCII punctuation without the apostrophe.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
