@@ -232,8 +232,11 @@ def pack(items: DataFrame, capacity: int, block_pieces: int = BLOCK_PIECES, isla
     state = session.materialize(dealt.groupBy("block").applyInPandas(begin, _STATE), "pack-blocks")
     settled, open_ = state.filter("done"), state.filter("not done")
     open_ = open_.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
+    # Rows are few and small but take seconds each: a fixed number of partitions, which
+    # adaptive execution does not draw together.
+    tasks = min(blocks * islands, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     for turn in range(rounds):
-        evolved = open_.repartition("block", "island").mapInPandas(lambda frames, turn=turn: island(frames, turn), _STATE)
+        evolved = open_.repartition(tasks, "block", "island").mapInPandas(lambda frames, turn=turn: island(frames, turn), _STATE)
         open_ = session.materialize(evolved, "pack-islands")
         if turn + 1 < rounds and islands > 1:
             # Elite migration: the best of island i joins the population of island i + 1.
