@@ -12,6 +12,10 @@ from rollbook.operators import joins
 from rollbook.operators.dedupe import keep_first
 
 CENSUS_COLUMNS = ("permid", "dob", "gender", "name", "house_number", "lng", "lat", "geo")
+#: Letters up to which names are met by their parts; beyond, parts are too short to tell names apart.
+PART_ROUNDS = 4
+#: Shares of the census names that a name without a near one is measured against.
+SHARES = 64
 COORDINATE_ALIASES = {"lng": ("longitude", "x", "lon"), "lat": ("latitude", "y")}
 
 
@@ -118,15 +122,24 @@ def _looked_for(text: Column, distance: int) -> Column:
     return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
 
 
+def _nearest_of_all(wanted: DataFrame, offered: DataFrame) -> DataFrame:
+    """Best of all names of the same gender; shares keep two genders from being two tasks."""
+    asked = wanted.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    known = offered.withColumn("s", F.pmod(F.hash("m"), F.lit(SHARES)))
+    measured = asked.join(known, ["g", "s"]).select("g", "n", F.struct(F.levenshtein("n", "m").alias("d"), "m", "p").alias("b"))
+    return measured.groupBy("g", "n").agg(F.min("b").alias("b"))
+
+
 def link_fuzzy(
-    students: DataFrame, census: DataFrame, max_distance: int = 4,
+    students: DataFrame, census: DataFrame, max_distance: int | None = None,
     name: str = "name", gender: str = "gender", person: str = "permid",
 ) -> DataFrame:
-    """Nearest census name of the same gender within an edit distance.
+    """Nearest census name of the same gender, at any edit distance.
 
-    Adds ``match_name``, ``match_distance`` and ``match_person``; NULL where no
-    name is near enough (:func:`open_names` lists those). Ties go to the name
-    first in order, then to the smallest person id.
+    Adds ``match_name``, ``match_distance`` and ``match_person``; NULL without a
+    name, a gender or a census name of that gender, and for matches that
+    ``max_distance`` does not accept (:func:`open_names` lists all those). Ties
+    go to the name first in order, then to the smallest person id.
 
     Both sides are first reduced to distinct names, so a name shared by a third
     of all people is compared once. Equal names are joined first. Then the
@@ -134,6 +147,9 @@ def link_fuzzy(
     into one part more than the distance, a near name keeps a part whole, so an
     equi-join on parts finds every pair, and each pair is measured once. The
     cost of a round grows with the square of the distance, not with a power.
+    Names that are open after ``PART_ROUNDS`` letters are measured against all
+    census names of their gender, in ``SHARES`` tasks a gender: only the few
+    that resemble no name pay for that.
     """
     wanted = students.select(F.col(gender).alias("g"), F.col(name).alias("n")).dropna().distinct()
     offered = census.select(
@@ -144,7 +160,8 @@ def link_fuzzy(
         "g", "n", F.struct(F.lit(0).alias("d"), F.col("n").alias("m"), "p").alias("b")
     )
     found = session.materialize(found, "names-matched")
-    for distance in range(1, max_distance + 1):
+    limit = PART_ROUNDS if max_distance is None else min(PART_ROUNDS, max_distance)
+    for distance in range(1, limit + 1):
         left = wanted.join(found, ["g", "n"], "left_anti")
         if left.isEmpty():
             break
@@ -154,6 +171,12 @@ def link_fuzzy(
         near = pairs.filter(F.levenshtein("n", "m", distance) >= 0).join(offered, ["g", "m"])
         best = near.groupBy("g", "n").agg(F.min(F.struct(F.lit(distance).alias("d"), "m", "p")).alias("b"))
         found = session.materialize(found.unionByName(best), "names-matched")
+    if max_distance is None or max_distance > PART_ROUNDS:
+        left = wanted.join(found, ["g", "n"], "left_anti")
+        if not left.isEmpty():
+            found = session.materialize(found.unionByName(_nearest_of_all(left, offered)), "names-matched")
+    if max_distance is not None:
+        found = found.filter(F.col("b.d") <= max_distance)
     matched = found.select(
         F.col("g").alias(gender), F.col("n").alias(name), F.col("b.m").alias("match_name"),
         F.col("b.d").alias("match_distance"), F.col("b.p").alias("match_person"),
@@ -162,10 +185,10 @@ def link_fuzzy(
 
 
 def open_names(
-    linked: DataFrame, census: DataFrame, max_distance: int = 4, name: str = "name", gender: str = "gender",
+    linked: DataFrame, census: DataFrame, max_distance: int | None = None, name: str = "name", gender: str = "gender",
 ) -> DataFrame:
     """Names that :func:`link_fuzzy` left open, with the number of people and a reason."""
-    genders = census.select(F.col(gender).alias("__known")).dropna().distinct()
+    genders = census.dropna(subset=[gender, name]).select(F.col(gender).alias("__known")).distinct()
     left = linked.filter(F.col("match_name").isNull()).groupBy(gender, name).agg(F.count(F.lit(1)).alias("people"))
     reason = (
         F.when(F.col(name).isNull(), "no name").when(F.col(gender).isNull(), "no gender")
@@ -176,14 +199,16 @@ def open_names(
 
 
 def link_nearest(
-    linked: DataFrame, census: DataFrame, max_distance: int = 4, name: str = "NAME",
+    linked: DataFrame, census: DataFrame, max_distance: int | None = 4, name: str = "NAME",
     attributes: Sequence[str] = ("lng", "lat"),
 ) -> DataFrame:
     """Positions of the nearest census name for students that exact linkage left without.
 
     Adds ``perfect_match_in_census`` and ``approximate_match_in_census``: the name was
     found as it is, or with other letters. Students with a position keep it and have
-    FALSE in both. The census must hold one row per permid.
+    FALSE in both. Adds ``match_name`` and ``match_distance`` of the nearest name at any
+    distance; its position is taken, and flagged, if ``max_distance`` accepts it (None:
+    always). The census must hold one row per permid.
     """
     # Columns by place: exact linkage may leave names that differ in case only.
     place = {c: f"__{i}" for i, c in enumerate(linked.columns)}
@@ -193,15 +218,19 @@ def link_nearest(
         keys.match_gender(F.col("gender")).alias(sex), F.col("name").alias(own), "permid",
         *(F.col(c).alias(f"__found_{c}") for c in attributes),
     ).filter(F.col(f"__found_{attributes[0]}").isNotNull())
-    near = link_fuzzy(rows.filter(F.col(held[0]).isNull()), people, max_distance, own, sex)
+    near = link_fuzzy(rows.filter(F.col(held[0]).isNull()), people, None, own, sex)
+    accepted = F.lit(True) if max_distance is None else F.col("match_distance") <= max_distance
     taken = people.select(F.col("permid").alias("match_person"), *(f"__found_{c}" for c in attributes))
     near = near.join(taken, "match_person", "left").withColumns(
-        {h: F.coalesce(h, f"__found_{c}") for h, c in zip(held, attributes)}
+        {h: F.when(accepted, F.coalesce(h, f"__found_{c}")).otherwise(F.col(h)) for h, c in zip(held, attributes)}
     )
     flags = {
         "perfect_match_in_census": F.coalesce(F.col("match_distance") == 0, F.lit(False)),
-        "approximate_match_in_census": F.coalesce(F.col("match_distance") > 0, F.lit(False)),
+        "approximate_match_in_census": F.coalesce(accepted & (F.col("match_distance") > 0), F.lit(False)),
     }
-    near = near.withColumns(flags).select(*rows.columns, *flags)
-    rest = rows.filter(F.col(held[0]).isNotNull()).withColumns({f: F.lit(False) for f in flags})
-    return rest.unionByName(near).toDF(*linked.columns, *flags)
+    nearest = {"match_name": "string", "match_distance": "int"}
+    near = near.withColumns(flags).select(*rows.columns, *flags, *nearest)
+    rest = rows.filter(F.col(held[0]).isNotNull()).withColumns(
+        {f: F.lit(False) for f in flags} | {c: F.lit(None).cast(t) for c, t in nearest.items()}
+    )
+    return rest.unionByName(near).toDF(*linked.columns, *flags, *nearest)

@@ -330,6 +330,26 @@ def test_fuzzy_linkage_finds_what_brute_force_finds(spark, limit):
         assert (r.match_distance, r.match_name, r.match_person) == best
 
 
+def test_the_nearest_name_is_found_at_any_distance(spark, rows):
+    students = spark.createDataFrame([("a", "ruiunlikeunlike", "M"), ("b", "", "M"), ("c", "ruy", "M"), ("d", "ana", "F")], "sid string, name string, gender string")
+    census = spark.createDataFrame([(1, "rui", "M"), (2, "joaquim", "M"), (3, "zrui", "M"), (4, None, "F")], "permid int, name string, gender string")
+    got = linkage.link_fuzzy(students, census)
+    assert rows(got, "sid", "match_name", "match_distance", "match_person") == [
+        ("a", "rui", 12, 1), ("b", "rui", 3, 1), ("c", "rui", 1, 1), ("d", None, None, None),
+    ]
+    assert rows(linkage.link_fuzzy(students, census, 11), "sid", "match_distance")[0] == ("a", None)
+    assert rows(linkage.link_fuzzy(students, census, 12), "sid", "match_distance")[0] == ("a", 12)
+    assert rows(linkage.open_names(got, census), "name", "reason") == [("ana", "gender absent from the census")]
+
+
+def test_a_far_name_is_named_before_it_is_accepted(spark, rows):
+    linked = spark.createDataFrame([("a", "ruiunlike", "MALE", None)], "sid string, NAME string, gender string, lng double")
+    census = spark.createDataFrame([("p1", "rui", "male", 7.0)], "permid string, name string, gender string, lng double")
+    columns = "sid", "lng", "approximate_match_in_census", "match_name", "match_distance"
+    assert rows(linkage.link_nearest(linked, census, attributes=["lng"]), *columns) == [("a", None, False, "rui", 6)]
+    assert rows(linkage.link_nearest(linked, census, None, attributes=["lng"]), *columns) == [("a", 7.0, True, "rui", 6)]
+
+
 def test_exact_linkage_folds_case(spark, rows):
     students = spark.createDataFrame([("p1", "Male"), ("p2", "Male"), (None, "Male")],
                                      "PERMID string, gender string")

@@ -55,10 +55,42 @@ SELECT student_id, r.name, r.gender, b.m AS match_name, CAST(b.d AS INTEGER) AS
        b.p AS match_person
 FROM roster r LEFT JOIN best b ON r.name = b.name AND r.gender = b.gender""")
 def link_fuzzy(t: Tables) -> DataFrame:
-    """Nearest name of the same gender within four letters, the distance widened in rounds."""
+    """Nearest name of the same gender, accepted within four letters."""
+    return linkage.link_fuzzy(*roster_and_census(t), max_distance=4)
+
+
+def roster_and_census(t: Tables) -> tuple[DataFrame, DataFrame]:
     students = t("part").selectExpr("p_partkey AS student_id", f"{WRITTEN} AS name", "p_brand AS gender")
-    census = t("part").selectExpr("p_name AS name", "p_brand AS gender", "p_partkey AS permid")
-    return linkage.link_fuzzy(students, census)
+    return students, t("part").selectExpr("p_name AS name", "p_brand AS gender", "p_partkey AS permid")
+
+
+@query("nearest_names", f"""WITH roster AS (
+  SELECT p_partkey AS student_id, {WRITTEN} AS name, p_brand AS gender FROM part),
+census AS (SELECT p_name AS m, p_brand AS g, min(p_partkey) AS p FROM part GROUP BY ALL),
+best AS (
+  SELECT name, gender, arg_min(m, (d, m)) AS m, min(d) AS d, arg_min(p, (d, m)) AS p
+  FROM (SELECT DISTINCT name, gender, m, p, levenshtein(name, m) AS d
+        FROM roster JOIN census ON gender = g) GROUP BY 1, 2)
+SELECT student_id, r.name, r.gender, b.m AS match_name, CAST(b.d AS INTEGER) AS match_distance,
+       b.p AS match_person
+FROM roster r LEFT JOIN best b ON r.name = b.name AND r.gender = b.gender""")
+def nearest_names(t: Tables) -> DataFrame:
+    """Nearest name of the same gender, however far."""
+    return linkage.link_fuzzy(*roster_and_census(t))
+
+
+@query("open_names", f"""WITH roster AS (
+  SELECT {WRITTEN} AS name, p_brand AS gender FROM part),
+census AS (SELECT DISTINCT p_name AS m, p_brand AS g FROM part WHERE p_brand <> 'Brand#11')
+SELECT gender, name, count(*) AS people, CASE WHEN gender = 'Brand#11' THEN 'gender absent from the census'
+  ELSE 'no name within 4 letters' END AS reason
+FROM roster r WHERE NOT EXISTS (FROM census WHERE g = r.gender AND levenshtein(r.name, m) <= 4)
+GROUP BY ALL""")
+def open_names(t: Tables) -> DataFrame:
+    """Names that stay open when four letters are accepted and a gender is missing."""
+    students, census = roster_and_census(t)
+    census = census.filter("gender <> 'Brand#11'")
+    return linkage.open_names(linkage.link_fuzzy(students, census, 4), census, 4)
 
 
 @query("linked_census_fuzzy", f"""WITH roster AS (
