@@ -200,13 +200,14 @@ def open_names(
 
 def link_nearest(
     linked: DataFrame, census: DataFrame, max_distance: int | None = 4, name: str = "NAME",
-    attributes: Sequence[str] = ("lng", "lat"),
+    attributes: Sequence[str] = ("lng", "lat"), held_is_perfect: bool = False,
 ) -> DataFrame:
     """Positions of the nearest census name for students that exact linkage left without.
 
     Adds ``perfect_match_in_census`` and ``approximate_match_in_census``: the name was
     found as it is, or with other letters. Students with a position keep it and have
-    FALSE in both. Adds ``match_name`` and ``match_distance`` of the nearest name at any
+    FALSE in both; with ``held_is_perfect``, as the reference means it, TRUE in the
+    first. Adds ``match_name`` and ``match_distance`` of the nearest name at any
     distance; its position is taken, and flagged, if ``max_distance`` accepts it (None:
     always). The census must hold one row per permid.
     """
@@ -231,6 +232,6 @@ def link_nearest(
     nearest = {"match_name": "string", "match_distance": "int"}
     near = near.withColumns(flags).select(*rows.columns, *flags, *nearest)
     rest = rows.filter(F.col(held[0]).isNotNull()).withColumns(
-        {f: F.lit(False) for f in flags} | {c: F.lit(None).cast(t) for c, t in nearest.items()}
+        dict(zip(flags, (F.lit(held_is_perfect), F.lit(False)))) | {c: F.lit(None).cast(t) for c, t in nearest.items()}
     )
     return rest.unionByName(near).toDF(*linked.columns, *flags, *nearest)

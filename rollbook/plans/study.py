@@ -87,9 +87,9 @@ def corrected(
 
 def census_students(students: DataFrame, census: DataFrame) -> DataFrame:
     """Students with census attributes, positions also by the nearest name; the name
-    column in lower case.
+    column in lower case. A position by exact linkage is a perfect match.
     """
-    linked = linkage.link_nearest(linkage.link_exact(students, census), census)
+    linked = linkage.link_nearest(linkage.link_exact(students, census), census, held_is_perfect=True)
     return linked.withColumnRenamed("NAME", "name")
 
 

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rollbook.plans import study
 from rollbook.operators import (
     corrections, dedupe, distance, joins, linkage, panel, quality, rates, reshape,
 )
@@ -350,6 +351,16 @@ def test_a_far_name_is_named_before_it_is_accepted(spark, rows):
     assert rows(linkage.link_nearest(linked, census, None, attributes=["lng"]), *columns) == [("a", 7.0, True, "rui", 6)]
 
 
+def test_an_exactly_linked_student_is_a_perfect_match(spark, rows):
+    students = spark.createDataFrame([("p1", "rui", "Male"), (None, "ana", "Male"), ("p3", "anna", "Male")], "PERMID string, NAME string, gender string")
+    census = spark.createDataFrame([("p1", "other", "male", 1.0, 2.0), ("p2", "ana", "male", 3.0, 4.0), ("p3", "x", "male", None, None)],
+                                   "permid string, name string, gender string, lng double, lat double")
+    got = study.census_students(students, census)
+    assert rows(got, "name", "lng", "perfect_match_in_census", "approximate_match_in_census") == [
+        ("ana", 3.0, True, False), ("anna", 3.0, False, True), ("rui", 1.0, True, False),
+    ]
+
+
 def test_exact_linkage_folds_case(spark, rows):
     students = spark.createDataFrame([("p1", "Male"), ("p2", "Male"), (None, "Male")],
                                      "PERMID string, gender string")

@@ -113,6 +113,11 @@ FROM exact e LEFT JOIN best b ON e.lng IS NULL AND e.name = b.name AND e.gender
 LEFT JOIN census c ON c.permid = b.p""")
 def linked_census_fuzzy(t: Tables) -> DataFrame:
     """Exact linkage first, then positions of the nearest name for students without one."""
+    linked = linked_part(t)
+    return linked.select("student_id", "gender", "lng", "perfect_match_in_census", "approximate_match_in_census")
+
+
+def linked_part(t: Tables, **options) -> DataFrame:
     students = t("part").selectExpr(
         "p_partkey AS student_id", f"{WRITTEN} AS NAME", "p_brand AS gender",
         "CASE WHEN p_partkey % 3 = 0 THEN lpad(CAST(p_partkey AS STRING), 6, '0') END AS PERMID",
@@ -121,8 +126,34 @@ def linked_census_fuzzy(t: Tables) -> DataFrame:
         "lpad(CAST(p_partkey AS STRING), 6, '0') AS permid", "p_brand AS gender", "p_name AS name",
         "CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END AS lng",
     )
-    linked = linkage.link_nearest(linkage.link_exact(students, census), census, attributes=["lng"])
-    return linked.select("student_id", "gender", "lng", "perfect_match_in_census", "approximate_match_in_census")
+    return linkage.link_nearest(linkage.link_exact(students, census), census, attributes=["lng"], **options)
+
+
+@query("nearest_census", f"""WITH roster AS (
+  SELECT p_partkey AS student_id, {WRITTEN} AS name, p_brand AS gender,
+         CASE WHEN p_partkey % 3 = 0 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0') END AS permid FROM part),
+census AS (
+  SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS permid, p_brand AS gender, p_name AS name,
+         CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END AS lng FROM part),
+exact AS (SELECT r.*, c.lng FROM roster r LEFT JOIN census c USING (permid)),
+named AS (SELECT name AS m, gender AS g, min(permid) AS p FROM census WHERE lng IS NOT NULL GROUP BY ALL),
+best AS (
+  SELECT name, gender, min(d) AS d, arg_min(m, (d, m)) AS m, arg_min(p, (d, m)) AS p
+  FROM (SELECT DISTINCT e.name, e.gender, m, p, levenshtein(e.name, m) AS d
+        FROM (SELECT DISTINCT name, gender FROM exact WHERE lng IS NULL) e JOIN named ON e.gender = g)
+  GROUP BY 1, 2)
+SELECT student_id, upper(e.gender) AS gender, coalesce(e.lng, c.lng) AS lng,
+       e.lng IS NOT NULL OR coalesce(d = 0, FALSE) AS perfect_match_in_census,
+       e.lng IS NULL AND coalesce(d > 0, FALSE) AS approximate_match_in_census,
+       m AS match_name, CAST(d AS INTEGER) AS match_distance
+FROM exact e LEFT JOIN best b ON e.lng IS NULL AND e.name = b.name AND e.gender = b.gender
+LEFT JOIN census c ON c.permid = b.p""")
+def nearest_census(t: Tables) -> DataFrame:
+    """Positions by exact linkage, a perfect match, else of the nearest name however far."""
+    return linked_part(t, max_distance=None, held_is_perfect=True).select(
+        "student_id", "gender", "lng", "perfect_match_in_census", "approximate_match_in_census",
+        "match_name", "match_distance",
+    )
 
 
 # --- positions --------------------------------------------------------------
