@@ -82,7 +82,7 @@ def op5_url_lists(spark: SparkSession, folder: str) -> DataFrame:
     url, after = F.col("url"), F.col("fetch_day") + 1
     insecure = pages.select(F.lit("insecure").alias("list"), url_lists.host(url).alias("key"), after.alias("day"), url.startswith("http://").alias("listed"))
     tracking = pages.select(F.lit("tracking").alias("list"), url_lists.folder(url).alias("key"), after.alias("day"), url.contains("utm_source=").alias("listed"))
-    tested = url_lists.active(pages, url, F.col("fetch_day"), insecure.unionByName(tracking).filter("key <> ''"))
+    tested = url_lists.active(pages, url, F.col("fetch_day"), insecure.unionByName(tracking).filter("key <> ''"), host_chars=None)
     return tested.select("page_id", "fetch_day", "n_active", "lists", "blocked")
 
 

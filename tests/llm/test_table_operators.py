@@ -189,6 +189,18 @@ def test_islands_exchange_elites(spark):
     assert max(fill.values()) <= 1000
 
 
+def test_domains_above_a_very_long_host(spark, tmp_path):
+    pages = [(1, "http://evil.org/x"), (2, "https://sub.evil.org/"), (3, "http://" + "a." * 200 + "evil.org/y")] + [(k, f"https://fine{k}.org/") for k in range(4, 60)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    df = queries.QUERIES["op5_url_lists"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLES['op5_url_lists']})").fetchall()
+    got = [tuple(r) for r in df.collect()]
+    assert sorted(got) == sorted(want)
+    assert [r[4] for r in sorted(got)][:3] == [False, False, True]
+
+
 def test_lists_over_time(spark, rows):
     entries = spark.createDataFrame([
         ("a", "evil.org", 10, True), ("a", "evil.org", 20, False), ("a", "evil.org", 20, True), ("a", "evil.org", 30, False),
