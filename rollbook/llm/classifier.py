@@ -125,13 +125,21 @@ def margins(words: w.Words, weights: np.ndarray) -> np.ndarray:
 
 
 def _learn_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """Features of at most about ``sample`` labelled texts, stored."""
-    known = labels.filter("label is not null").select("doc_id", "label")
+    """Features of at most about ``sample`` labelled texts, stored.
+
+    One row for each id, label and text hash: labels are chosen first, then, where ids repeat
+    in ``docs``, rows by a hash of id and text, so that one id cannot hold a large share of them.
+    """
+    known = labels.filter("label is not null").select("doc_id", "label").distinct()
     count = known.count()
     share = min(1.0, sample / max(1, count))
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    # The sample has a bounded number of rows.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    # The chosen labels have a bounded number of rows; so have the texts after the second choice.
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).join(F.broadcast(chosen), "doc_id")
+    texts = rows.select("doc_id", "label", "hash").distinct().count()
+    share = min(1.0, sample / max(1, texts))
+    rows = rows.filter(F.pmod(F.xxhash64("doc_id", "hash"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = rows.dropDuplicates(["doc_id", "label", "hash"]).select("doc_id", "text", "label")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,17 +158,18 @@ def _learn_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards: int = SHARDS, rounds: int = ROUNDS) -> np.ndarray:
     """Weights learnt from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1).
 
-    At most about ``sample`` labelled texts are used, chosen by a hash of ``doc_id``; whole
-    texts always. Null labels are left out. Without labels all weights are 0.
+    At most about ``sample`` labelled texts are used, chosen by a hash of ``doc_id``, and of
+    ``doc_id`` and text where ids repeat; whole texts always. Rows of the same id, label and
+    text count once. Null labels are left out. Without labels all weights are 0.
     """
     sc = docs.sparkSession.sparkContext
-    rows = _learn_rows(docs, labels, sample).withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(shards)))
+    rows = _learn_rows(docs, labels, sample).withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "index", "value"), F.lit(shards)))
     model = Model.new()
 
     def learner(held, turn: int):
         def learn(pdf: pd.DataFrame) -> pd.DataFrame:
             own = Model(held.value[0].copy(), held.value[1].copy())
-            pdf = pdf.sort_values("doc_id", kind="stable")
+            pdf = pdf.sort_values(["doc_id", "label", "index", "value"], kind="stable")
             for k in np.random.default_rng(turn).permutation(len(pdf)):
                 row = pdf.iloc[k]
                 own.learn(np.frombuffer(row["index"], np.int32), np.frombuffer(row["value"], np.float32).astype(float), int(row["label"]))

@@ -257,6 +257,17 @@ def test_classifier(spark, docs, corpus, empty):
     assert not untaught.any()
 
 
+def test_one_id_cannot_fill_the_sample(spark):
+    texts = [(0, f"text number {k} of one id") for k in range(2000)] + [(0, "the same")] * 500 + [(k, f"own text {k}") for k in range(1, 40)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] * 2, "doc_id long, label int")
+    held = classifier._learn_rows(df, labels, 200)
+    assert 100 <= held.count() <= 300
+    whole = classifier._learn_rows(df, labels, 5000)
+    assert whole.count() == 2040
+    assert classifier.fit(df, labels, 200).any()
+
+
 @needs_tables
 def test_pipeline(spark, empty):
     import corpus_pipeline
