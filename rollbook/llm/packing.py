@@ -30,7 +30,7 @@ GENERATIONS = 6
 REPLACED = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_STATE = "block long, island int, lengths binary, ats binary, bins array<binary>, done boolean"
+_STATE = "block long, island int, lengths binary, ats binary, bins array<binary>"
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, words: bool = True) -> DataFrame:
@@ -169,18 +169,18 @@ def founders(lengths: list[int], population: list[list[list[int]]], capacity: in
 
 
 def evolve(lengths: list[int], population: list[list[list[int]]], capacity: int, rng: np.random.Generator, generations: int) -> list[list[list[int]]]:
-    """Best solutions first; stops where no solution can have fewer sequences."""
+    """Best solutions first; after one generation, stops where no solution can have fewer sequences."""
     least = least_sequences(lengths, capacity)
     scored = sorted(((fitness(p, lengths, capacity), p) for p in population), key=lambda x: x[0], reverse=True)
     for _ in range(generations):
-        if len(scored[0][1]) <= least:
-            break
         children = []
         for _ in range(POPULATION):
             a, b = rng.integers(0, len(scored), 2)
             child = cross(scored[min(a, b)][1], scored[max(a, b)][1] if a != b else scored[0][1], lengths, capacity, rng)
             children.append((fitness(child, lengths, capacity), child))
         scored = sorted(scored + children, key=lambda x: x[0], reverse=True)[:POPULATION]
+        if len(scored[0][1]) <= least:
+            break
     return [p for _, p in scored]
 
 
@@ -202,7 +202,8 @@ def pack(items: DataFrame, capacity: int, block_pieces: int = BLOCK_PIECES, isla
 
     ``at`` is unique; ``length`` lies between 1 and ``capacity``. Full items are
     sequences of their own. Every other block of items is packed for itself, which costs
-    less than one sequence a block. An empty table gives no rows.
+    less than one sequence a block. Every block passes founders and a generation on each
+    island; one at its lower bound then stops. An empty table gives no rows.
     """
     full = items.filter(F.col("length") == capacity).select("at", (-1 - F.col("at")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = items.filter(F.col("length") < capacity)
@@ -213,8 +214,7 @@ def pack(items: DataFrame, capacity: int, block_pieces: int = BLOCK_PIECES, isla
         lengths = pdf["length"].to_numpy(np.int64)
         sizes = lengths.tolist()
         bins = decreasing(sizes, range(len(sizes)), capacity)
-        done = len(bins) <= least_sequences(sizes, capacity)
-        row = {"block": int(pdf["block"].iloc[0]), "island": 0, "lengths": lengths.astype(np.int32).tobytes(), "ats": pdf["at"].to_numpy(np.int64).tobytes(), "bins": [_numbers(bins, len(sizes))], "done": done}
+        row = {"block": int(pdf["block"].iloc[0]), "island": 0, "lengths": lengths.astype(np.int32).tobytes(), "ats": pdf["at"].to_numpy(np.int64).tobytes(), "bins": [_numbers(bins, len(sizes))]}
         return pd.DataFrame([row])
 
     def island(frames: Iterator[pd.DataFrame], turn: int) -> Iterator[pd.DataFrame]:
@@ -223,6 +223,9 @@ def pack(items: DataFrame, capacity: int, block_pieces: int = BLOCK_PIECES, isla
             for row in pdf.itertuples():
                 lengths = np.frombuffer(row.lengths, np.int32).tolist()
                 population = [_lists(b) for b in row.bins]
+                if turn and min(map(len, population)) <= least_sequences(lengths, capacity):
+                    found.append(list(row.bins))
+                    continue
                 rng = np.random.default_rng([row.block, row.island, turn])
                 best = evolve(lengths, founders(lengths, population, capacity, rng), capacity, rng, GENERATIONS)
                 found.append([_numbers(b, len(lengths)) for b in best[:2]])
@@ -230,8 +233,7 @@ def pack(items: DataFrame, capacity: int, block_pieces: int = BLOCK_PIECES, isla
 
     dealt = rest.withColumn("block", F.pmod(F.xxhash64("at"), F.lit(blocks)))
     state = session.materialize(dealt.groupBy("block").applyInPandas(begin, _STATE), "pack-blocks")
-    settled, open_ = state.filter("done"), state.filter("not done")
-    open_ = open_.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
+    open_ = state.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
     # Rows are few and small but take seconds each: a fixed number of partitions, which
     # adaptive execution does not draw together.
     tasks = min(blocks * islands, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -248,14 +250,13 @@ def pack(items: DataFrame, capacity: int, block_pieces: int = BLOCK_PIECES, isla
             for block, rows in pdf.groupby("block"):
                 first = rows.iloc[0]
                 lengths = np.frombuffer(first["lengths"], np.int32).tolist()
-                best = max((_lists(b[0]) for b in rows["bins"]), key=lambda b: fitness(b, lengths, capacity))
+                best = max((_lists(b) for own in rows["bins"] for b in own), key=lambda b: fitness(b, lengths, capacity))
                 ats = np.frombuffer(first["ats"], np.int64)
                 out = [(ats[i], k, o) for k, b in enumerate(best) for i, o in zip(b, np.cumsum([0] + [lengths[i] for i in b]).tolist())]
                 yield pd.DataFrame({"at": [x[0] for x in out], "sequence_id": [(int(block) << 32) + x[1] for x in out], "offset": [x[2] for x in out]})
 
     # The islands of a block, a fixed number of rows, meet to give the best solution.
-    last = settled.unionByName(open_)
-    placed = last.groupBy("block").applyInPandas(lambda pdf: pd.concat(places([pdf])), "at long, sequence_id long, offset long")
+    placed = open_.groupBy("block").applyInPandas(lambda pdf: pd.concat(places([pdf])), "at long, sequence_id long, offset long")
     return full.unionByName(placed)
 
 

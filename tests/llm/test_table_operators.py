@@ -189,6 +189,27 @@ def test_islands_exchange_elites(spark):
     assert max(fill.values()) <= 1000
 
 
+def test_a_block_at_its_bound_has_a_generation(spark, monkeypatch):
+    calls, stored, cross, store = [], {}, packing.cross, session.materialize
+    monkeypatch.setattr(packing, "cross", lambda *a: calls.append(1) or cross(*a))
+    lengths, rng = [6, 6, 4, 4], np.random.default_rng(0)
+    population = packing.founders(lengths, [[[0, 2], [1, 3]]], 10, rng)
+    assert len(packing.evolve(lengths, population, 10, rng, 6)[0]) == 2
+    assert len(calls) == packing.POPULATION
+    monkeypatch.undo()
+
+    def count(df, label):
+        out = store(df, label)
+        stored.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(session, "materialize", count)
+    items = spark.createDataFrame(list(enumerate(lengths)), "at long, length long")
+    got = packing.pack(items, 10)
+    assert got.select("sequence_id").distinct().count() == 2 and got.count() == 4
+    assert stored["pack-islands"] == [packing.ISLANDS] * packing.ROUNDS
+
+
 def test_domains_above_a_very_long_host(spark, tmp_path):
     pages = [(1, "http://evil.org/x"), (2, "https://sub.evil.org/"), (3, "http://" + "a." * 200 + "evil.org/y")] + [(k, f"https://fine{k}.org/") for k in range(4, 60)]
     spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
