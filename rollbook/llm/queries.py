@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rollbook import session
-from rollbook.llm import classifier, jaccard, mixing, packing, prefix, rules, sharding, substrings, token_files, topk, url_lists
+from rollbook.llm import centroids, classifier, jaccard, mixing, packing, prefix, rules, sharding, substrings, token_files, topk, url_lists
 
 #: Folder of the public tokenizers' files; None: where their package lies.
 TOKENIZERS: str | None = None
@@ -154,6 +154,45 @@ def op10_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *rules.COUNTS, "base_failed", "kept", "anomaly")
 
 
+@query
+def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Eight clusters of all vectors of 64 whole components, after ten rounds."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = table(spark, folder, "embeddings").filter((F.size("embedding") == 64) & finite)
+    whole = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024)).alias("vector"))
+    return centroids.cluster(whole).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+ORACLES["op11_centroids"] = """
+WITH RECURSIVE vector AS MATERIALIZED (
+    SELECT row_number() OVER () AS nr, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), seed AS (
+    SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1 AS INTEGER) AS c, v FROM vector QUALIFY c < 8
+), step(r, c, v) AS (
+    SELECT 0, c, v FROM seed
+    UNION ALL
+    SELECT s.r + 1, s.c, coalesce(m.v, s.v) FROM step s LEFT JOIN (
+        SELECT c, list(CAST((total - ((total % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM (
+            SELECT c, i, sum(x) AS total, count(*) AS n FROM (
+                SELECT b.best.c AS c, unnest(vector.v) AS x, unnest(range(64)) AS i FROM (
+                    SELECT nr, min(struct_pack(d := CAST(list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - t.v[i]) * (x.v[i] - t.v[i]))) AS BIGINT), c := t.c)) AS best
+                    FROM vector x, step t GROUP BY nr
+                ) b JOIN vector USING (nr)
+            ) GROUP BY c, i
+        ) GROUP BY c
+    ) m ON m.c = s.c WHERE s.r < 10
+), final AS (
+    SELECT c, v, sha256(array_to_string(v, ',')) AS centroid_sha256 FROM step WHERE r = 10
+), assigned AS (
+    SELECT nr, x.vec_id, min(struct_pack(d := CAST(list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - t.v[i]) * (x.v[i] - t.v[i]))) AS BIGINT), c := t.c)) AS best
+    FROM vector x, final t GROUP BY nr, x.vec_id
+)
+SELECT vec_id, best.c AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+    CAST(sum(best.d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM assigned JOIN final ON final.c = best.c
+"""
+
 ORACLES["op6_topk"] = """
 WITH vector AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS whole FROM embeddings
