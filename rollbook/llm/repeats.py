@@ -26,11 +26,24 @@ _ENTRY = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa
 _REPLY = pa.schema([("block", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
 
 
+def held_bytes(docs: DataFrame, text: str) -> int:
+    return docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+
+
+def in_blocks(docs: DataFrame, held: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` of ``held`` bytes as (row, block), dealt by the place of a row.
+
+    Equal rows lie in different places, so they spread like any others. A lost task deals
+    its rows as before as long as ``docs`` gives them in the same order, as stored tables do.
+    """
+    blocks = max(1, -(-held // block_bytes))
+    return beside(docs).withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+
+
 def dealt(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
     """``docs`` as (row, block), and the number of buckets for their hashes."""
-    held = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
-    blocks, buckets = max(1, -(-held // block_bytes)), max(1, -(-held // bucket_bytes))
-    return beside(docs).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")), buckets
+    held = held_bytes(docs, text)
+    return in_blocks(docs, held, block_bytes), max(1, -(-held // bucket_bytes))
 
 
 def texts_of(table: pa.Table, text: str) -> tuple[np.ndarray, np.ndarray]:

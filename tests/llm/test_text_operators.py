@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rollbook.llm import components, jaccard, repeats, rules, substrings, words as w
 
@@ -71,6 +72,15 @@ def test_remove_repeats(docs, corpus, rows, monkeypatch, block_bytes):
             assert hashlib.sha256(" ".join(WORD.findall(r.kept)).encode()).hexdigest() == r.kept_sha256
 
 
+def test_blocks_share_out_a_repeated_row(spark):
+    text = "one text that a third of the table repeats " * 20
+    rows = [(1, text)] * 1000 + [(k, f"{k} " + text) for k in range(2, 2002)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    blocks, _ = repeats.dealt(df, "text", block_bytes=len(text) * 100)
+    counts = [r.n for r in blocks.filter("row.doc_id = 1").groupBy("block").agg(F.count("*").alias("n")).collect()]
+    assert len(counts) == 31 and max(counts) < 70
+
+
 def test_remove_repeats_of_empty(empty):
     assert substrings.remove_repeats(empty).count() == 0
     with pytest.raises(ValueError):
