@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rollbook import session
-from rollbook.llm import centroids, classifier, jaccard, mixing, packing, prefix, rules, sharding, substrings, token_files, topk, url_lists
+from rollbook.llm import centroids, classifier, jaccard, line_dedup, mixing, packing, prefix, rules, sharding, substrings, token_files, topk, url_lists
 
 #: Folder of the public tokenizers' files; None: where their package lies.
 TOKENIZERS: str | None = None
@@ -193,6 +193,28 @@ SELECT vec_id, best.c AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PAR
 FROM assigned JOIN final ON final.c = best.c
 """
 
+@query
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every text when lines of 40 characters in five documents go."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+ORACLES["op13_line_dedup"] = r"""
+WITH line AS (
+    SELECT nr, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place
+    FROM (SELECT row_number() OVER () AS nr, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
+), keyed AS (
+    SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line
+), common AS (
+    SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT nr) >= 5
+), judged AS (
+    SELECT k.*, c.key IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS gone FROM keyed k LEFT JOIN common c USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY nr, doc_id
+"""
+
 ORACLES["op6_topk"] = """
 WITH vector AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS whole FROM embeddings
