@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rollbook import session
-from rollbook.llm import centroids, classifier, jaccard, line_dedup, mixing, packing, prefix, rules, sharding, substrings, token_files, topk, url_lists
+from rollbook.llm import centroids, classifier, divergence, jaccard, line_dedup, mixing, packing, prefix, rules, sharding, substrings, token_files, topk, url_lists
 
 #: Folder of the public tokenizers' files; None: where their package lies.
 TOKENIZERS: str | None = None
@@ -193,6 +193,46 @@ SELECT vec_id, best.c AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PAR
 FROM assigned JOIN final ON final.c = best.c
 """
 
+@query
+def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """How the sources of every language differ, pair by pair and in their own terms."""
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+ORACLES["op12_divergence"] = r"""
+WITH doc AS (
+    SELECT row_number() OVER () AS nr, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), word AS (
+    SELECT nr, lang, source, unnest(terms) AS term FROM doc
+), kept AS (
+    SELECT lang, term, count(*) AS n FROM word GROUP BY ALL HAVING count(DISTINCT nr) >= 30
+), held AS (
+    SELECT lang, source, term, count(*) AS n FROM word SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), whole AS (
+    SELECT lang, sum(n) AS total, count(*) AS terms FROM kept GROUP BY lang
+), grp AS (
+    SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM doc) g LEFT JOIN held USING (lang, source) GROUP BY ALL
+), share AS (
+    SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS n,
+        1 + (1000000000::HUGEINT * (coalesce(h.n, 0) + 5)) // (g.total + 5 * v.terms) AS p, 1 + (1000000000::HUGEINT * (k.n + 5)) // (v.total + 5 * v.terms) AS q
+    FROM grp g JOIN whole v USING (lang) JOIN kept k USING (lang) LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term
+), every AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(d.value, 0) AS value
+    FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+        SELECT x.lang, x.source AS one, y.source AS two, sum(abs(x.p - y.p)) AS value
+        FROM share x JOIN share y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+    ) d ON d.lang = a.lang AND d.one = a.source AND d.two = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, p - q FROM share WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
 @query
 def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every text when lines of 40 characters in five documents go."""

@@ -139,12 +139,15 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, upper_to_lower: bool = False) -> Words:
-    """Find the words of every text; ``upper_to_lower`` first turns A-Z into a-z."""
+def words_of(data: np.ndarray, offsets: np.ndarray, upper_to_lower: bool = False, separator: np.ndarray = SEPARATOR) -> Words:
+    """Find the words of every text; ``upper_to_lower`` first turns A-Z into a-z.
+
+    ``separator`` marks the bytes that belong to no word.
+    """
     if upper_to_lower:
         data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     inside = np.zeros(len(data) + 1, dtype=bool)
-    inside[:-1] = ~SEPARATOR[data]
+    inside[:-1] = ~separator[data]
     before = np.zeros(len(data), dtype=bool)
     before[1:] = inside[:-2] if len(data) > 1 else inside[:0]
     edges = offsets[offsets < len(data)]
