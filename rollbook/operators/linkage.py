@@ -6,16 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rollbook import constants as K, session
+from rollbook import constants as K
 from rollbook.functions import dates, geo, keys, recode
-from rollbook.operators import joins
+from rollbook.operators import joins, names
 from rollbook.operators.dedupe import keep_first
 
 CENSUS_COLUMNS = ("permid", "dob", "gender", "name", "house_number", "lng", "lat", "geo")
-#: Letters up to which names are met by their parts; beyond, parts are too short to tell names apart.
-PART_ROUNDS = 4
-#: Shares of the census names that a name without a near one is measured against.
-SHARES = 64
 COORDINATE_ALIASES = {"lng": ("longitude", "x", "lon"), "lat": ("latitude", "y")}
 
 
@@ -89,47 +85,6 @@ def link_exact(students: DataFrame, census: DataFrame, null_safe: bool = False)
     return joins.left_join(folded, people, ["PERMID", "gender"], null_safe)
 
 
-def _segment(length: Column, parts: int, i: int) -> tuple[Column, Column]:
-    """First letter (from 1) and size of part ``i`` of a text cut into even parts."""
-    begin = F.floor(length * i / parts).cast("int")
-    return begin + 1, F.floor(length * (i + 1) / parts).cast("int") - begin
-
-
-def _own_parts(text: Column, distance: int) -> Column:
-    """Every part of a name as (length of the name, number of the part, letters)."""
-    n = F.length(text)
-    cut = [_segment(n, distance + 1, i) for i in range(distance + 1)]
-    return F.array(*(F.struct(n.alias("l"), F.lit(i).alias("i"), F.substr(text, a, b).alias("t")) for i, (a, b) in enumerate(cut)))
-
-
-def _looked_for(text: Column, distance: int) -> Column:
-    """The parts that a name within the distance may have, as letters of ``text``.
-
-    One of ``distance + 1`` parts of the other name is untouched, and lies at most
-    ``distance`` letters away from its place.
-    """
-    n = F.length(text)
-    lengths = F.filter(F.sequence(n - distance, n + distance), lambda x: x >= 0)
-
-    def of_length(length: Column) -> Column:
-        out = []
-        for i in range(distance + 1):
-            a, b = _segment(length, distance + 1, i)
-            places = F.filter(F.sequence(a - distance, a + distance), lambda p: (p >= 1) & (p + b <= n + 1))
-            out.append(F.transform(places, lambda p: F.struct(length.cast("int").alias("l"), F.lit(i).alias("i"), F.substr(text, p, b).alias("t"))))
-        return F.concat(*out)
-
-    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
-
-
-def _nearest_of_all(wanted: DataFrame, offered: DataFrame) -> DataFrame:
-    """Best of all names of the same gender; shares keep two genders from being two tasks."""
-    asked = wanted.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    known = offered.withColumn("s", F.pmod(F.hash("m"), F.lit(SHARES)))
-    measured = asked.join(known, ["g", "s"]).select("g", "n", F.struct(F.levenshtein("n", "m").alias("d"), "m", "p").alias("b"))
-    return measured.groupBy("g", "n").agg(F.min("b").alias("b"))
-
-
 def link_fuzzy(
     students: DataFrame, census: DataFrame, max_distance: int | None = None,
     name: str = "name", gender: str = "gender", person: str = "permid",
@@ -141,45 +96,17 @@ def link_fuzzy(
     ``max_distance`` does not accept (:func:`open_names` lists all those). Ties
     go to the name first in order, then to the smallest person id.
 
-    Both sides are first reduced to distinct names, so a name shared by a third
-    of all people is compared once. Equal names are joined first. Then the
-    distance widens by one letter at a time for the names still unmatched: cut
-    into one part more than the distance, a near name keeps a part whole, so an
-    equi-join on parts finds every pair, and each pair is measured once. The
-    cost of a round grows with the square of the distance, not with a power.
-    Names that are open after ``PART_ROUNDS`` letters are measured against all
-    census names of their gender, in ``SHARES`` tasks a gender: only the few
-    that resemble no name pay for that.
+    Both sides are first reduced to distinct names, so a name shared by a third of all
+    people is looked up once. :func:`names.nearest` finds it in an index.
     """
     wanted = students.select(F.col(gender).alias("g"), F.col(name).alias("n")).dropna().distinct()
     offered = census.select(
         F.col(gender).alias("g"), F.col(name).alias("m"), F.col(person).alias("p")
     ).dropna(subset=["g", "m"]).groupBy("g", "m").agg(F.min("p").alias("p"))
-    wanted, offered = session.materialize(wanted, "names-wanted"), session.materialize(offered, "names-offered")
-    found = wanted.join(offered.withColumnRenamed("m", "n"), ["g", "n"]).select(
-        "g", "n", F.struct(F.lit(0).alias("d"), F.col("n").alias("m"), "p").alias("b")
-    )
-    found = session.materialize(found, "names-matched")
-    limit = PART_ROUNDS if max_distance is None else min(PART_ROUNDS, max_distance)
-    for distance in range(1, limit + 1):
-        left = wanted.join(found, ["g", "n"], "left_anti")
-        if left.isEmpty():
-            break
-        asked = left.select("g", "n", F.explode(_looked_for(F.col("n"), distance)).alias("k"))
-        known = offered.select("g", "m", F.explode(_own_parts(F.col("m"), distance)).alias("k"))
-        pairs = asked.join(known, ["g", "k"]).select("g", "n", "m").distinct()
-        near = pairs.filter(F.levenshtein("n", "m", distance) >= 0).join(offered, ["g", "m"])
-        best = near.groupBy("g", "n").agg(F.min(F.struct(F.lit(distance).alias("d"), "m", "p")).alias("b"))
-        found = session.materialize(found.unionByName(best), "names-matched")
-    if max_distance is None or max_distance > PART_ROUNDS:
-        left = wanted.join(found, ["g", "n"], "left_anti")
-        if not left.isEmpty():
-            found = session.materialize(found.unionByName(_nearest_of_all(left, offered)), "names-matched")
-    if max_distance is not None:
-        found = found.filter(F.col("b.d") <= max_distance)
+    found = names.nearest(wanted, offered, max_distance)
     matched = found.select(
-        F.col("g").alias(gender), F.col("n").alias(name), F.col("b.m").alias("match_name"),
-        F.col("b.d").alias("match_distance"), F.col("b.p").alias("match_person"),
+        F.col("g").alias(gender), F.col("n").alias(name), F.col("m").alias("match_name"),
+        F.col("d").alias("match_distance"), F.col("p").alias("match_person"),
     )
     return students.join(matched, [gender, name], "left")
 
@@ -200,16 +127,15 @@ def open_names(
 
 def link_nearest(
     linked: DataFrame, census: DataFrame, max_distance: int | None = 4, name: str = "NAME",
-    attributes: Sequence[str] = ("lng", "lat"), held_is_perfect: bool = False,
+    attributes: Sequence[str] = ("lng", "lat"),
 ) -> DataFrame:
     """Positions of the nearest census name for students that exact linkage left without.
 
-    Adds ``perfect_match_in_census`` and ``approximate_match_in_census``: the name was
-    found as it is, or with other letters. Students with a position keep it and have
-    FALSE in both; with ``held_is_perfect``, as the reference means it, TRUE in the
-    first. Adds ``match_name`` and ``match_distance`` of the nearest name at any
-    distance; its position is taken, and flagged, if ``max_distance`` accepts it (None:
-    always). The census must hold one row per permid.
+    Adds ``perfect_match_in_census`` and ``approximate_match_in_census``: the position was
+    there already or belongs to a person of that very name; it belongs to one whose name
+    differs in some letters. Adds ``match_name`` and ``match_distance`` of the nearest name
+    at any distance; its position is taken, and flagged, if ``max_distance`` accepts it
+    (None: always). The census must hold one row per permid.
     """
     # Columns by place: exact linkage may leave names that differ in case only.
     place = {c: f"__{i}" for i, c in enumerate(linked.columns)}
@@ -232,6 +158,6 @@ def link_nearest(
     nearest = {"match_name": "string", "match_distance": "int"}
     near = near.withColumns(flags).select(*rows.columns, *flags, *nearest)
     rest = rows.filter(F.col(held[0]).isNotNull()).withColumns(
-        dict(zip(flags, (F.lit(held_is_perfect), F.lit(False)))) | {c: F.lit(None).cast(t) for c, t in nearest.items()}
+        dict(zip(flags, (F.lit(True), F.lit(False)))) | {c: F.lit(None).cast(t) for c, t in nearest.items()}
     )
     return rest.unionByName(near).toDF(*linked.columns, *flags, *nearest)

@@ -456,7 +456,7 @@ def test_nearest_name_gives_a_position(spark, rows):
     census = spark.createDataFrame([("p1", "ana", "Male", 7.0), ("p2", "rui", "male", None)], "permid string, name string, gender string, lng double")
     got = linkage.link_nearest(linked, census, 2, attributes=["lng"])
     assert rows(got, "sid", "lng", "perfect_match_in_census", "approximate_match_in_census") == [
-        ("a", 1.0, False, False), ("b", 7.0, True, False), ("c", 7.0, False, True), ("d", None, False, False),
+        ("a", 1.0, True, False), ("b", 7.0, True, False), ("c", 7.0, False, True), ("d", None, False, False),
     ]
 
 
