@@ -19,14 +19,19 @@ from rollbook import session
 
 GROUPS = 32
 #: Names of a leaf and of a cell (average), cells at most, names per cell among which cells
-#: are cut, and names asked for in one task (average).
+#: are cut, names of a cell asked for at once (average), and names asked for by one of at
+#: most so many tasks.
 LEAF = 32
 CELL_NAMES = 8192
 MOST_CELLS = 4096
 SAMPLE_NAMES = 8
-TASK_NAMES = 50_000
-#: (asked, held) pairs and letters worked on at once.
+TEAM_NAMES = 512
+TASK_NAMES = 1024
+MOST_TASKS = 10_000
+#: (asked, held) pairs and letters worked on at once, and letters that fit a machine word.
 PAIRS = 1 << 19
+WORD_PAIRS = 1 << 15
+WORD = 64
 LETTERS = 1 << 21
 #: A distance beyond any.
 FAR = np.iinfo(np.int32).max
@@ -86,6 +91,56 @@ def edit_distances(left: Names, right: Names, i: np.ndarray, j: np.ndarray) -> n
     return out
 
 
+class Words:
+    """Edit distances of names of at most 64 letters to the names of a tree.
+
+    A column of the table of distances is kept as two words of bits, the steps up and down
+    from one letter of the asked name to the next; a letter of the other name moves on by a
+    whole column at once.
+    """
+
+    def __init__(self, asked: Names, alphabet: np.ndarray, ids: np.ndarray, held: Names) -> None:
+        self.asked, self.ids, self.held = asked, ids, held
+        self.letters = len(alphabet)
+        self.where = np.zeros((len(asked.names), self.letters), np.uint64)
+        for k in range(int(asked.sizes.max(initial=0))):
+            own = np.flatnonzero(asked.sizes > k)
+            code = asked.codes[asked.begins[own] + k]
+            at = np.minimum(np.searchsorted(alphabet, code), max(0, self.letters - 1))
+            same = alphabet[at] == code if self.letters else np.zeros(len(own), dtype=bool)
+            self.where[own[same], at[same]] |= np.uint64(1 << k)
+
+    def distances(self, q: np.ndarray, name: np.ndarray) -> np.ndarray:
+        out = np.empty(len(q), np.int32)
+        for begin in range(0, len(q), WORD_PAIRS):
+            part = slice(begin, begin + WORD_PAIRS)
+            out[part] = self._part(q[part], name[part])
+        return out
+
+    def _part(self, q: np.ndarray, name: np.ndarray) -> np.ndarray:
+        # Longest first, so that those with a letter left are always the first ones.
+        order = np.argsort(-self.held.sizes[name], kind="stable")
+        q, name = q[order], name[order]
+        size, begin, row = self.held.sizes[name], self.held.begins[name], q * self.letters
+        score = self.asked.sizes[q].astype(np.int64)
+        last = (score - 1).astype(np.uint64)
+        up, down = np.full(len(q), np.uint64((1 << WORD) - 1)), np.zeros(len(q), np.uint64)
+        one, where = np.uint64(1), self.where.ravel()
+        for k in range(int(size.max(initial=0))):
+            n = int(np.searchsorted(-size, -k, side="left"))
+            u, d = up[:n], down[:n]
+            same = where[row[:n] + self.ids[begin[:n] + k]]
+            vertical = same | d
+            across = (((same & u) + u) ^ u) | same
+            more, less = d | ~(across | u), u & across
+            score[:n] += ((more >> last[:n]) & one).astype(np.int64) - ((less >> last[:n]) & one).astype(np.int64)
+            more, less = (more << one) | one, less << one
+            up[:n], down[:n] = less | ~(vertical | more), more & vertical
+        out = np.empty(len(q), np.int32)
+        out[order] = score
+        return out
+
+
 def bounds(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Least possible distance of each point (rows) to names in each box (columns)."""
     over = np.zeros((len(points), len(low)), np.int32)
@@ -110,6 +165,7 @@ class NameTree:
         self.rank = np.argsort(np.argsort(np.array(names, dtype=object), kind="stable"))
         self.held = Names(names)
         self.points = self.held.points()
+        self.alphabet, self.ids = np.unique(self.held.codes, return_inverse=True)
         order, todo, self.leaves = np.arange(len(names)), [(0, len(names))], []
         while todo:
             a, b = todo.pop()
@@ -134,12 +190,20 @@ class NameTree:
         """
         far, which = limits.astype(np.int64), np.full(len(asked), -1)
         block = max(1, PAIRS // len(self.order))
-        for begin in range(0, len(asked), block):
-            self._block(Names(asked[begin: begin + block]), far[begin: begin + block], which[begin: begin + block])
+        sizes = np.array([len(x) for x in asked])
+        fits = (sizes > 0) & (sizes <= WORD)
+        for some in (np.flatnonzero(fits), np.flatnonzero(~fits)):
+            for begin in range(0, len(some), block):
+                own = some[begin: begin + block]
+                f, w = far[own], which[own]
+                self._block(Names([asked[k] for k in own]), f, w)
+                far[own], which[own] = f, w
         return far, which
 
     def _block(self, asked: Names, far: np.ndarray, which: np.ndarray) -> None:
         points = asked.points()
+        fits = bool(((asked.sizes > 0) & (asked.sizes <= WORD)).all())
+        words = Words(asked, self.alphabet, self.ids, self.held) if fits else None
         least = bounds(points, self.low, self.high)
         leaves = np.argsort(least, axis=1, kind="stable")
         active, at, step = np.arange(len(points)), 0, 8
@@ -162,13 +226,13 @@ class NameTree:
             for turn in (first, ~first):
                 close = turn & (bag <= far[q])
                 if close.any():
-                    self._measure(asked, q[close], name[close], far, which)
+                    self._measure(asked, words, q[close], name[close], far, which)
             at, step = at + step, 2 * step
             active = active[:0] if at >= len(self.leaves) else active
 
 
-    def _measure(self, asked: Names, q: np.ndarray, name: np.ndarray, far: np.ndarray, which: np.ndarray) -> None:
-        d = edit_distances(asked, self.held, q, name)
+    def _measure(self, asked: Names, words: Words | None, q: np.ndarray, name: np.ndarray, far: np.ndarray, which: np.ndarray) -> None:
+        d = words.distances(q, name) if words else edit_distances(asked, self.held, q, name)
         self.measured += len(q)
         first = np.lexsort((self.rank[name], d, q))
         first = first[np.concatenate([[True], q[first[1:]] != q[first[:-1]]])]
@@ -210,7 +274,7 @@ def cells_of(points: np.ndarray, nodes: list[tuple[int, int, int, int]]) -> np.n
     return -1 - at
 
 
-def nearest(asked: DataFrame, offered: DataFrame, most: int | None = None, cell_names: int = CELL_NAMES, task_names: int = TASK_NAMES) -> DataFrame:
+def nearest(asked: DataFrame, offered: DataFrame, most: int | None = None, cell_names: int = CELL_NAMES, team_names: int = TEAM_NAMES) -> DataFrame:
     """The nearest offered name of every asked name in the same group: (g, n, d, m, p).
 
     ``asked`` has distinct (g, n), ``offered`` distinct (g, m) with a payload p, all without
@@ -243,7 +307,7 @@ def nearest(asked: DataFrame, offered: DataFrame, most: int | None = None, cell_
     limit = FAR if most is None else most
     held = session.materialize(placed(offered, "m"), "names-cells") if nodes else placed(offered, "m")
     home = session.materialize(placed(asked.select("g", "n"), "n").withColumn("limit", F.lit(limit)), "names-asked")
-    found = _searched(home, held, task_names)
+    found = _searched(home, held, team_names)
     if not nodes:
         return found
     found = session.materialize(found, "names-home")
@@ -265,7 +329,7 @@ def nearest(asked: DataFrame, offered: DataFrame, most: int | None = None, cell_
     known = home.join(found.select("g", "n", "d"), ["g", "n"], "left").withColumn("limit", F.coalesce("d", "limit")).drop("d")
     elsewhere = known.select("g", "n", "limit", "cell").mapInArrow(send, f"{_fields(known.select('g', 'n', 'limit'))}, cell int")
     elsewhere = session.materialize(elsewhere, "names-elsewhere")
-    both = found.unionByName(_searched(elsewhere, held, task_names))
+    both = found.unionByName(_searched(elsewhere, held, team_names))
     return both.groupBy("g", "n").agg(F.min(F.struct("d", "m", "p")).alias("b")).select("g", "n", "b.*")
 
 
@@ -282,9 +346,11 @@ def _point_columns(held: DataFrame) -> DataFrame:
     return held.select("m", "cell").mapInArrow(points, "cell int, " + ", ".join(f"c{k} int" for k in range(GROUPS + 1)))
 
 
-def _searched(asked: DataFrame, held: DataFrame, task_names: int) -> DataFrame:
+def _searched(asked: DataFrame, held: DataFrame, team_names: int) -> DataFrame:
     """Each cell's names meet the names sent to it, so many of them to a task."""
-    teams = asked.groupBy("g", "cell").agg(F.ceil(F.count("*") / task_names).cast("int").alias("teams"))
+    teams = asked.groupBy("g", "cell").agg(F.ceil(F.count("*") / team_names).cast("int").alias("teams"))
+    # The work follows the names asked for, not their bytes, so the number of tasks is given.
+    tasks = min(MOST_TASKS, max(1, -(-asked.count() // TASK_NAMES)))
     team = F.pmod(F.xxhash64("n"), F.col("teams")).cast("int")
     dealt = asked.join(teams, ["g", "cell"]).withColumn("team", team).drop("teams")
     copied = held.join(teams, ["g", "cell"]).withColumn("team", F.explode(F.sequence(F.lit(0), F.col("teams") - 1))).drop("teams")
@@ -301,4 +367,5 @@ def _searched(asked: DataFrame, held: DataFrame, task_names: int) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in held.schema}
     keys = ["g", "cell", "team"]
+    copied, dealt = copied.repartition(tasks, *keys), dealt.repartition(tasks, *keys)
     return copied.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(visit, f"g {kinds['g']}, n string, d int, m string, p {kinds['p']}")

@@ -33,6 +33,17 @@ def test_edit_distances(monkeypatch):
         assert names.edit_distances(names.Names(left), names.Names(right), i.ravel(), j.ravel()).tolist() == want
 
 
+def test_edit_distances_by_words(monkeypatch):
+    rng = random.Random(9)
+    left, right = [x for x in written(rng, 60, most=64) if x] + ["ab" * 32, "z"], written(rng, 50, most=90) + ["", "ab" * 150]
+    tree = names.NameTree(right)
+    i, j = np.meshgrid(np.arange(len(left)), np.arange(len(right)), indexing="ij")
+    want = [edit_distance(left[a], right[b]) for a, b in zip(i.ravel(), j.ravel())]
+    for pairs in (1 << 15, 7):
+        monkeypatch.setattr(names, "WORD_PAIRS", pairs)
+        assert names.Words(names.Names(left), tree.alphabet, tree.ids, tree.held).distances(i.ravel(), j.ravel()).tolist() == want
+
+
 def test_bounds_never_exceed_the_distance():
     rng = random.Random(2)
     left, right = written(rng, 60), written(rng, 60)
@@ -48,7 +59,7 @@ def test_bounds_never_exceed_the_distance():
 def test_tree(monkeypatch, limit):
     rng = random.Random(3)
     monkeypatch.setattr(names, "PAIRS", 3000)
-    held, asked = sorted(set(written(rng, 700))), written(rng, 150) + ["z" * 30]
+    held, asked = sorted(set(written(rng, 700))), written(rng, 150) + ["z" * 30, "", "ab" * 40]
     rng.shuffle(held)
     far, which = names.NameTree(held).nearest(asked, np.full(len(asked), limit))
     for name, d, k in zip(asked, far, which):
