@@ -241,6 +241,16 @@ def marked_students(
     )
 
 
+def stored_calendars(calendars: DataFrame, entity: str, number: str, label: str) -> DataFrame:
+    """Student calendars stored in buckets of ``store_key``, where phases meet.
+
+    The key is the student's ``number``; students without one have a key of their own
+    ``entity``, so they spread like others.
+    """
+    key = F.coalesce(F.col(number), F.concat_ws("", F.lit("\0"), F.col(entity)))
+    return session.bucketed(calendars.withColumn("store_key", key), label, "store_key")
+
+
 def marks_weekly_rate(
     students: DataFrame, class_keys: Sequence[str], entity: str,
     days_per_week: int = K.DAYS_PER_WEEK,
@@ -296,28 +306,41 @@ def expand_calendars(
         absent = F.when(
             listed.isNotNull(), F.array_contains(listed, F.dayofmonth("date"))
         ).otherwise(absent)
-    return rows.withColumn(flag, absent).drop("marks", *([fixes] if fixes else []))
+    return rows.withColumn(flag, absent).drop("marks", "store_key", *([fixes] if fixes else []))
 
 
 def two_phase_calendars(
-    first: DataFrame, second: DataFrame, entity: str = "combined_number"
+    first: DataFrame, second: DataFrame, entity: str = "combined_number",
+    null_is_entity: bool = True,
 ) -> DataFrame:
     """Student calendars of both phases, for students seen in both.
 
     ``repeated`` marks students who share an id with another row of their phase;
-    only their days can repeat.
+    only their days can repeat. Calendars stored in buckets (:func:`stored_calendars`) are
+    counted and joined where they lie. With ``null_is_entity`` rows without an id are one
+    entity, looked up apart so that they are no join key; else they are left out.
     """
-    columns = [entity, "days", "marks"]
-    both = joins.tag_union({1: first.select(*columns), 2: second.select(*columns)}, "phase")
-    # Read by the count of phases and by both kinds of rows: stored once.
-    rows = session.materialize(both.filter(F.size("days") > 0), "two-phase")
-    seen = rows.groupBy(F.col(entity).alias("__entity")).agg(
-        F.count_if(F.col("phase") == 1).alias("__n1"),
-        F.count_if(F.col("phase") == 2).alias("__n2"),
-    ).filter("__n1 > 0 AND __n2 > 0")
-    joined = rows.join(seen, F.col(entity).eqNullSafe(F.col("__entity")))
-    repeated = F.when(F.col("phase") == 1, F.col("__n1") > 1).otherwise(F.col("__n2") > 1)
-    return joined.withColumn("repeated", repeated).drop("__entity", "__n1", "__n2")
+    stored = "store_key" in first.columns and "store_key" in second.columns
+    key = "store_key" if stored else entity
+    phases = [c.select(*dict.fromkeys([key, entity]), "days", "marks", F.lit(p).alias("phase")) for p, c in ((1, first), (2, second))]
+    if not stored:  # stored calendars all have days; keys are then counted without reading any
+        phases = [p.filter(F.size("days") > 0) for p in phases]
+    named = [p.filter(F.col(entity).isNotNull()) for p in phases]
+    one, two = (p.groupBy(key).agg(F.count(F.lit(1)).alias(f"__n{k}")) for k, p in enumerate(named, 1))
+    seen = one.join(two, key)
+    columns = [entity, "days", "marks", "phase", "repeated"]
+    parts = [
+        p.join(seen.select(key, (F.col(f"__n{k}") > 1).alias("repeated")), key).select(*columns)
+        for k, p in enumerate(named, 1)
+    ]
+    if null_is_entity:
+        nameless = [p.filter(F.col(entity).isNull()) for p in phases]
+        counts = [p.agg(F.count(F.lit(1))).scalar() for p in nameless]
+        parts += [
+            p.filter(counts[1 - k] > 0).withColumn("repeated", counts[k] > 1).select(*columns)
+            for k, p in enumerate(nameless)
+        ]
+    return joins.union_all(parts)
 
 
 def attendance_rows(

@@ -102,12 +102,16 @@ def eligible_classes(
     placed = classes.select(
         "SCHOOL_UUID", "CLASS_UUID", "CLASS_NAME", "GRADE", *MONTHS
     ).join(single, "SCHOOL_UUID", "left")
+    return placed.withColumn("days", observable_days(start, end)).filter(F.size("days") > 0)
+
+
+def observable_days(start: str, end: str) -> Column:
+    """Weekdays in one of the reference months of a class."""
     wanted = F.array(*[F.col(m).cast("int") for m in MONTHS])
-    days = F.filter(
+    return F.filter(
         dates.weekday_array(F.to_date(F.lit(start)), F.to_date(F.lit(end))),
         lambda d: F.coalesce(F.array_contains(wanted, F.month(d)), F.lit(False)),
     )
-    return placed.withColumn("days", days).filter(F.size("days") > 0)
 
 
 def eligible_students(students: DataFrame, classes: DataFrame) -> DataFrame:
@@ -121,20 +125,29 @@ def eligible_students(students: DataFrame, classes: DataFrame) -> DataFrame:
 def phase_one_calendars(
     students: DataFrame, classes: DataFrame, schools: DataFrame, absences: DataFrame,
     start: str = K.PHASE_1_START, end: str = K.PHASE_1_END,
-    missing_is_unreliable: bool = True, on_unreliable: str = "drop",
+    missing_is_unreliable: bool = True, on_unreliable: str = "drop", number: str | None = None,
 ) -> DataFrame:
-    """Students with class and school attributes, their days and absence dates."""
+    """Students with class and school attributes, their days and absence dates.
+
+    With ``number``, the students' column by which the phases will be joined, the
+    calendars are stored for that join.
+    """
     observable = eligible_classes(classes, schools, start, end)
     named = students.withColumnRenamed("_URI", "student_id")
     in_class = panel.marked_students(
         named, observable.drop("days"), CLASS_UUIDS, absences, "student_id", "phase-one"
     )
+    # Classes and rates are read from the stored students: no form is joined twice.
+    held = in_class.select(*dict.fromkeys([*CLASS_UUIDS, *CLASS_KEYS, *MONTHS])).distinct()
     believed = panel.believed_days(
-        observable.select(*CLASS_UUIDS, *CLASS_KEYS, "days"),
+        held.withColumn("days", observable_days(start, end)).drop(*MONTHS),
         panel.marks_weekly_rate(in_class, CLASS_KEYS, "student_id"), CLASS_KEYS,
         missing_is_unreliable=missing_is_unreliable, on_unreliable=on_unreliable,
     )
-    return panel.class_calendars(in_class, believed, CLASS_UUIDS)
+    calendars = panel.class_calendars(in_class, believed, CLASS_UUIDS)
+    if number is None:
+        return calendars
+    return panel.stored_calendars(calendars, "student_id", number, "calendars-one")
 
 
 def phase_one_panel(

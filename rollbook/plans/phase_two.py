@@ -113,28 +113,31 @@ def class_absences(
 def phase_two_calendars(
     classes: DataFrame, absences: DataFrame, start: str = K.PHASE_2_START,
     end: str = K.PHASE_2_END, calendar: DataFrame | None = None,
-    missing_is_unreliable: bool = True, on_unreliable: str = "drop",
+    missing_is_unreliable: bool = True, on_unreliable: str = "drop", store: bool = False,
 ) -> DataFrame:
     """Students with their class's believable days and their absence dates.
 
     ``absences`` come from :func:`class_absences`. School days are the weekdays
-    from ``start`` to ``end``, or those of a class ``calendar``.
+    from ``start`` to ``end``, or those of a class ``calendar``. With ``store`` the
+    calendars are stored for the join of both phases.
     """
-    if calendar is None:
-        days = dates.weekday_array(F.to_date(F.lit(start)), F.to_date(F.lit(end)))
-        observable = classes.select(*CLASS_KEYS).distinct().withColumn("days", days)
-    else:
-        observable = panel.dates_per_entity(
-            calendar, CLASS_KEYS, name="days", start=start, end=end
-        )
+    given = None
+    if calendar is not None:
+        given = panel.dates_per_entity(calendar, CLASS_KEYS, name="days", start=start, end=end)
+    known = classes.select(*CLASS_KEYS).distinct() if given is None else given.drop("days")
     in_class = panel.marked_students(
-        classes, observable.drop("days"), CLASS_KEYS, absences, "combined_number", "phase-two"
+        classes, known, CLASS_KEYS, absences, "combined_number", "phase-two"
     )
+    weekdays = dates.weekday_array(F.to_date(F.lit(start)), F.to_date(F.lit(end)))
+    observable = in_class.select(*CLASS_KEYS).distinct().withColumn("days", weekdays) if given is None else given
     believed = panel.believed_days(
         observable, panel.marks_weekly_rate(in_class, CLASS_KEYS, "combined_number"), CLASS_KEYS,
         missing_is_unreliable=missing_is_unreliable, on_unreliable=on_unreliable,
     )
-    return panel.class_calendars(in_class, believed, CLASS_KEYS)
+    calendars = panel.class_calendars(in_class, believed, CLASS_KEYS)
+    if not store:
+        return calendars
+    return panel.stored_calendars(calendars, "combined_number", "combined_number", "calendars-two")
 
 
 def phase_two_attendance(classes: DataFrame, absences: DataFrame, **options) -> DataFrame:

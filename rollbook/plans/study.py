@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
+from rollbook import session
 from rollbook.functions import recode
 from rollbook.operators import corrections as fix
 from rollbook.operators import linkage, panel, quality, reshape
@@ -29,15 +30,19 @@ def phase_one_tables(forms: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
         3: forms["form_c_days_third"],
     }
     absences = phase_one.slot_absences(slots, students, classes)
-    calendars = phase_one.phase_one_calendars(students, classes, schools, absences)
     eligible = phase_one.eligible_students(
         students, phase_one.eligible_classes(classes, schools)
     )
     roster = phase_one.roster(eligible, forms["ids"])
+    # The combined id is put on the students before they are stored: phases meet by it.
+    numbers = roster.select(F.col("student_id").alias("_URI"), "combined_number").distinct()
+    calendars = phase_one.phase_one_calendars(
+        students.join(numbers, "_URI", "left"), classes, schools, absences, number="combined_number"
+    )
     return {
-        "panel": panel.expand_calendars(phase_one.describe(calendars)),
+        "panel": panel.expand_calendars(phase_one.describe(calendars.drop("combined_number"))),
         "students": roster,
-        "calendars": numbered_calendars(calendars, roster),
+        "calendars": calendars.select("student_id", "store_key", "combined_number", "days", "marks"),
         "school_locations": phase_one.school_locations(schools),
         "reference": students.join(
             classes.select("CLASS_UUID", *[
@@ -51,14 +56,6 @@ def phase_one_tables(forms: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
-def numbered_calendars(calendars: DataFrame, roster: DataFrame) -> DataFrame:
-    """First-phase calendars under the combined id of the roster."""
-    numbers = roster.select("student_id", "combined_number")
-    return calendars.select("student_id", "days", "marks").join(
-        numbers, "student_id", "left"
-    )
-
-
 def performance(form_b2: DataFrame, form_b2b: DataFrame) -> DataFrame:
     """Marks of both evaluation forms as one long table."""
     first = recode.suffix_columns(form_b2, "avaliation", "_2015")
@@ -98,12 +95,24 @@ def schools(students: DataFrame, locations: DataFrame) -> DataFrame:
     return quality.school_dimension(students, locations, order)
 
 
+def both_phases(
+    forms: Mapping[str, DataFrame], form_b2: DataFrame, form_b3: DataFrame,
+    tables: list[phase_two.MonthTable], calendar: DataFrame | None = None,
+) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """:func:`phase_one_tables` and :func:`second_phase`, their stores written at the same time."""
+    first, second = session.together(
+        lambda: phase_one_tables(forms), lambda: second_phase(form_b2, form_b3, tables, calendar, store=True)
+    )
+    return first, second
+
+
 def study(
     first: Mapping[str, DataFrame], second: Mapping[str, DataFrame], corrections: DataFrame,
     census: DataFrame, marks: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Result tables from the phases' tables, corrections and census."""
-    both = panel.two_phase_calendars(first["calendars"], second["calendars"])
+    # Second-phase students all have an id, so nobody without one is seen in both.
+    both = panel.two_phase_calendars(first["calendars"], second["calendars"], null_is_entity=False)
     attendance, students = corrected(both, first["students"], corrections, first["reference"])
     linked = census_students(students, census)
     tables = {
@@ -118,12 +127,12 @@ def study(
 
 def second_phase(
     form_b2: DataFrame, form_b3: DataFrame, tables: list[phase_two.MonthTable],
-    calendar: DataFrame | None = None,
+    calendar: DataFrame | None = None, store: bool = False,
 ) -> dict[str, DataFrame]:
     """Classes, absences, attendance and reconciliation of the second phase."""
     classes = phase_two.student_classes(form_b2, form_b3)
     absences = phase_two.class_absences(phase_two.dated_months(tables), classes)
-    calendars = phase_two.phase_two_calendars(classes, absences, calendar=calendar)
+    calendars = phase_two.phase_two_calendars(classes, absences, calendar=calendar, store=store)
     attendance = panel.expand_calendars(calendars)
     return {
         "classes": classes,

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings. Skewed join partitions are split even where the split
@@ -82,18 +84,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_lock = threading.Lock()
+_dropping: list[str | None] = []  # the setting before, once for each writer at work
+_stores: list[tuple[str, str | None]] = []  # paths and tables written by this process
+
+
 @contextmanager
 def dropped_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Within this, a finished query's shuffle files are removed; the setting is put back."""
-    before = spark.conf.get(DROP_SHUFFLES, None)
-    spark.conf.set(DROP_SHUFFLES, "true")
+    """Within this, a finished query's shuffle files are removed; the setting is put back
+    when the last of several threads leaves.
+    """
+    with _lock:
+        _dropping.append(_dropping[0] if _dropping else spark.conf.get(DROP_SHUFFLES, None))
+        spark.conf.set(DROP_SHUFFLES, "true")
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(DROP_SHUFFLES)
-        else:
-            spark.conf.set(DROP_SHUFFLES, before)
+        with _lock:
+            before = _dropping.pop()
+            if _dropping:
+                pass
+            elif before is None:
+                spark.conf.unset(DROP_SHUFFLES)
+            else:
+                spark.conf.set(DROP_SHUFFLES, before)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -103,6 +117,67 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     survives lost executors, and its true size guides the choice of joins.
     """
     path = new_shared_path(df.sparkSession, label)
+    _stores.append((path, None))
     with dropped_shuffles(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, label: str, key: str, buckets: int | None = None) -> DataFrame:
+    """Store a table that later steps join and group by ``key``, in buckets of it.
+
+    Two such tables of one number of buckets (the session's number of shuffle partitions if
+    not given) meet by their key without another shuffle. Rows of one key share a bucket.
+    """
+    spark = df.sparkSession
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, table = new_shared_path(spark, label), f"rollbook_{uuid.uuid4().hex}"
+    _stores.append((path, table))
+    with dropped_shuffles(spark):
+        df.repartition(count, key).write.bucketBy(count, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def together(*steps: Callable[[], object]) -> list:
+    """Results of steps that store tables of their own, run at the same time.
+
+    Their jobs share the executors, so one phase's short last tasks do not keep the other
+    waiting. The first error is raised once all have ended.
+    """
+    out: list = [None] * len(steps)
+    errors: list[BaseException] = []
+
+    def run(k: int) -> None:
+        try:
+            out[k] = steps[k]()
+        except BaseException as error:
+            errors.append(error)
+
+    threads = [InheritableThread(target=run, args=(k,)) for k in range(len(steps))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    if errors:
+        raise errors[0]
+    return out
+
+
+@contextmanager
+def stores(spark: SparkSession) -> Iterator[None]:
+    """The owner of all tables stored inside: they are removed when it ends.
+
+    Results must be written or collected before that.
+    """
+    with _lock:
+        begin = len(_stores)
+    try:
+        yield
+    finally:
+        with _lock:
+            mine, _stores[begin:] = _stores[begin:], []
+        for path, table in mine:
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from rollbook import constants as K
+from rollbook import constants as K, session
 from rollbook.operators import corrections as fix
 from rollbook.operators import joins, linkage, panel, quality
 from rollbook.plans import phase_one, phase_two, report, study
@@ -54,18 +54,17 @@ def monthly_absences(t: Tables) -> DataFrame:
     return phase_two.class_absences(phase_two.dated_months(month_tables(t)), classes)
 
 
-def second_phase(t: Tables) -> dict[str, DataFrame]:
+def second_phase(t: Tables, **options) -> dict[str, DataFrame]:
     b2, b3 = phase_two.form_b2_ids(views.form_b2(t)), phase_two.form_b3_ids(views.form_b3(t))
-    return study.second_phase(b2, b3, month_tables(t))
+    return study.second_phase(b2, b3, month_tables(t), **options)
 
 
 def first_calendars(t: Tables) -> DataFrame:
     """First-phase calendars under the combined id."""
     learners, classes = views.student_form(t), views.class_form(t)
     absences = phase_one.slot_absences(views.slot_tables(t), learners, classes)
-    calendars = phase_one.phase_one_calendars(learners, classes, views.school_form(t), absences)
-    numbered = views.ids(t).select("PERMID", "combined_number")
-    return calendars.select("PERMID", "days", "marks").join(numbered, "PERMID")
+    numbered = learners.join(views.ids(t).select("PERMID", "combined_number"), "PERMID", "left")
+    return phase_one.phase_one_calendars(numbered, classes, views.school_form(t), absences, number="combined_number")
 
 
 TWO_PHASE = f"""phases_raw AS (
@@ -86,7 +85,8 @@ ATTENDANCE = ",\n".join([views.PHASE_ONE, views.IDS, views.PHASE_TWO, TWO_PHASE]
 
 
 def both_calendars(t: Tables) -> DataFrame:
-    return panel.two_phase_calendars(first_calendars(t), second_phase(t)["calendars"])
+    first, second = session.together(lambda: first_calendars(t), lambda: second_phase(t, store=True)["calendars"])
+    return panel.two_phase_calendars(first, second, null_is_entity=False)
 
 
 def attendance(t: Tables) -> DataFrame:
