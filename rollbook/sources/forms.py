@@ -5,17 +5,22 @@ from __future__ import annotations
 import csv
 import posixpath
 import re
-from collections.abc import Collection, Mapping, Sequence
-from functools import reduce
-from urllib.parse import unquote
+from collections.abc import Collection, Iterator, Mapping, Sequence
+from functools import partial, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from rollbook import constants as K
+from rollbook import constants as K, session
 from rollbook.functions import dates
 from rollbook.operators.dedupe import keep_first
 
+#: Schemes of paths that tasks open as files of the machine or of a mounted share.
+OPENED = ("file",)
+#: Bytes read at once for the first line of a file.
+HEADER_BYTES = 1 << 14
+
 
 def table_name(path: str) -> str:
     """Lower-cased file name without its ending, blanks as underscores."""
@@ -23,11 +28,9 @@ def table_name(path: str) -> str:
     return stem.lower().replace("%20", " ").replace(" ", "_")
 
 
-def _below(path: str, directory: str) -> str:
-    """``path`` relative to ``directory``, whatever scheme either is written with."""
-    plain = [re.sub("^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", p) for p in (unquote(path), directory)]
-    inner = plain[1].strip("/") + "/"
-    return plain[0][plain[0].index(inner) + len(inner):]
+def _plain(path: str) -> str:
+    """A path without its scheme and host."""
+    return re.sub("^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path)
 
 
 def form_files(spark: SparkSession, directory: str) -> dict[str, str]:
@@ -39,10 +42,13 @@ def form_files(spark: SparkSession, directory: str) -> dict[str, str]:
         spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
         .option("recursiveFileLookup", True).load(directory).select("path")
     )
-    found = {}
-    for r in files.sort("path").toLocalIterator():
-        form = _below(r.path, directory).split("/")[0]
-        found.setdefault(table_name(form), f"{directory.rstrip('/')}/{form}")
+    # One name for each form, however many parts its folder has.
+    form = F.regexp_extract(F.col("path"), re.escape(_plain(directory).strip("/")) + "/+([^/]+)", 1).alias("form")
+    found: dict[str, str] = {}
+    for r in files.select(form).distinct().sort("form").toLocalIterator():
+        path = f"{directory.rstrip('/')}/{r.form}"
+        if found.setdefault(table_name(r.form), path) != path:
+            raise ValueError(f"{found[table_name(r.form)]} and {path} are both named {table_name(r.form)}")
     return found
 
 
@@ -51,41 +57,83 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
     return df.dropna(how="all")
 
 
+def first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header, read): the first line of each file, and the bytes read for it.
+
+    Files are listed by their names and opened in tasks; a file is read up to the end of
+    its first line, whatever its size. Empty files give no row. Where tasks cannot open
+    files by themselves (:data:`OPENED`), Spark's text reader scans them instead.
+    """
+    scheme = re.match("([A-Za-z][A-Za-z0-9+.-]*):", path)
+    if scheme and scheme[1] not in OPENED:
+        lines = spark.read.text(path).select(
+            F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_size").alias("size"),
+            F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+        )
+        return lines.groupBy("file").agg(F.min_by("value", "at").alias("header"), F.first("size").alias("read"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for file, name in zip(batch.column("file").to_pylist(), batch.column("path").to_pylist()):
+                with open(_plain(name), "rb", buffering=0) as stream:
+                    held = b""
+                    while b"\n" not in held and (more := stream.read(HEADER_BYTES)):
+                        held += more
+                if held:
+                    line = held.split(b"\n", 1)[0].rstrip(b"\r").decode("utf-8-sig", "replace")
+                    rows.append((file, line, len(held)))
+            columns = zip(*rows) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], ["file", "header", "read"])
+
+    names = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), "path")
+    return names.mapInArrow(read, "file string, header string, read long")
+
+
 def read_text_columns(
-    spark: SparkSession, path: str, multi_line: bool = False, file: str | None = None
+    spark: SparkSession, path: str, multi_line: bool = False, entered: str | None = None
 ) -> DataFrame:
     """CSV files with a header as text columns, each file by the names in its own header.
 
-    Files of equal header are read together, so the plan has a branch for each
-    header, not for each file. A doubled quote inside quotes is a quote;
-    ``multi_line`` allows line breaks in cells, at the price of unsplit files.
-    ``file`` names a column for the path of a row's file.
+    Only the distinct headers reach the driver. Files of one header are read as they are;
+    where headers differ, all files are read once by position and each row is named by the
+    header of its file. A doubled quote inside quotes is a quote; ``multi_line`` allows line
+    breaks in cells, at the price of unsplit files. ``entered`` names a column that sorts
+    rows as they were entered: file by file, block by block, line by line.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), "value",
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+    heads = first_lines(spark, path)
+    headers = [r.header for r in heads.select("header").distinct().sort("header").toLocalIterator()]
+    named = [next(csv.reader([h])) if h else [] for h in headers]
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
     )
-    # The first line of each file; files are grouped by it, and only names reach the driver.
-    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    groups: dict[str, list[str]] = {}
-    for r in first.sort("file").toLocalIterator():
-        groups.setdefault(r.header.lstrip("\ufeff"), []).append(r.file)
-    frames = []
-    for header, files in groups.items():
-        names = next(csv.reader([header]))
-        kinds = StructType([StructField(n, StringType()) for n in names])
-        reader = spark.read.schema(kinds).option("header", True).option("escape", '"')
-        frame = reader.option("multiLine", multi_line).csv([_readable(f) for f in files])
-        own = [F.col("_metadata.file_path").alias(file)] if file else []
-        frames.append(frame.select(*(F.col(f"`{n}`") for n in names), *own))
-    if not frames:
-        return spark.createDataFrame([], StructType([StructField(file, StringType())] if file else []))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
-def _readable(path: str) -> str:
-    """A path of file metadata as a path to read: there blanks are written as %20."""
-    return unquote(path)
+    if not named:
+        return spark.createDataFrame([], StructType()).select(*([place_of_nothing().alias(entered)] if entered else []))
+    alike = len(named) == 1
+    positions = named[0] if alike else [f"__{k}" for k in range(max(map(len, named)))]
+    kinds = StructType([StructField(n, StringType()) for n in positions])
+    reader = spark.read.schema(kinds).option("header", True).option("escape", '"').option("multiLine", multi_line)
+    rows = reader.csv(path).select(*(F.col(f"`{n}`") for n in positions), place.alias("__at"))
+    own = [F.col("__at").alias(entered)] if entered else []
+    if alike:
+        return rows.select(*(F.col(f"`{n}`") for n in positions), *own)
+    numbers = F.create_map(*(F.lit(v) for k, h in enumerate(headers) for v in (h, k)))
+    of_file = heads.select(F.col("file").alias("__file"), numbers[F.col("header")].alias("__header"))
+    rows = rows.join(of_file, F.col("__at.file") == F.col("__file"))
+
+    def column(name: str) -> Column:
+        """The position that each header has the name at."""
+        out = F
+        for k, names in enumerate(named):
+            if name in names:
+                out = out.when(F.col("__header") == k, F.col(f"__{names.index(name)}"))
+        return out.alias(name)
+
+    return rows.select(*(column(n) for n in dict.fromkeys(n for names in named for n in names)), *own)
+
+
+def place_of_nothing() -> Column:
+    return F.lit(None).cast("struct<file:string,block:bigint,row:bigint>")
 
 
 def _kinds(schema: StructType | str, as_text: Sequence[str] = ()) -> dict[str, str]:
@@ -93,26 +141,29 @@ def _kinds(schema: StructType | str, as_text: Sequence[str] = ()) -> dict[str, s
     return {f.name: "string" if f.name in as_text else f.dataType.simpleString() for f in given}
 
 
-def _typed(raw: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
+def _typed(raw: DataFrame, kinds: Mapping[str, str], also: Sequence[str] = ()) -> DataFrame:
     """The named columns by name; values that do not parse and absent columns are NULL."""
     return raw.select(*(
         (F.col(f"`{n}`").try_cast(k) if n in raw.columns else F.lit(None).cast(k)).alias(n)
         for n, k in kinds.items()
-    ))
+    ), *also)
 
 
 def read_form(
     spark: SparkSession, path: str, schema: StructType | str | None = None,
-    as_text: Sequence[str] = (), multi_line: bool = False,
+    as_text: Sequence[str] = (), multi_line: bool = False, entered: str | None = None,
 ) -> DataFrame:
     """One form, a file or a folder of files. Without a schema all columns are text, so
     no code loses its zeros; ``as_text`` turns single columns of a given schema into text.
 
     Columns are found by name. A value that does not parse is NULL;
-    :func:`failed_casts` counts these.
+    :func:`failed_casts` counts these. ``entered`` adds a column that sorts rows in the
+    order in which they were entered, for :func:`rollbook.operators.dedupe.keep_first`.
     """
-    raw = read_text_columns(spark, path, multi_line)
-    return drop_empty_rows(raw if schema is None else _typed(raw, _kinds(schema, as_text)))
+    raw = read_text_columns(spark, path, multi_line, entered)
+    own = [entered] if entered else []
+    rows = raw if schema is None else _typed(raw, _kinds(schema, as_text), own)
+    return rows.dropna(how="all", subset=[f"`{c}`" for c in rows.columns if c not in own])
 
 
 def failed_casts(
@@ -149,13 +200,12 @@ def read_multi(
 ) -> DataFrame:
     """Union of a directory's lists, one row per key; each list by its own header.
 
-    The first row counts: by ``order``, or by file name and then the columns.
+    The first row counts: by ``order``, or as the rows were entered, file by file.
     """
-    raw = read_text_columns(spark, directory, file="__file")
+    raw = read_text_columns(spark, directory, entered="__at")
     kinds = _kinds(schema)
-    named = _typed(raw, {c: kinds[c] for c in columns} | {"__file": "string"})
-    by = order or [F.col("__file"), *[F.col(c) for c in columns]]
-    return keep_first(named, [key], by).drop("__file")
+    named = _typed(raw, {c: kinds[c] for c in columns}, ["__at"])
+    return keep_first(named, [key], order or [F.col("__at")]).drop("__at")
 
 
 def read_table(
@@ -176,11 +226,12 @@ def read_sheets(
     repeated header row.
 
     Sheets may differ in columns; all values are text. ``sheet`` is the position
-    in ``paths`` and ``line`` the place within it, so ``correction_order`` restores
-    the order of entry. A sheet without a repeated header is an error, or gives no
+    in ``paths`` and ``line`` the place within it (part, block and row), so
+    ``correction_order`` restores the order of entry. A sheet without a repeated header is an error, or gives no
     rows if ``headerless`` is "skip".
     """
-    sheets = [_read_sheet(spark, p).withColumn("sheet", F.lit(k)) for k, p in enumerate(paths)]
+    read = session.together(*(partial(read_text_columns, spark, p, True, "line") for p in paths))
+    sheets = [sheet.withColumn("sheet", F.lit(k)) for k, sheet in enumerate(read)]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sheets)
     header = (
         rows.filter(F.col(marker) == marker).groupBy("sheet").agg(F.min("line").alias("__header"))
@@ -191,19 +242,7 @@ def read_sheets(
         if lost:
             raise ValueError(f"no repeated header row in {lost}")
     below = rows.join(header, "sheet", "inner").filter(F.col("line") > F.col("__header"))
-    return below.drop("__header").withColumn(
-        "correction_order", F.col("sheet").cast("bigint") * F.lit(1 << 52) + F.col("line")
-    )
-
-
-def _read_sheet(spark: SparkSession, path: str) -> DataFrame:
-    # A multi-line file is read as one split, so the running id follows its rows; parts
-    # follow one another by name.
-    raw = read_text_columns(spark, path, multi_line=True, file="__file")
-    rows = raw.withColumn("line", F.monotonically_increasing_id() % F.lit(1 << 33))
-    parts = sorted(r[0] for r in raw.select("__file").distinct().toLocalIterator())
-    place = F.create_map(*(F.lit(x) for k, p in enumerate(parts) for x in (p, k)))
-    return rows.withColumn("line", place[F.col("__file")].cast("bigint") * F.lit(1 << 33) + F.col("line")).drop("__file")
+    return below.drop("__header").withColumn("correction_order", F.struct("sheet", "line"))
 
 
 def type_corrections(corrections: DataFrame, origin: str = K.EXCEL_ORIGIN) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollbook import session
+from rollbook.operators.dedupe import keep_first
 from rollbook.sources import forms, store
 
 
@@ -137,3 +138,77 @@ def test_a_sheet_without_its_header_is_an_error(spark, tmp_path):
     with pytest.raises(ValueError, match="s.csv"):
         forms.read_sheets(spark, [str(tmp_path / "s.csv")])
     assert forms.read_sheets(spark, [str(tmp_path / "s.csv")], headerless="skip").count() == 0
+
+
+def test_headers_cost_the_same_for_long_files(spark, tmp_path, rows):
+    for name, lines in (("short", 3), ("long", 400_000)):
+        write(tmp_path / f"{name}.csv", "\ufeffk,t\n" + "1,some text\n" * lines)
+    write(tmp_path / "none.csv", "")
+    write(tmp_path / "wide.csv", ",".join(f"column_{k}" for k in range(5000)) + "\r\n")
+    heads = {r.file.rsplit("/", 1)[1]: r for r in forms.first_lines(spark, str(tmp_path)).collect()}
+    assert sorted(heads) == ["long.csv", "short.csv", "wide.csv"]
+    assert heads["long.csv"].header == heads["short.csv"].header == "k,t"
+    assert heads["long.csv"].read <= forms.HEADER_BYTES and (tmp_path / "long.csv").stat().st_size > 4_000_000
+    assert heads["wide.csv"].header.endswith(",column_4999")
+
+
+def test_headers_by_the_text_reader_are_the_same(spark, tmp_path, rows, monkeypatch):
+    write(tmp_path / "a.csv", "k,t\n1,x\n")
+    write(tmp_path / "b.csv", "t,k,u\ny,2,z\n")
+    path = "file://" + str(tmp_path)
+    own = rows(forms.first_lines(spark, path), "file", "header")
+    monkeypatch.setattr(forms, "OPENED", ())
+    assert rows(forms.first_lines(spark, path), "file", "header") == own and len(own) == 2
+    assert rows(forms.read_text_columns(spark, path)) == [("1", "x", None), ("2", "y", "z")]
+
+
+def test_forms_of_equal_table_name_are_an_error(spark, tmp_path):
+    write(tmp_path / "a b.csv", "k\n1\n")
+    write(tmp_path / "A_B.csv", "k\n2\n")
+    with pytest.raises(ValueError, match="A_B.csv and .*a b.csv"):
+        forms.form_files(spark, str(tmp_path))
+
+
+def test_the_first_entered_row_counts_over_splits(spark, tmp_path):
+    write(tmp_path / "f.csv", "id,n\n" + "".join(f"{(k * 7919) % 5000},{k}\n" for k in range(60_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        form = forms.read_form(spark, str(tmp_path / "f.csv"), "id int, n int", entered="at")
+        assert form.rdd.getNumPartitions() > 5 and form.select("at.block").distinct().count() > 5
+        kept = keep_first(form, ["id"], [F.col("at")])
+        assert kept.count() == 5000 and kept.agg(F.max("n")).first()[0] == 4999
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_broken_write_is_not_served(spark, tmp_path):
+    path = str(tmp_path / "snap")
+
+    def broken():
+        return spark.range(100, numPartitions=4).select(F.when(F.col("id") == 99, F.raise_error("lost")).otherwise(F.col("id")).alias("id"))
+
+    with pytest.raises(Exception, match="lost"):
+        store.cached(spark, path, broken)
+    spark.range(25).write.parquet(f"{path}/table-half")  # complete, but never entered
+    assert store.cached(spark, path, lambda: spark.range(100)).count() == 100
+    assert store.cached(spark, path, broken).count() == 100
+
+
+def test_changed_inputs_and_parameters_are_computed_anew(spark, tmp_path):
+    source, path, calls = str(tmp_path / "in"), str(tmp_path / "snap"), []
+    spark.range(3).write.parquet(source)
+
+    def run(**parameters):
+        def compute():
+            calls.append(parameters)
+            return spark.read.parquet(source)
+
+        return store.cached(spark, path, compute, inputs=[source], parameters=parameters)
+
+    first = run(a=1)
+    assert run(a=1).count() == 3 and len(calls) == 1
+    assert run(a=2).count() == 3 and len(calls) == 2
+    spark.range(10).write.mode("append").parquet(source)
+    assert run(a=1).count() == 13 and len(calls) == 3
+    assert first.count() == 3 and run(a=1).count() == 13 and len(calls) == 3

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rollbook import session
+from rollbook.operators.dedupe import keep_first
 from rollbook.sources import forms, store
 from workload.base import Tables, query
 from workload.composite_queries import correction_rows
@@ -130,11 +131,23 @@ def read_reference_table(t: Tables) -> DataFrame:
 @query("snapshot_cache", """
 SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1""")
 def snapshot_cache(t: Tables) -> DataFrame:
-    """A result computed and saved once, then loaded."""
+    """A result computed and saved once for these orders, then loaded."""
     path = session.new_shared_path(t.spark, "snapshot")
+    depends = {"inputs": [f"{t.folder}/orders.parquet"], "parameters": {"by": "o_orderstatus"}}
     compute = lambda: t("orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
-    store.cached(t.spark, path, compute)
-    return store.cached(t.spark, path, compute)
+    store.cached(t.spark, path, compute, **depends)
+    return store.cached(t.spark, path, compute, **depends)
+
+
+@query("first_entered", """
+SELECT o_custkey, CAST(arg_min(o_orderkey, o_orderkey) AS VARCHAR) AS o_orderkey, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus
+FROM orders GROUP BY 1""")
+def first_entered(t: Tables) -> DataFrame:
+    """Of customers filed several times in a form of many parts, the row entered first."""
+    rows = t("orders").select("o_orderkey", "o_orderstatus", "o_custkey").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey")
+    folder = written(t, rows, "entered", "orders")
+    form = forms.read_form(t.spark, f"{folder}/orders", "o_custkey bigint, o_orderkey string, o_orderstatus string", entered="__entered")
+    return keep_first(form, ["o_custkey"], [F.col("__entered")]).drop("__entered")
 
 
 @query("typed_corrections", """
