@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollbook import constants as K
 from rollbook.functions import dates, recode
@@ -195,6 +195,76 @@ def mark_means(
     )
 
 
+def quantile_sketch(
+    df: DataFrame, by: Sequence[str], value: str = "value", resolution: float = 0.01,
+) -> DataFrame:
+    """A mergeable sketch of the values of each group: rows (by, ``cell``, ``n``).
+
+    A cell holds the values nearest to one multiple of ``resolution``, so the sketch is exact
+    for values on that grid, and each quantile is within half a ``resolution`` otherwise.
+    Its size follows the range of values, not their number; sketches merge by adding up
+    equal cells (:func:`merged_sketch`). NULL and NaN are left out.
+    """
+    known = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    cell = F.round(F.col(value).cast("double") / F.lit(resolution)).cast("bigint")
+    return known.groupBy(*by, cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged_sketch(sketch: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The sketch of coarser groups."""
+    return sketch.groupBy(*by, "cell").agg(F.sum("n").alias("n"))
+
+
+def sketch_quantiles(
+    sketch: DataFrame, by: Sequence[str], probabilities: Mapping[str, float],
+    resolution: float = 0.01,
+) -> DataFrame:
+    """Quantiles of each group by name, interpolated between neighbours, and ``n_values``.
+
+    Only the cells of a group are ordered, whatever number of values they stand for.
+    """
+    group = Window.partitionBy(*by)
+    upto = group.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    placed = sketch.withColumns({"__end": F.sum("n").over(upto), "__all": F.sum("n").over(group)})
+
+    def at(rank: Column) -> Column:
+        """The value with so many values before it."""
+        inside = (F.col("__end") - F.col("n") <= rank) & (rank < F.col("__end"))
+        return F.max(F.when(inside, F.col("cell")))
+
+    out = {}
+    for name, p in probabilities.items():
+        place = (F.col("__all") - 1) * F.lit(float(p))
+        low, high, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        out[name] = (low + (high - low) * part) * F.lit(resolution)
+    return placed.groupBy(*by).agg(*(c.alias(n) for n, c in out.items()), F.max("__all").alias("n_values"))
+
+
+#: Quantiles of a distribution of marks by name.
+QUARTILES = {"lowest": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "highest": 1.0}
+
+
+def mark_quantiles(
+    marks: DataFrame, levels: Sequence[Sequence[str]] = MARK_LEVELS, value: str = "value",
+    probabilities: Mapping[str, float] = QUARTILES, resolution: float = 0.01,
+) -> DataFrame:
+    """Quantiles of marks at several levels; keys outside a level are NULL.
+
+    Marks are read once for sketches of the finest groups; every level merges those.
+    """
+    every = list(dict.fromkeys(k for level in levels for k in level))
+    finest = quantile_sketch(marks.filter(F.col("district").isNotNull()), every, value, resolution)
+    sets = [[*(F.col(k) for k in level), F.col("cell")] for level in levels]
+    keys = [*(F.col(k) for k in every), F.col("cell")]
+    merged = finest.groupingSets(sets, *keys).agg(F.grouping_id(*keys).alias("__level"), F.sum("n").alias("n"))
+    found = sketch_quantiles(merged, ["__level", *every], probabilities, resolution)
+    names = {
+        sum(2 << (len(every) - 1 - i) for i, k in enumerate(every) if k not in level): "+".join(level)
+        for level in levels
+    }
+    return found.select(recode.recode(F.col("__level").cast("int"), names).alias("level"), *every, *probabilities, "n_values")
+
+
 def histogram(
     df: DataFrame, value: str, low: float, width: float, by: Sequence[str] = (),
 ) -> DataFrame:

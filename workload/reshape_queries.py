@@ -87,6 +87,21 @@ def marks_mean(t: Tables) -> DataFrame:
     return rounded(reshape.mark_means(placed_marks(t)), "mean_value")
 
 
+@query("marks_quantiles", f"""WITH {PLACED}
+SELECT CASE WHEN grouping(trimester) = 0 AND grouping(subject) = 0 THEN 'trimester+subject+district'
+            WHEN grouping(trimester) = 0 THEN 'trimester+district'
+            WHEN grouping(subject) = 0 THEN 'year+subject+district' ELSE 'year+district' END AS level,
+       trimester, subject, district, year, round(min(value), 6) AS lowest, round(quantile_cont(value, 0.25), 6) AS q1,
+       round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3,
+       round(max(value), 6) AS highest, count(value) AS n_values
+FROM placed WHERE value IS NOT NULL
+GROUP BY GROUPING SETS ((trimester, subject, district), (trimester, district),
+                        (year, subject, district), (year, district))""")
+def marks_quantiles(t: Tables) -> DataFrame:
+    """Quartiles of marks by trimester or year, with and without subject, per district."""
+    return rounded(reshape.mark_quantiles(placed_marks(t)), *reshape.QUARTILES)
+
+
 @query("marks_histogram", f"""WITH {PLACED}
 SELECT trimester, district, CAST(floor(value / 10e0) AS BIGINT) AS bin, count(*) AS n,
        floor(value / 10e0) * 10e0 AS bin_start
