@@ -257,13 +257,13 @@ FROM judged GROUP BY nr, doc_id
 
 ORACLES["op6_topk"] = """
 WITH vector AS (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS whole FROM embeddings
+    SELECT row_number() OVER () AS nr, vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS whole FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-    SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.whole, b.whole) AS BIGINT) AS score
-    FROM vector a JOIN vector b ON a.vec_id <> b.vec_id AND len(a.whole) = len(b.whole) WHERE a.vec_id % 50 = 0
+    SELECT a.nr, a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.whole, b.whole) AS BIGINT) AS score
+    FROM vector a JOIN vector b ON a.nr <> b.nr AND len(a.whole) = len(b.whole) WHERE a.vec_id % 50 = 0
 ), ranked AS (
-    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+    SELECT *, CAST(row_number() OVER (PARTITION BY nr ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """

@@ -29,7 +29,7 @@ LEAF = 64
 class BallTree:
     """Vectors in tree order, with centres and radii of nodes by level."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray) -> None:
         order, spans = np.arange(len(ids)), [[(0, len(ids))]]
         while max(b - a for a, b in spans[-1]) > LEAF:
             below = []
@@ -44,7 +44,7 @@ class BallTree:
                 m = (a + b) // 2
                 below += [(a, m), (m, b)]
             spans.append(below)
-        self.ids, self.vectors, self.leaves = ids[order], vectors[order], spans[-1]
+        self.ids, self.rows, self.vectors, self.leaves = ids[order], rows[order], vectors[order], spans[-1]
         self.centres, self.radii = [], []
         for level in spans:
             centres = np.stack([self.vectors[a:b].mean(axis=0) if b > a else np.zeros(vectors.shape[1]) for a, b in level])
@@ -61,14 +61,14 @@ class BallTree:
         return path + 1e-9 * np.abs(path) + 1e-3  # beyond rounding; scores are integers
 
     def search(self, query: np.ndarray, own: int, bounds: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The best ``k`` (ids, scores) of at least ``least``, ties to smaller ids."""
+        """The best ``k`` (ids, scores) of at least ``least``, ties to smaller ids; row ``own`` is left out."""
         ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for leaf in np.argsort(-bounds, kind="stable"):
             if bounds[leaf] < least:
                 break
             a, b = self.leaves[leaf]
             found = np.rint(self.vectors[a:b] @ query).astype(np.int64)
-            good = (found >= least) & (self.ids[a:b] != own)
+            good = (found >= least) & (self.rows[a:b] != own)
             if good.any():
                 ids, scores = np.concatenate([ids, self.ids[a:b][good]]), np.concatenate([scores, found[good]])
                 best = np.lexsort((ids, -scores))[:k]
@@ -86,7 +86,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, shard_rows: int = SHARD_
     """The ``k`` highest inner products of each query: query_id, rank, vec_id, score.
 
     ``vectors`` has (vec_id long, vector array of integers). Queries are the rows for which
-    ``is_query`` holds; candidates are all rows of other ``vec_id``, of the same length.
+    ``is_query`` holds; candidates are all other rows of the same length, also those of equal
+    ``vec_id``. Rows of empty vectors score 0 with one another.
     Ties go to the smaller ``vec_id``; with fewer candidates, all are returned. Rows with a
     null id or vector, or a null component, take no part. Scores must stay below 2**53.
     Repeated query rows are queries each for itself. An empty table gives no rows.
@@ -100,10 +101,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, shard_rows: int = SHARD_
 
     def plant(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
-        tree = BallTree(pdf["vec_id"].to_numpy(np.int64), _matrix(pdf["vector"]))
+        tree = BallTree(pdf["vec_id"].to_numpy(np.int64), pdf["at"].to_numpy(np.int64), _matrix(pdf["vector"]))
         return pd.DataFrame([{"dim": int(pdf["dim"].iloc[0]), "shard": int(pdf["shard"].iloc[0]), "tree": pickle.dumps(tree, protocol=5)}])
 
-    dealt = store.withColumn("shard", F.pmod(F.xxhash64("at"), F.lit(shards)).cast("int")).select("dim", "shard", "vec_id", "vector")
+    dealt = store.withColumn("shard", F.pmod(F.xxhash64("at"), F.lit(shards)).cast("int")).select("dim", "shard", "at", "vec_id", "vector")
     trees = session.materialize(dealt.groupBy("dim", "shard").applyInPandas(plant, "dim int, shard int, tree binary"), "topk-trees")
     block = F.pmod(F.xxhash64(F.lit("block"), "at"), F.lit(blocks)).cast("int")
     queries = store.filter("asks").select("dim", "at", "vec_id", "vector", block.alias("block"), F.lit(float("-inf")).alias("least"))
@@ -115,7 +116,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, shard_rows: int = SHARD_
             x, own, least, at = _matrix(asking["vector"]), asking["vec_id"].to_numpy(), asking["least"].to_numpy(), asking["at"].to_numpy()
             for begin in range(0, len(x), block_queries):
                 for i, b in enumerate(tree.bounds(x[begin: begin + block_queries]), begin):
-                    ids, scores = tree.search(x[i], own[i], b, least[i], k)
+                    ids, scores = tree.search(x[i], at[i], b, least[i], k)
                     out += [(at[i], own[i], j, s) for j, s in zip(ids, scores)]
         return pd.DataFrame(out, columns=["at", "query_id", "vec_id", "score"]).astype("int64")
 

@@ -254,6 +254,12 @@ def test_top_k(spark, shard_rows, block_queries):
         assert sorted(found) == [(n + 1, k, s[k]) for n, k in enumerate(best)]
 
 
+def test_top_k_among_equal_ids(spark, rows):
+    df = spark.createDataFrame([(0, [1, 2]), (0, [5, 5]), (1, [3, 4])], "vec_id long, vector array<long>")
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, 5)
+    assert rows(got, "query_id", "rank", "vec_id", "score") == sorted([(0, 1, 0, 15), (0, 2, 1, 11), (0, 1, 1, 35), (0, 2, 0, 15)])
+
+
 def test_top_k_with_few_candidates(spark):
     df = spark.createDataFrame([(0, [1, 2]), (1, [3, 4]), (2, [0, -1])], "vec_id long, vector array<long>")
     got = topk.top_k(df, F.col("vec_id") == 0, 5).collect()
