@@ -8,6 +8,8 @@ a key are first reduced to one for each day.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollbook import session
@@ -15,9 +17,6 @@ from rollbook.llm.prefix import beside, unfold
 
 #: Days in a time bucket.
 BUCKET_DAYS = 16
-#: A longer host is no name of the domain system; unless the caller lifts the bound, only
-#: the whole of it is a key.
-HOST_CHARS = 253
 
 _AUTHORITY = "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 _SEGMENT = "^[^:/?#]+://[^/?#]+/([^/?#]+)"
@@ -34,16 +33,22 @@ def folder(url: Column) -> Column:
     return F.when((segment == "") | (host(url) == ""), F.lit("")).otherwise(F.concat(host(url), F.lit("/"), segment))
 
 
-def keys(url: Column, host_chars: int | None = HOST_CHARS) -> Column:
-    """Keys that a listed key can equal: the host, the domains above it, and the folder.
+def depths(entries: DataFrame) -> list[int]:
+    """Numbers of labels that the hosts of listed keys have, each once, for :func:`keys`.
+
+    Few as a rule, and never more than the root of twice the characters of all keys.
+    """
+    labels = F.size(F.split(F.substring_index("key", "/", 1), "\\."))
+    return sorted(r[0] for r in entries.filter("key is not null").select(labels).distinct().collect())
+
 
-    The domains above a host of more than ``host_chars`` characters are left out (None: never).
+def keys(url: Column, labels: Sequence[int]) -> Column:
+    """Keys that a listed key can equal: the last so many ``labels`` of the host, and the
+    folder. A host is cut once for each number of labels, whatever its length.
     """
     name = host(url)
-    labels = F.split(name, "\\.")
-    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    names = above if host_chars is None else F.when(F.length(name) > host_chars, F.array(name)).otherwise(above)
-    return F.array_distinct(F.filter(F.concat(names, F.array(folder(url))), lambda k: k != ""))
+    names = [F.substring_index(name, ".", -n) for n in labels]
+    return F.array_distinct(F.filter(F.array(*names, folder(url)), lambda k: k != ""))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -59,13 +64,12 @@ def intervals(entries: DataFrame) -> DataFrame:
     return dated.filter("listed").select("list", "key", F.col("day").alias("begins"), "ends")
 
 
-def active(captures: DataFrame, url: Column, day: Column, entries: DataFrame, bucket_days: int = BUCKET_DAYS, host_chars: int | None = HOST_CHARS) -> DataFrame:
+def active(captures: DataFrame, url: Column, day: Column, entries: DataFrame, bucket_days: int = BUCKET_DAYS) -> DataFrame:
     """Add ``lists``, the sorted names of lists with an entry that matches the URL and holds
     on ``day``, ``n_active``, the number of such entries, and ``blocked``.
 
-    A null URL, one without a host, or a null day matches nothing. A host longer than
-    ``host_chars`` is matched only as a whole; None matches the domains above every host. Repeated captures are
-    tested each for itself. An empty list blocks nothing; an empty table gives no rows.
+    A listed host matches itself and all hosts below it, of any length. A null URL, one
+    without a host, or a null day matches nothing. Repeated captures are tested each for itself. An empty list blocks nothing; an empty table gives no rows.
     """
     rows = beside(captures, url=url.cast("string"), day=day.cast("int")).withColumn("at", F.monotonically_increasing_id())
     rows = session.materialize(rows, "url-captures")
@@ -78,7 +82,7 @@ def active(captures: DataFrame, url: Column, day: Column, entries: DataFrame, bu
     width = F.lit(bucket_days)
     cut = F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))
     held = held.withColumn("bucket", F.explode(cut)).select("list", "key", "bucket", "low", "high")
-    asked = rows.select("at", "day", F.explode(keys(F.col("url"), host_chars)).alias("key")).filter("day is not null")
+    asked = rows.select("at", "day", F.explode(keys(F.col("url"), depths(entries))).alias("key")).filter("day is not null")
     asked = asked.withColumn("bucket", F.floor(F.col("day") / width))
     met = asked.join(held, ["key", "bucket"]).filter("low <= day and day < high")
     found = met.groupBy("at").agg(F.count("*").alias("n_active"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))

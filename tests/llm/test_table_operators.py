@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -230,13 +231,23 @@ def test_lists_over_time(spark, rows):
     seen = [("http://evil.org/p", 9), ("HTTP://EVIL.ORG", 10), ("https://user@sub.evil.org:80/", 12), ("http://evil.org", 29), ("http://evil.org", 30), ("http://notevil.org", 15), ("http://x.net/ads/1", 99), ("http://x.net/ad", 99), (None, 10), ("evil.org", 10), ("http://evil.org", None), ("http://" + "a." * 200 + "evil.org", 15), ("http://evil.org", 29)]
     captures = spark.createDataFrame([(k, u, d, "mine") for k, (u, d) in enumerate(seen)], "nr long, url string, day int, lists string")
     got = url_lists.active(captures, F.col("url"), F.col("day"), entries)
-    want = ["", "a", "a,c", "a", "", "", "b", "", "", "", "", "", "a"]
+    want = ["", "a", "a,c", "a", "", "", "b", "", "", "", "", "a", "a"]
     assert [r[1] for r in rows(got, "nr", "lists")] == [want[k] for k in sorted(range(len(want)), key=lambda k: repr((k,)))]
     assert got.filter("blocked <> (n_active > 0)").count() == 0
     assert url_lists.active(captures, F.col("url"), F.col("day"), entries.filter("false")).filter("blocked").count() == 0
     assert url_lists.active(captures.filter("false"), F.col("url"), F.col("day"), entries).count() == 0
 
 
+def test_a_host_of_a_megabyte(spark):
+    entries = spark.createDataFrame([("a", "evil.org", 10, True), ("b", "x.y.z.evil.org", 10, True)], "list string, key string, day int, listed boolean")
+    hosts = ["a." * 500_000 + "evil.org", "a." * 500_000 + "x.y.z.evil.org", "a." * 500_000 + "fine.org", "b" * 1_000_000]
+    captures = spark.createDataFrame([(k, f"http://{h}/p", 15) for k, h in enumerate(hosts)], "nr int, url string, day int")
+    begun = time.perf_counter()
+    got = url_lists.active(captures, F.col("url"), F.col("day"), entries).select("nr", "lists").sort("nr").collect()
+    assert [r.lists for r in got] == ["a", "a,b", "", ""]
+    assert time.perf_counter() - begun < 30
+
+
 @pytest.mark.parametrize("shard_rows,block_queries", [(16_384, 512), (100, 7)])
 def test_top_k(spark, shard_rows, block_queries):
     rng = np.random.default_rng(2)
