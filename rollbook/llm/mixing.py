@@ -14,6 +14,7 @@ which partial sums meet.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -72,7 +73,8 @@ def multipliers(cells: DataFrame, goals: DataFrame, cap: float, tolerance: float
 
     ``cells`` has (src_null, src, size, n), sizes above 0. Newton steps are taken on the
     logarithm of the tokens; a step that leaves the bracket known so far is replaced by
-    its middle, which makes convergence certain also where the cap bends the dual.
+    its middle, which makes convergence certain also where the cap bends the dual. A source
+    that is not within ``tolerance`` after ``most`` steps is told in a warning.
     """
     mean = F.col("tokens") / F.col("docs")
     # With all rates capped a source gives cap times its tokens; with these others, less than its target.
@@ -102,6 +104,8 @@ def multipliers(cells: DataFrame, goals: DataFrame, cap: float, tolerance: float
         worst = state.agg(F.max("off")).first()[0]
         if worst is None or worst <= tolerance:
             break
+    else:
+        warnings.warn(f"after {most} Newton steps a source is still {worst:.1e} of its target away", stacklevel=2)
     return state.select(*_KEY, "m", "mean")
 
 

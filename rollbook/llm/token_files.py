@@ -29,7 +29,12 @@ def bits_for(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """``ids`` in ``bits`` bits each, lowest bit first, 32 ids in ``bits`` 32-bit words."""
+    """``ids`` in ``bits`` bits each, lowest bit first, 32 ids in ``bits`` 32-bit words.
+
+    An id that needs more bits is an error.
+    """
+    if len(ids) and int(np.max(ids)) >> bits:
+        raise ValueError(f"id {int(np.max(ids))} does not fit {bits} bits")
     groups = -(-len(ids) // 32)
     padded = np.zeros(groups * 32, dtype=np.uint32)
     padded[: len(ids)] = ids

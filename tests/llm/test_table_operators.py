@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import time
 import zlib
@@ -91,6 +92,44 @@ def test_bit_fields(bits):
         assert token_files.unpack(packed, bits, start, count).tolist() == ids[start: start + count].tolist()
 
 
+def test_an_id_beyond_its_bits_is_an_error():
+    with pytest.raises(ValueError, match="70000"):
+        token_files.pack(np.array([1, 70_000], np.uint32), 16)
+    assert token_files.unpack(token_files.pack(np.array([65_535], np.uint32), 16), 16, 0, 1).tolist() == [65_535]
+
+
+def tilted(pairs, goal, cap):
+    """Rates of an independent solver: the one multiplier of a source by bisection."""
+    mean = sum(n * s for s, n in pairs) / sum(n for _, n in pairs)
+    low, high = -1e4, 1e4
+
+    def got(m):
+        return sum(n * s * min(cap, math.exp(min(50, m * s / mean))) for s, n in pairs)
+
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if got(middle) < goal else (low, middle)
+    return {s: min(cap, math.exp(min(50, low * s / mean))) for s, _ in pairs}
+
+
+def test_rates_are_those_of_an_independent_solver(spark):
+    rng = np.random.default_rng(4)
+    rows = [(str(k % 3), int(s)) for k, s in enumerate(rng.lognormal(4, 1, 900).astype(int) + 1)]
+    got = mixing.mix(spark.createDataFrame(rows, "source string, words long"), F.col("source"), F.col("words")).collect()
+    for name in "012":
+        own = [r for r in got if r.source == name]
+        pairs = [(int(s), n) for s, n in zip(*np.unique([r.size for r in own], return_counts=True))]
+        want = tilted(pairs, own[0].target, 3)
+        assert max(abs(r.rate - want[r.size]) for r in own) < 1e-3
+
+
+def test_unsolved_rates_are_told(spark):
+    cells = spark.createDataFrame([(False, "a", 10, 5), (False, "a", 30, 2)], "src_null boolean, src string, size long, n long")
+    goals = spark.createDataFrame([(False, "a", 110, 7, 10, 200.0)], "src_null boolean, src string, tokens long, docs long, least long, target double")
+    with pytest.warns(UserWarning, match="after 1 Newton"):
+        mixing.multipliers(cells, goals, 3, most=1)
+
+
 @pytest.mark.parametrize("name,as_words", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
 def test_ids_are_those_of_the_whole_text(corpus, name, as_words):
     encoder = tokens.Encoder(queries.tokenizer(name), as_words)
