@@ -8,6 +8,7 @@ from rollbook import constants as K, session
 from rollbook.operators import corrections as fix
 from rollbook.operators import joins, linkage, panel, quality
 from rollbook.plans import phase_one, phase_two, report, study
+from rollbook.sources import attendance as stored
 from workload import views
 from workload.base import Tables, pad, query, rounded
 from workload.link_queries import utm_sql
@@ -284,6 +285,21 @@ def corrected_flags(t: Tables) -> DataFrame:
     return fix.correct_flags(_order_flags(t), correction_days(t))
 
 
+@query("corrected_months", f"""WITH {FLAGS}
+SELECT o_orderkey, s.combined_number, o.date,
+       CASE WHEN k.days IS NOT NULL THEN list_contains(k.days, day(o.date))
+            ELSE o.priority = '5-LOW' END AS absent,
+       CASE WHEN year(o.date) <= 1998 THEN 1 ELSE 2 END AS phase
+FROM order_days o JOIN students s USING (student_id)
+LEFT JOIN correction_days k ON k.combined_number = s.combined_number AND k.month = month(o.date)
+  AND year(o.date) <= 1998""")
+def corrected_months(t: Tables) -> DataFrame:
+    """Attendance stored by month; corrections rewrite the months that hold a corrected row."""
+    path = session.new_shared_path(t.spark, "attendance")
+    stored.write(_order_flags(t), path)
+    return stored.correct(t.spark, path, correction_days(t))
+
+
 @query("corrected_flags_all_years", f"""WITH {FLAGS}
 SELECT o_orderkey, s.combined_number, o.date,
        CASE WHEN k.days IS NOT NULL THEN list_contains(k.days, day(o.date))
