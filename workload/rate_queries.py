@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rollbook.operators import rates
-from rollbook.plans import phase_two
+from rollbook.plans import phase_two, report
 from workload.base import Tables, day, query, rounded
 from workload.views import EVENT_DAYS, SHIPMENTS, STUDENTS, event_days, shipments, students
 
@@ -69,16 +69,26 @@ labelled AS (
 SELECT year_month, class_number, {REPORT_SQL} FROM labelled GROUP BY 1, 2""")
 def monthly_rate_by_class(t: Tables) -> DataFrame:
     """Monthly report per class."""
-    report = phase_two.monthly_class_report(_attendance(t), _classes(t))
-    return rounded(report, "absenteeism_rate")
+    return rounded(phase_two.monthly_class_report(_attendance(t), _classes(t)), "absenteeism_rate")
 
 
 @query("monthly_rate_by_region", f"""WITH {LABELLED}
 SELECT year_month, left(combined_number, 2) AS district, {REPORT_SQL} FROM labelled GROUP BY 1, 2""")
 def monthly_rate_by_region(t: Tables) -> DataFrame:
     """Monthly report per district."""
-    report = phase_two.monthly_district_report(_attendance(t), _classes(t))
-    return rounded(report, "absenteeism_rate")
+    return rounded(phase_two.monthly_district_report(_attendance(t), _classes(t)), "absenteeism_rate")
+
+
+MONTH_SQL, YEAR_SQL = (f"CAST(date_trunc('{p}', date) AS DATE)" for p in ("month", "year"))
+GROUP_SQL = {"class_number": "class_number", "district": "left(combined_number, 2)", "school": "substr(combined_number, 4, 2)"}
+
+
+@query("report_levels", f"WITH {LABELLED} " + " UNION ALL ".join(
+    f"""SELECT '{name}' AS level, {MONTH_SQL if period == 'month_start' else YEAR_SQL} AS period, {GROUP_SQL[group]} AS "group",
+       count(DISTINCT combined_number) AS students, {RATE_SQL} FROM labelled GROUP BY 2, 3""" for name, period, group in report.LEVELS))
+def report_levels(t: Tables) -> DataFrame:
+    """Rates and distinct students of classes, schools and districts by month and year."""
+    return rounded(report.levels(_attendance(t), _classes(t)), "absenteeism_rate")
 
 
 MONTHLY_FACT_SQL = """facts AS (
