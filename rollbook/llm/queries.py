@@ -37,7 +37,8 @@ def tokenizer(name: str) -> str:
 def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words that the mix takes of every document; sources weigh 1, 2, 3 in turn."""
     docs = table(spark, folder, "documents").select("doc_id", "source", prefix.word_count(F.col("text")).alias("size"))
-    mixed = mixing.mix(docs, F.col("source"), F.col("size"))
+    # Sorting by ranges reads its input twice; the texts are read once.
+    mixed = mixing.mix(session.materialize(docs, "mix-sizes"), F.col("source"), F.col("size"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
@@ -64,7 +65,8 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select(
         "doc_id", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("bytes"),
     )
-    cut = sharding.shard(docs, F.col("bytes"), [F.col("doc_id"), F.col("text_crc32"), F.col("bytes")], 24)
+    # Sorting by ranges reads its input twice; the texts are read once.
+    cut = sharding.shard(session.materialize(docs, "shard-sizes"), F.col("bytes"), [F.col("doc_id"), F.col("text_crc32"), F.col("bytes")], 24)
     return cut.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
