@@ -33,6 +33,13 @@ def _plain(path: str) -> str:
     return re.sub("^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path)
 
 
+def _scheme(spark: SparkSession, path: str) -> str:
+    """The kind of file system a path lies in, the default one if it names none."""
+    named = re.match("([A-Za-z][A-Za-z0-9+.-]*):", path)
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return named[1] if named else default.split(":")[0]
+
+
 def form_files(spark: SparkSession, directory: str) -> dict[str, str]:
     """Table name to path for the forms of a directory: CSV files, and folders of them.
 
@@ -64,8 +71,7 @@ def first_lines(spark: SparkSession, path: str) -> DataFrame:
     its first line, whatever its size. Empty files give no row. Where tasks cannot open
     files by themselves (:data:`OPENED`), Spark's text reader scans them instead.
     """
-    scheme = re.match("([A-Za-z][A-Za-z0-9+.-]*):", path)
-    if scheme and scheme[1] not in OPENED:
+    if _scheme(spark, path) not in OPENED:
         lines = spark.read.text(path).select(
             F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_size").alias("size"),
             F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
