@@ -287,15 +287,15 @@ def test_a_host_of_a_megabyte(spark):
     assert time.perf_counter() - begun < 30
 
 
-@pytest.mark.parametrize("shard_rows,block_queries", [(16_384, 512), (100, 7)])
-def test_top_k(spark, shard_rows, block_queries):
+@pytest.mark.parametrize("shard_rows,task_queries", [(16_384, 512), (100, 7), (30, 3)])
+def test_top_k(spark, shard_rows, task_queries):
     rng = np.random.default_rng(2)
     x = rng.integers(-40, 40, (400, 8))
     x[200:260] = x[100]  # ties
     rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(400, None), (401, [None] * 8), (None, [1] * 8), (402, [1, 2])]
     df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
     got = {}
-    for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 5, shard_rows, block_queries).collect():
+    for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 5, shard_rows, task_queries).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     assert sorted(got) == list(range(0, 400, 20))
     for q, found in got.items():
@@ -304,6 +304,54 @@ def test_top_k(spark, shard_rows, block_queries):
         assert sorted(found) == [(n + 1, k, s[k]) for n, k in enumerate(best)]
 
 
+def clustered(n, dim=16, groups=32, seed=3):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(groups, dim))
+    middle = 4000 * middle / np.sqrt((middle ** 2).sum(axis=1))[:, None]
+    return np.rint(middle[rng.integers(0, groups, n)] + rng.normal(0, 60, (n, dim)))
+
+
+def test_branches_of_clustered_vectors_are_cut():
+    x = clustered(8192)
+    tree = topk.BallTree(np.arange(len(x)), np.arange(len(x)), x)
+    asked = range(0, len(x), 64)
+    for q in asked:
+        ids, scores = tree.search(x[q], q, float("-inf"), 5)
+        s = x @ x[q]
+        best = [j for j in np.lexsort((np.arange(len(x)), -s)) if j != q][:5]
+        assert ids.tolist() == best and scores.tolist() == s[best].tolist()
+    assert tree.opened < 0.2 * len(asked) * len(tree.leaves)
+
+
+def test_cells_that_cannot_reach_the_kth_score_are_not_visited(spark):
+    x = clustered(4000)
+    store = spark.createDataFrame([(k, k, 16, v.tolist()) for k, v in enumerate(x.astype(int))], "at long, vec_id long, dim int, vector array<long>")
+    cells = topk.fit_cells(store, 128)[16]
+    cell, away = cells.place(x)
+    assert len(cells.centres) == 32 and np.bincount(cell).max() < 1000
+    for c in np.unique(cell):
+        cells.radii[c] = away[cell == c].max()
+    queries = x[::100]
+    bounds, scores = cells.bounds(queries), queries @ x.T
+    for c in np.unique(cell):
+        assert (bounds[:, [c]] >= scores[:, cell == c]).all()
+    kth = np.sort(scores, axis=1)[:, -5]
+    assert (bounds >= kth[:, None]).mean() < 0.3
+    assert topk.fit_cells(store, 4000) == {} and topk.fit_cells(store.filter("false"), 1) == {}
+
+
+def test_top_k_with_most_rows_equal_and_many_lengths(spark):
+    x = [[1, 2, 3]] * 300 + [[k % 7, -k, k % 5] for k in range(300)] + [[k] for k in range(40)] + [[]] * 3
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x)], "vec_id long, vector array<int>")
+    got = {}
+    for r in topk.top_k(df, F.col("vec_id") % 60 == 0, 5, 50, 4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(got) == list(range(0, 643, 60))
+    for q, found in got.items():
+        scores = [(-sum(a * b for a, b in zip(x[q], v)), k) for k, v in enumerate(x) if k != q and len(v) == len(x[q])]
+        assert sorted(found) == [(n + 1, k, -s) for n, (s, k) in enumerate(sorted(scores)[:5])]
+
+
 def test_top_k_among_equal_ids(spark, rows):
     df = spark.createDataFrame([(0, [1, 2]), (0, [5, 5]), (1, [3, 4])], "vec_id long, vector array<long>")
     got = topk.top_k(df, F.col("vec_id") % 50 == 0, 5)
