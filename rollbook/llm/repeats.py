@@ -58,17 +58,33 @@ def each_chunk(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> It
         yield w.words_of(data[at[0]: at[-1]], at - at[0], lower)
 
 
+def _packed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """``values[edges[k]: edges[k + 1]]`` as bytes, for each k."""
+    width = values.dtype.itemsize
+    buffers = [None, pa.py_buffer((edges * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))]
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, buffers)
+
+
 def entries(block: int, parts: list[np.ndarray], buckets: int) -> pa.Table:
-    """What a block publishes of its hashes."""
+    """What a block publishes of its hashes: a row for each bucket that one falls into.
+
+    Work and rows are bounded by the block's hashes, however many buckets there are.
+    """
     hashes, counts = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
-    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-    rows: list[tuple] = []
-    for b in np.flatnonzero(np.diff(edges)):
-        h, c = hashes[edges[b]: edges[b + 1]], counts[edges[b]: edges[b + 1]]
-        many = c > 1  # these come first, and only they have a count
-        rows.append((int(b), block, h[many].tobytes() + h[~many].tobytes(), c[many].astype(np.uint32).tobytes()))
-    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 4, _ENTRY.types)], schema=_ENTRY)
+    bucket = (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+    begins = np.concatenate([[True], bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, bool)
+    edges = np.append(np.flatnonzero(begins), len(bucket))
+    row = np.cumsum(begins) - 1
+    # In a row those that repeat in the block come first, and only they have a count.
+    many = counts > 1
+    before = np.concatenate([[0], np.cumsum(many)])
+    counted = before[edges]
+    ahead = before[:-1] - counted[row]
+    place = np.where(many, ahead, np.diff(counted)[row] + np.arange(len(row)) - edges[row] - ahead)
+    shown = np.empty_like(hashes)
+    shown[edges[row] + place] = hashes
+    own = pa.array(np.full(len(edges) - 1, block, np.int32))
+    return pa.Table.from_arrays([pa.array(bucket[edges[:-1]]), own, _packed(shown, edges), _packed(counts[many].astype(np.uint32), counted)], schema=_ENTRY)
 
 
 def _answer(table: pa.Table) -> pa.Table:
