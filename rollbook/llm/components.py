@@ -6,6 +6,22 @@ from pyspark.sql import DataFrame, functions as F
 
 from rollbook import session
 
+#: A node is a hub if it has more than one in this many of all ends of edges.
+HUB_SHARE = 512
+
+
+def _with_least(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
+    """``edges`` with the ``m`` of their ``u`` in ``least`` (u, m, n), where u has ``n`` edges.
+
+    Edges of hubs stay where they are and get it from a broadcast table; as ``edges`` has at
+    most ``ends`` rows, that holds fewer than ``HUB_SHARE`` nodes. Other edges are joined by
+    a shuffle, to which no node brings more than ``ends / HUB_SHARE`` rows.
+    """
+    hub = F.col("n") > ends // HUB_SHARE
+    marked = edges.join(F.broadcast(least.filter(hub).drop("n")), "u", "left")
+    others = marked.filter("m is null").drop("m").join(least.filter(~hub).drop("n"), "u")
+    return marked.filter("m is not null").unionByName(others)
+
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """Smallest node reachable from each node: (node, root); nodes without edges are absent.
@@ -13,18 +29,20 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     ``edges`` has two long columns, ``a`` and ``b``. Each turn links the larger neighbours
     of every node to its smallest one, then the smaller ones; edges become stars after a
     number of turns that grows with the logarithm of the nodes. Only smallest neighbours
-    are aggregated, so a node with very many edges is never collected.
+    are aggregated and edges of hubs are not shuffled by node, so a node with very many
+    edges is never collected.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     edges = session.materialize(edges, "component-edges")
-    last = None
+    last = (edges.count(), None)
     for _ in range(most):
+        ends = 2 * last[0]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both, least, ends).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, least, ends).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = session.materialize(small, "component-edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -157,6 +157,23 @@ def test_count_tree_loses_no_link():
     assert tested < len(sets) * (len(sets) - 1) // 2
 
 
+@pytest.mark.parametrize("buckets", [1, 3, 1000, 12_000_000])
+def test_published_rows_are_bounded_by_hashes(buckets):
+    rng = np.random.default_rng(4)
+    parts = [rng.integers(0, 1 << 64, 400, dtype=np.uint64) for _ in range(3)]
+    parts += [parts[0][:100], parts[0][:7], np.array([0, (1 << 64) - 1, 0], dtype=np.uint64)]
+    want = Counter(np.concatenate(parts).tolist())
+    got, table = {}, repeats.entries(9, parts, buckets)
+    assert table.num_rows <= min(buckets, len(want))
+    assert table.column("bucket").to_pylist() == sorted(set(table.column("bucket").to_pylist()))
+    for r in table.to_pylist():
+        hashes, counts = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.uint32)
+        assert r["block"] == 9 and {(int(h) >> 32) * buckets >> 32 for h in hashes} == {r["bucket"]}
+        got |= dict(zip(hashes.tolist(), [*counts.tolist(), *[1] * (len(hashes) - len(counts))]))
+    assert got == want
+    assert repeats.entries(9, [], buckets).num_rows == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -164,6 +181,23 @@ def test_components(spark):
     assert got == want
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB_SHARE", 6)
+    edges = [(5000, k) for k in range(1000, 1600)] + [(k, k + 1) for k in range(1500, 1900)] + [(1, k) for k in range(6000, 6500)]
+    edges += [(8000 + k, 8001 + k) for k in range(0, 100, 2)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {k: 1000 for k in [*range(1000, 1901), 5000]} | {k: 1 for k in [1, *range(6000, 6500)]}
+    assert got == want | {8000 + k: 8000 + k - k % 2 for k in range(100)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_least_neighbours_of_hubs_and_others(spark):
+    edges = spark.createDataFrame([(1, k) for k in range(10, 1010)] + [(k, k + 1) for k in range(2000, 2050)], "u long, v long")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    got = components._with_least(edges, least, edges.count())
+    assert sorted(map(tuple, got.select("u", "v", "m").collect())) == sorted([(1, k, 10) for k in range(10, 1010)] + [(k, k + 1, k + 1) for k in range(2000, 2050)])
+
+
 def expected_counts(text):
     text = text or ""
     x, symbols = WORD.findall(text), len(re.findall("[#*$%&|<>]", text))
