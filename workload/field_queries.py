@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from rollbook.operators import joins, quality
+from rollbook.functions import dates
+from rollbook.operators import checks, joins, quality
 from workload.base import Tables, query, rounded
 from workload.panel_queries import USER_PANEL, user_panel
 from workload.views import ORDER_DAYS, STUDENTS, order_days, students
@@ -340,3 +341,30 @@ def teacher_completeness(t: Tables) -> DataFrame:
                              F.col("s_nationkey").alias("school")), "l_suppkey",
     )
     return rounded(quality.completeness(rows, "flag", ["school", "month"]), "p_complete")
+
+
+@query("checked_panel", f"""WITH {PEOPLE_SQL},
+facts AS (
+  SELECT orders.*, c_nationkey, c_acctbal, dob, CAST(month(o_orderdate) AS INTEGER) AS m
+  FROM orders JOIN customer ON o_custkey = customer.c_custkey JOIN people ON people.c_custkey = o_custkey)
+SELECT unnest(['rows', 'months', 'no_id', 'ages', 'no_price', 'no_priority', 'schools', 'students']) AS check,
+       unnest([count(*), count(*) FILTER (WHERE m NOT BETWEEN 4 AND 11), count(*) FILTER (WHERE c_acctbal < 0),
+               count(*) FILTER (WHERE dob > DATE '2016-06-30' - INTERVAL 18 YEAR OR dob < DATE '2016-06-30' - INTERVAL 70 YEAR),
+               count(*) FILTER (WHERE o_totalprice <= 100000), count(*) FILTER (WHERE o_orderpriority >= '4'),
+               count(DISTINCT c_nationkey),
+               count(DISTINCT o_custkey) FILTER (WHERE o_custkey < 100000)]) AS n
+FROM facts""")
+def checked_panel(t: Tables) -> DataFrame:
+    """Row checks and distinct numbers of a joined table, counted while it is stored."""
+    born = people(t).select(F.col("c_custkey").alias("o_custkey"), "dob")
+    person = t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_acctbal")
+    facts = t("orders").join(person, "o_custkey").join(born, "o_custkey").withColumn("month", F.month("o_orderdate"))
+    age = dates.age_years(F.col("dob"), F.to_date(F.lit("2016-06-30")))
+    faults = {
+        "months": checks.outside(F.col("month"), 4, 11), "no_id": F.col("c_acctbal") < 0,
+        "ages": checks.outside(age, 18, 70), "no_price": F.col("o_totalprice") <= 100000,
+        "no_priority": F.col("o_orderpriority") >= "4",
+    }
+    numbers = {"schools": (F.col("c_nationkey"), 100), "students": (F.col("o_custkey"), 100_000)}
+    stored, counts = checks.store_checked(facts, "checked-panel", faults, numbers)
+    return checks.as_table(stored, counts)
