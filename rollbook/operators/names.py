@@ -5,11 +5,15 @@ other. Counts of letters (in 32 groups by code point) and the length of a name a
 names are dealt into cells of a tree over these points, and each cell is a tree of its own.
 A box around the points of a node gives a lower bound for all its names, so leaves are
 visited from the lowest bound up until it exceeds the distance of the best name found.
+
+Counts say little about short names, which are many to a count: those are searched by the
+beginnings and endings they share (:mod:`rollbook.operators.name_trie`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,11 @@ CELL_NAMES = 8192
 MOST_CELLS = 4096
 SAMPLE_NAMES = 8
 TEAM_NAMES = 512
+#: Letters of a name (average) up to which beginnings are searched, and then names of a cell
+#: and names asked for by a task: at least, and at most.
+SHORT = 24
+SHORT_CELL_NAMES = 1 << 20
+RANGE_NAMES = (1024, 1 << 14)
 TASK_NAMES = 1024
 MOST_TASKS = 10_000
 #: (asked, held) pairs and letters worked on at once, and letters that fit a machine word.
@@ -274,7 +283,10 @@ def cells_of(points: np.ndarray, nodes: list[tuple[int, int, int, int]]) -> np.n
     return -1 - at
 
 
-def nearest(asked: DataFrame, offered: DataFrame, most: int | None = None, cell_names: int = CELL_NAMES, team_names: int = TEAM_NAMES) -> DataFrame:
+def nearest(
+    asked: DataFrame, offered: DataFrame, most: int | None = None, cell_names: int | None = None,
+    team_names: int = TEAM_NAMES, short: int = SHORT,
+) -> DataFrame:
     """The nearest offered name of every asked name in the same group: (g, n, d, m, p).
 
     ``asked`` has distinct (g, n), ``offered`` distinct (g, m) with a payload p, all without
@@ -284,10 +296,14 @@ def nearest(asked: DataFrame, offered: DataFrame, most: int | None = None, cell_
     Every asked name first meets the cell that its own letters belong to; the distance found
     there excludes most other cells by their boxes, and it is sent to the rest only. There
     are at most ``MOST_CELLS`` cells, so their boxes are a small table. A cell that many names
-    ask is copied to several tasks.
+    ask is copied to several tasks. Where offered names have at most ``short`` letters on
+    average, cells are searched by beginnings, and are larger.
     """
     offered = session.materialize(offered.select("g", "m", "p"), "names-offered")
-    cells = min(MOST_CELLS, max(1, -(-offered.count() // cell_names)))
+    count, letters = offered.agg(F.count("*"), F.avg(F.length("m"))).first()
+    by_beginnings = (letters or 0) <= short
+    cell_names = cell_names or (SHORT_CELL_NAMES if by_beginnings else CELL_NAMES)
+    cells = min(MOST_CELLS, max(1, -(-count // cell_names)))
     nodes: list = []
     if cells > 1:
         sample = offered.select("m").orderBy(F.xxhash64("m"), "m").limit(SAMPLE_NAMES * cells).collect()
@@ -307,7 +323,8 @@ def nearest(asked: DataFrame, offered: DataFrame, most: int | None = None, cell_
     limit = FAR if most is None else most
     held = session.materialize(placed(offered, "m"), "names-cells") if nodes else placed(offered, "m")
     home = session.materialize(placed(asked.select("g", "n"), "n").withColumn("limit", F.lit(limit)), "names-asked")
-    found = _searched(home, held, team_names)
+    searched = _searched_in_order if by_beginnings else partial(_searched, team_names=team_names)
+    found = searched(home, held)
     if not nodes:
         return found
     found = session.materialize(found, "names-home")
@@ -329,7 +346,7 @@ def nearest(asked: DataFrame, offered: DataFrame, most: int | None = None, cell_
     known = home.join(found.select("g", "n", "d"), ["g", "n"], "left").withColumn("limit", F.coalesce("d", "limit")).drop("d")
     elsewhere = known.select("g", "n", "limit", "cell").mapInArrow(send, f"{_fields(known.select('g', 'n', 'limit'))}, cell int")
     elsewhere = session.materialize(elsewhere, "names-elsewhere")
-    both = found.unionByName(_searched(elsewhere, held, team_names))
+    both = found.unionByName(searched(elsewhere, held))
     return both.groupBy("g", "n").agg(F.min(F.struct("d", "m", "p")).alias("b")).select("g", "n", "b.*")
 
 
@@ -355,9 +372,34 @@ def _searched(asked: DataFrame, held: DataFrame, team_names: int) -> DataFrame:
     dealt = asked.join(teams, ["g", "cell"]).withColumn("team", team).drop("teams")
     copied = held.join(teams, ["g", "cell"]).withColumn("team", F.explode(F.sequence(F.lit(0), F.col("teams") - 1))).drop("teams")
 
+    keys = ["g", "cell", "team"]
+    copied, dealt = copied.repartition(tasks, *keys), dealt.repartition(tasks, *keys)
+    return _visited(dealt, copied, keys, NameTree)
+
+
+def _searched_in_order(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """Names of one length that are next in order meet their cell together."""
+    from rollbook.operators.name_trie import NameTrie  # which needs this module
+
+    least, most = RANGE_NAMES
+    count = asked.count()
+    size = min(most, max(least, count // (4 * asked.sparkSession.sparkContext.defaultParallelism)))
+    tasks = min(MOST_TASKS, max(1, -(-count // size)))
+    keys = ["g", "cell", "team"]
+    by_length = asked.withColumn("letters", F.length("n"))
+    dealt = session.materialize(
+        by_length.repartitionByRange(tasks, "letters", "g", "cell", "n").withColumn("team", F.spark_partition_id()), "names-dealt"
+    )
+    teams = dealt.select("g", "cell", (F.col("team") + 0).alias("team")).distinct()
+    copied = held.join(teams, ["g", "cell"])
+    copied, dealt = copied.repartition(tasks, *keys), dealt.repartition(tasks, *keys)
+    return _visited(dealt, copied, keys, NameTrie)
+
+
+def _visited(dealt: DataFrame, copied: DataFrame, keys: list[str], index: type) -> DataFrame:
     def visit(names: pa.Table, wanted: pa.Table) -> pa.Table:
         if len(names) and len(wanted):
-            tree = NameTree(names.column("m").to_pylist())
+            tree = index(names.column("m").to_pylist())
             far, which = tree.nearest(wanted.column("n").to_pylist(), wanted.column("limit").to_numpy())
         else:
             far, which = np.zeros(0, np.int64), np.full(len(wanted), -1)
@@ -365,7 +407,5 @@ def _searched(asked: DataFrame, held: DataFrame, team_names: int) -> DataFrame:
         one, other = wanted.select(["g", "n"]).take(pa.array(ok)), names.select(["m", "p"]).take(pa.array(which[ok]))
         return pa.table({"g": one.column("g"), "n": one.column("n"), "d": pa.array(far[ok], pa.int32()), "m": other.column("m"), "p": other.column("p")})
 
-    kinds = {f.name: f.dataType.simpleString() for f in held.schema}
-    keys = ["g", "cell", "team"]
-    copied, dealt = copied.repartition(tasks, *keys), dealt.repartition(tasks, *keys)
+    kinds = {f.name: f.dataType.simpleString() for f in copied.schema}
     return copied.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(visit, f"g {kinds['g']}, n string, d int, m string, p {kinds['p']}")
