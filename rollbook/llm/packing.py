@@ -43,6 +43,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, words: b
     step = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.give_back()
         encode = tokens.encoder(tokenizer, words).encode
         for batch in batches:
             out: list[tuple] = []
@@ -210,6 +211,7 @@ def pack(items: DataFrame, capacity: int, block_pieces: int = BLOCK_PIECES, isla
     blocks = max(1, -(-rest.count() // block_pieces))
 
     def begin(pdf: pd.DataFrame) -> pd.DataFrame:
+        tokens.forget()
         pdf = pdf.sort_values(["length", "at"], ascending=[False, True])
         lengths = pdf["length"].to_numpy(np.int64)
         sizes = lengths.tolist()
@@ -218,6 +220,7 @@ def pack(items: DataFrame, capacity: int, block_pieces: int = BLOCK_PIECES, isla
         return pd.DataFrame([row])
 
     def island(frames: Iterator[pd.DataFrame], turn: int) -> Iterator[pd.DataFrame]:
+        tokens.forget()
         for pdf in frames:
             found = []
             for row in pdf.itertuples():
@@ -261,7 +264,11 @@ def pack(items: DataFrame, capacity: int, block_pieces: int = BLOCK_PIECES, isla
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
-    """Pieces of ``docs`` with the sequence and offset where each lies."""
+    """Pieces of ``docs`` with the sequence and offset where each lies.
+
+    Workers get texts in small batches and drop their encoder when pieces are packed.
+    """
     cut = pieces(docs, tokenizer, end_id, capacity).withColumn("at", F.monotonically_increasing_id())
-    cut = session.materialize(cut, "pack-pieces")
+    with session.small_batches(docs.sparkSession):
+        cut = session.materialize(cut, "pack-pieces")
     return cut.join(pack(cut.select("at", "length"), capacity), "at").drop("at")

@@ -7,6 +7,8 @@ of the whole text; a text with white space that makes a cut doubtful is encoded
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 
@@ -135,3 +137,19 @@ def encoder(path: str, words: bool) -> Encoder:
     if key not in _encoders:
         _encoders[key] = Encoder(path, words)
     return _encoders[key]
+
+
+def forget() -> None:
+    """Drop this worker process's encoders, which it would keep while it serves other steps."""
+    if _encoders:
+        _encoders.clear()
+        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory of this worker process to the system where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass

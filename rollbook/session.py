@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
@@ -85,29 +86,66 @@ DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 _lock = threading.Lock()
-_dropping: list[str | None] = []  # the setting before, once for each writer at work
+_held: dict[str, list[str | None]] = {}  # the settings before, once for each step at work
 _stores: list[tuple[str, str | None]] = []  # paths and tables written by this process
 
 
 @contextmanager
-def dropped_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Within this, a finished query's shuffle files are removed; the setting is put back
-    when the last of several threads leaves.
-    """
+def held(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Within this, a setting has ``value``; it is put back when the last of several threads leaves."""
     with _lock:
-        _dropping.append(_dropping[0] if _dropping else spark.conf.get(DROP_SHUFFLES, None))
-        spark.conf.set(DROP_SHUFFLES, "true")
+        befores = _held.setdefault(key, [])
+        befores.append(befores[0] if befores else spark.conf.get(key, None))
+        spark.conf.set(key, value)
     try:
         yield
     finally:
         with _lock:
-            before = _dropping.pop()
-            if _dropping:
+            before = befores.pop()
+            if befores:
                 pass
             elif before is None:
-                spark.conf.unset(DROP_SHUFFLES)
+                spark.conf.unset(key)
             else:
-                spark.conf.set(DROP_SHUFFLES, before)
+                spark.conf.set(key, before)
+
+
+def dropped_shuffles(spark: SparkSession) -> AbstractContextManager[None]:
+    """Within this, a finished query's shuffle files are removed."""
+    return held(spark, DROP_SHUFFLES, "true")
+
+
+#: Bytes of an Arrow batch, which the executor and its Python worker hold several times.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> AbstractContextManager[None]:
+    """Within this, rows go to Python workers in batches of about ``BATCH_BYTES`` at most, a
+    longer row alone. Without it a batch of texts may be a whole partition.
+    """
+    return held(spark, _BATCH, str(BATCH_BYTES))
+
+
+#: Seconds after which the driver's heap is collected again.
+COLLECT_EVERY = 4.0
+_collected = time.monotonic()
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the driver's JVM collect what finished queries left, at most every few seconds.
+
+    Loops of many small queries leave plans and events faster than the heap is collected, so
+    it grows to its limit though little of it lives; a full collection gives memory back.
+    """
+    global _collected
+    with _lock:
+        now = time.monotonic()
+        due = now - _collected >= COLLECT_EVERY
+        if due:
+            _collected = now
+    if due:
+        spark.sparkContext._jvm.System.gc()
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -120,6 +158,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     _stores.append((path, None))
     with dropped_shuffles(df.sparkSession):
         df.write.parquet(path)
+    collect_garbage(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

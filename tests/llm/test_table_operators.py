@@ -182,6 +182,22 @@ def test_packing(docs, corpus, empty):
     assert packing.pack_documents(empty, name, 1, 256).count() == 0
 
 
+def test_packing_reads_texts_in_small_batches(docs, spark, monkeypatch):
+    found, store = {}, session.materialize
+    monkeypatch.setattr(session, "materialize", lambda df, label: found.setdefault(label, spark.conf.get(session._BATCH, None)) and None or store(df, label))
+    before = spark.conf.get(session._BATCH, None)
+    packing.pack_documents(docs, queries.tokenizer("word_bpe_49k.json"), 1, 256)
+    assert found["pack-pieces"] == str(session.BATCH_BYTES) and found["pack-islands"] == before
+    assert spark.conf.get(session._BATCH, None) == before
+
+
+def test_a_worker_drops_its_encoders():
+    name = queries.tokenizer("word_bpe_49k.json")
+    ids = tokens.encoder(name, True).encode("Two words")
+    tokens.forget()
+    assert not tokens._encoders and tokens.encoder(name, True).encode("Two words") == ids
+
+
 def test_least_sequences():
     rng = np.random.default_rng(4)
     for _ in range(200):

@@ -6,6 +6,7 @@ import datetime as dt
 import os
 import threading
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,34 @@ def test_rows_without_an_id_are_one_entity(spark, nameless_second):
     both = panel.two_phase_calendars(first, second.unionByName(extra)).filter("combined_number is null")
     got = {(r.phase, r.repeated): r.n for r in both.groupBy("phase", "repeated").agg(F.count("*").alias("n")).collect()}
     assert got == ({} if not nameless_second else {(1, True): 7, (2, nameless_second > 1): nameless_second})
+
+
+def test_texts_go_to_workers_in_small_batches(spark):
+    texts = spark.range(64, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    before = spark.conf.get(session._BATCH, None)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["bytes"])
+
+    with session.small_batches(spark):
+        with session.small_batches(spark):
+            pass
+        most = texts.mapInArrow(sizes, "bytes long").agg(F.max("bytes")).first()[0]
+    assert 1 << 20 <= most <= 2 * session.BATCH_BYTES
+    assert spark.conf.get(session._BATCH, None) == before and not session._held[session._BATCH]
+
+
+def test_the_drivers_heap_is_collected_between_stored_tables(spark, monkeypatch):
+    def collections():
+        beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    monkeypatch.setattr(session, "COLLECT_EVERY", 0.0)
+    before = collections()
+    session.materialize(spark.range(3), "three")
+    after = collections()
+    assert after > before
+    monkeypatch.setattr(session, "COLLECT_EVERY", 1e9)
+    session.materialize(spark.range(3), "three")
+    assert collections() == after
