@@ -128,12 +128,12 @@ def small_batches(spark: SparkSession) -> AbstractContextManager[None]:
 
 
 #: Seconds after which the driver's heap is collected again.
-COLLECT_EVERY = 4.0
+COLLECT_EVERY = 1.0
 _collected = time.monotonic()
 
 
 def collect_garbage(spark: SparkSession) -> None:
-    """Let the driver's JVM collect what finished queries left, at most every few seconds.
+    """Let the driver's JVM collect what finished queries left, at most every second or so.
 
     Loops of many small queries leave plans and events faster than the heap is collected, so
     it grows to its limit though little of it lives; a full collection gives memory back.
