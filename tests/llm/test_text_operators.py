@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -191,6 +192,47 @@ def test_components_with_hubs(spark, monkeypatch):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def least_reachable(edges):
+    root = {node: node for edge in edges for node in edge}
+    for a, b in edges:
+        low, high = sorted((root[a], root[b]))
+        root |= {node: low for node, r in root.items() if r == high}
+    return root
+
+
+def test_a_tasks_edges_become_stars():
+    rng = random.Random(3)
+    edges = [(rng.randrange(300) * 7, rng.randrange(300) * 7) for _ in range(170)] + [(k + 1, k) for k in range(5000, 5400)] + [(9000, k) for k in range(8000, 8100)]
+    a, b = np.array(edges).T
+    node, root = components.stars(a, b)
+    want = least_reachable(edges)
+    assert dict(zip(node.tolist(), root.tolist())) == {k: r for k, r in want.items() if r != k} and len(node) == len(set(node.tolist()))
+    assert not len(components.stars(a[:0], b[:0])[0])
+
+
+def test_components_of_a_small_table_are_stored_once(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(components.session, "materialize", lambda df, label, f=components.session.materialize: (stored.append(label), f(df, label))[1])
+    edges = [(k, k + 1) for k in range(400)] + [(900, k) for k in range(800, 850)] + [(None, 5), (4, 4)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(401)} | {k: 800 for k in [*range(800, 850), 900]}
+    assert stored == ["component-edges"]
+
+
+def test_components_over_several_chunks(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(components.session, "materialize", lambda df, label, f=components.session.materialize: (stored.append(label), f(df, label))[1])
+    monkeypatch.setattr(components, "CHUNK", 5)
+    monkeypatch.setattr(components, "HUB_SHARE", 6)
+    rng = random.Random(4)
+    edges = [(rng.randrange(300) * 3, rng.randrange(300) * 3) for _ in range(160)] + [(k, k + 1) for k in range(2000, 2150)] + [(5000, k) for k in range(2100, 2300)]
+    edges = [(a, b) for a, b in edges if a != b] * 2
+    with components.session.held(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "5"):
+        got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted(least_reachable(edges).items())
+    assert "component-half" in stored
+
+
 def test_least_neighbours_of_hubs_and_others(spark):
     edges = spark.createDataFrame([(1, k) for k in range(10, 1010)] + [(k, k + 1) for k in range(2000, 2050)], "u long, v long")
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
