@@ -1,205 +1,423 @@
 """Nearest names under edit distance, by beginnings and endings that names share.
 
-Names are cut into a beginning and a short ending. Beginnings form a tree; each of its nodes
-holds one column of the table of distances, for many asked names of one length at once, so a
-letter that many names begin with is worked on once. Endings are few, and their columns are
-computed once for all names. The distance to a name is the least sum of its two columns over
-all places where the asked name can be cut. Every name is measured, or left out with a whole
-branch because no name of it can be near enough.
+Names are cut into a beginning and an ending, of which there are far fewer than names. The
+distance to a name is the least sum, over all places where the asked name can be cut, of the
+distances of its two parts to the beginning and to the ending. Beginnings are a tree, and so are
+endings read backwards.
+
+Near names are found by walks of the trees for distances 0, 1, 2 and so on, each leaving the
+branches that hold nothing near enough: endings within half of the distance tell which beginnings
+can matter, those tell which endings can, and only names that join one of each are compared.
+Where no name is near, nearly all branches are walked; then all parts are measured, whatever the
+distance, and names compared in the order of the least distance that their parts allow.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from rollbook.operators.names import FAR, Names, edit_distances
+from rollbook.operators.names import WORD, Names, Words, edit_distances, letters_of
 
-#: Different endings at most; bytes of all columns at once; names asked for at once at most.
-TAILS = 2048
-COLUMNS = 1 << 28
-BLOCK = 4096
-#: Neighbours in order, to each side, that give the first limits; names whose distances are
-#: compared at once; nodes of the branches that are tried for leaving out.
+#: Different endings at most, and names by which the place of the cut is chosen.
+TAILS = 1 << 17
+SAMPLED = 1 << 16
+#: Distances below this are found by walks.
 SEEDS = 4
-COMPARED = 128
+#: Names walked for at once at most, fewer where more parts than these would be kept for them;
+#: (asked name, node) places of a walk at once, and so few of them that all are followed.
+BLOCK = 4096
+KEPT = 1 << 19
+PLACES = 1 << 17
 BRANCH = 8
-#: Letters of an asked and a held name together that fit columns of bytes.
-BYTE_LETTERS = 120
+#: Bytes of all parts' least distances for names measured at once, and of columns worked on.
+MEASURED = 1 << 25
+COLUMNS = 1 << 20
+#: Names compared at once, and (asked name, part) entries of the table by which they are found.
+COMPARED = 1 << 18
+TABLE = 1 << 21
+
+
+class Beginnings:
+    """A tree of distinct texts in order. Nodes are numbered level by level, children in a row."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        codes, begins = letters_of(texts), np.cumsum(sizes) - sizes
+        node, some = np.zeros(len(sizes), np.int64), np.flatnonzero(sizes)
+        letters, parents, size = [np.zeros(1, np.int32)], [np.zeros(1, np.int64)], 1
+        while len(some):
+            letter, above = codes[begins[some] + len(letters) - 1], node[some]
+            new = np.concatenate([[True], (letter[1:] != letter[:-1]) | (above[1:] != above[:-1])])
+            node[some] = size - 1 + np.cumsum(new)
+            letters.append(letter[new])
+            parents.append(above[new])
+            size += int(new.sum())
+            some = some[sizes[some] >= len(letters)]
+        self.letter = np.concatenate(letters)
+        self.alphabet, ids = np.unique(self.letter[1:], return_inverse=True)
+        self.ids = np.concatenate([[0], ids])
+        self.children = np.bincount(np.concatenate(parents)[1:], minlength=size)
+        self.child = 1 + np.cumsum(self.children) - self.children
+        #: The text that ends at a node, or -1.
+        self.text = np.full(size, -1)
+        self.text[node] = np.arange(len(sizes))
+
+    def near(
+        self, codes: np.ndarray, limits: np.ndarray, beyond: int, most: int
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Texts near enough to the first letters of asked names: (asked name, text, distances).
+
+        ``codes`` has a column of letters for each name, ``limits`` a row for each number of
+        first letters: how far a text may be from them, or -1. So have the distances; those
+        over all limits may be given as more than they are, up to ``beyond``. None if texts are
+        more than ``most``.
+        """
+        m, width, kind = len(codes), max(0, int(limits.max())), limits.dtype
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((m + 1, 0), kind))]
+        kept = 0
+        # Distances only grow on the way to a text, where the limit of more letters holds.
+        ahead = np.maximum.accumulate(limits[::-1])[::-1]
+        q = np.flatnonzero(ahead[0] >= 0)
+        # Row k of a column is for k - width first letters more than the depth of the node.
+        steps = np.arange(-width, width + 2)
+        column = np.where((steps < 0) | (steps > width), beyond, steps).astype(kind)
+        todo = [(0, q, np.zeros(len(q), np.int64), np.repeat(column[:, None], len(q), axis=1), False)]
+        while todo:
+            depth, q, node, column, seen = todo.pop()
+            low, high, shift = max(0, depth - width), min(m, depth + width), width - depth
+            if not seen:
+                text = self.text.take(node)
+                ends = np.flatnonzero(text >= 0)
+                ends = ends[_inside(column.take(ends, axis=1), limits, q.take(ends), low, high, shift)]
+                if len(ends):
+                    whole = np.full((m + 1, len(ends)), beyond, kind)
+                    whole[low: high + 1] = column[low + shift: high + 1 + shift].take(ends, axis=1)
+                    found.append((q.take(ends), text.take(ends), whole))
+                    kept += len(ends)
+                    if kept > most:
+                        return None
+                inner = np.flatnonzero(self.children.take(node))
+                if len(inner) > BRANCH:
+                    inner = inner[_inside(column.take(inner, axis=1), ahead, q.take(inner), low, high, shift)]
+                q, node, column = q.take(inner), node.take(inner), column.take(inner, axis=1)
+            count = self.children.take(node)
+            size = int(count.sum())
+            if size > PLACES and len(q) > 1:
+                half = len(q) // 2
+                todo += [(depth, q[part], node[part], column[:, part], True) for part in (slice(half, None), slice(half))]
+            elif size and depth < m + width:
+                parent = np.repeat(np.arange(len(q)), count)
+                below = np.arange(size) + np.repeat(self.child.take(node) - np.cumsum(count) + count, count)
+                q = q.take(parent)
+                column = _column(depth + 1, column, parent, q, self.letter.take(below), codes, width, beyond)
+                todo.append((depth + 1, q, below, column, False))
+        q, text, whole = (np.concatenate(x, axis=-1) for x in zip(*found))
+        order = np.argsort(q, kind="stable")
+        return q.take(order), text.take(order), whole.take(order, axis=1)
+
+    def columns(self, codes: np.ndarray, kind: type) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Distances of all texts to the first letters of asked names: (depth, texts, distances).
+
+        Distances are given less the depth and the number of first letters: letters of one side
+        alone then cost nothing, and a running minimum counts them.
+        """
+        m, n = codes.shape
+        gain = 1 + (codes[:, None] == self.alphabet[:, None]).astype(kind)
+        step = max(1, COLUMNS // ((m + 1) * n * np.dtype(kind).itemsize))
+        todo = [(0, 0, 1, np.zeros((m + 1, 1, n), kind), None)]
+        while todo:
+            depth, begin, end, column, parent = todo.pop()
+            if depth:
+                above, column = column, np.empty((m + 1, end - begin, n), kind)
+                before = column[0] = above[0].take(parent, axis=0)
+                letter = self.ids[begin: end]
+                for i in range(1, m + 1):
+                    row, beside = column[i], above[i].take(parent, axis=0)
+                    np.subtract(before, gain[i - 1].take(letter, axis=0), row)
+                    np.minimum(row, beside, row)
+                    np.minimum(row, column[i - 1], row)
+                    before = beside
+            text = self.text[begin: end]
+            ends = np.flatnonzero(text >= 0)
+            if len(ends):
+                yield depth, text[ends], column if len(ends) == len(text) else column.take(ends, axis=1)
+            parent = np.repeat(np.arange(end - begin), self.children[begin: end])
+            first = int(self.child[begin])
+            for a in range(0, len(parent), step):
+                b = min(a + step, len(parent))
+                todo.append((depth + 1, first + a, first + b, column, parent[a: b]))
+
+
+def _inside(column: np.ndarray, limits: np.ndarray, q: np.ndarray, low: int, high: int, shift: int) -> np.ndarray:
+    ok = np.zeros(len(q), dtype=bool)
+    for i in range(low, high + 1):
+        ok |= column[i + shift] <= limits[i].take(q)
+    return ok
+
+
+def _column(
+    depth: int, above: np.ndarray, parent: np.ndarray, q: np.ndarray, letter: np.ndarray, codes: np.ndarray, width: int, beyond: int
+) -> np.ndarray:
+    """Distances one letter further, from those of the nodes above."""
+    out = np.full((len(above), len(parent)), beyond, above.dtype)
+    low, high = max(0, depth - width), min(len(codes), depth + width)
+    before = above[low + width - depth].take(parent)
+    for i in range(low, high + 1):
+        k = i + width - depth
+        row, beside = out[k], above[k + 1].take(parent)
+        np.add(beside, 1, row)
+        if i:
+            before += codes[i - 1].take(q) != letter
+            np.minimum(row, before, row)
+        if k:
+            np.minimum(row, out[k - 1] + 1, row)
+        np.minimum(row, beyond, row)
+        before = beside
+    return out
+
+
+class Parts:
+    """Distinct beginnings, or endings read backwards, and the names of each."""
+
+    def __init__(self, texts: pa.Array, backward: bool) -> None:
+        coded = texts.dictionary_encode()
+        parts = pc.utf8_reverse(coded.dictionary) if backward else coded.dictionary
+        order = pc.array_sort_indices(parts)
+        place = np.empty(len(parts), np.int32)
+        place[order.to_numpy()] = np.arange(len(parts))
+        self.tree = Beginnings(parts.take(order))
+        #: The part of each name, names by part, and where those of a part begin.
+        self.of = place.take(coded.indices.to_numpy())
+        self.names = np.argsort(self.of, kind="stable").astype(np.int32)
+        self.count = np.bincount(self.of, minlength=len(parts))
+        self.begin = np.cumsum(self.count) - self.count
+        #: The other part of those names.
+        self.joined = np.zeros(0, np.int32)
 
 
 class NameTrie:
-    """Names by their beginnings."""
-
-    def __init__(self, names: list[str]) -> None:
-        self.held = Names(names)
-        self.sorted = sorted(range(len(names)), key=names.__getitem__)
-        self.rank = np.empty(len(names), np.int64)
-        self.rank[self.sorted] = np.arange(len(names))
-        self.backward = sorted(range(len(names)), key=lambda k: names[k][::-1])
-        self.keys = [names[k] for k in self.sorted], [names[k][::-1] for k in self.backward]
-        self.longest = int(self.held.sizes.max(initial=0))
-        tail = 0
-        while tail < self.longest and len({x[-tail - 1:] for x in names}) <= TAILS:
-            tail += 1
-        heads = [x[: max(0, len(x) - tail)] for x in names]
-        ends = [x[len(h):] for x, h in zip(names, heads)]
-        self.tails = sorted(set(ends))
-        number = {x: k for k, x in enumerate(self.tails)}
-        self.order = sorted(range(len(names)), key=heads.__getitem__)
-        self.tail_of = [number[ends[k]] for k in self.order]
-        # Nodes in the order of a walk: depth, last letter, and names of exactly that beginning.
-        self.depth, self.letter, self.first, self.last = [0], [""], [0], [0]
-        path, before = [0], ""
-        for k, i in enumerate(self.order):
-            head = heads[i]
-            if head != before:
-                same = next((c for c, (a, b) in enumerate(zip(head, before)) if a != b), min(len(head), len(before)))
-                del path[same + 1:]
-                for x in head[same:]:
-                    path.append(len(self.depth))
-                    self.depth.append(len(path) - 1)
-                    self.letter.append(x)
-                    self.first.append(k)
-                    self.last.append(k)
-                before = head
-            self.last[path[-1]] = k + 1
-        self.deepest = max(self.depth)
-        # The node after all nodes below.
-        self.end = [len(self.depth)] * len(self.depth)
-        open_: list[int] = []
-        for k, d in enumerate(self.depth):
-            while open_ and self.depth[open_[-1]] >= d:
-                self.end[open_.pop()] = k
-            open_.append(k)
-        #: Distances computed so far.
+    """Names by their beginnings and endings."""
+
+    def __init__(self, names: list[str] | pa.Array) -> None:
+        self.names = names = pa.array(names, pa.string()) if isinstance(names, list) else names
+        #: Names compared so far.
         self.measured = 0
+        if not len(names):
+            return
+        sizes = pc.min_max(pc.utf8_length(names)).as_py()
+        self.shortest, self.longest = sizes["min"], sizes["max"]
+        self.parts = tuple(Parts(texts, backward) for texts, backward in zip(_cut(names, self._place()), (False, True)))
+        for mine, other in (self.parts, self.parts[::-1]):
+            mine.joined = other.of.take(mine.names)
+        for part in self.parts:
+            part.of = None
+        self.alphabet = np.union1d(self.parts[0].tree.alphabet, self.parts[1].tree.alphabet)
+        self.lookup = np.zeros(1 + int(self.alphabet.max(initial=0)), np.int32)
+        self.lookup[self.alphabet] = np.arange(len(self.alphabet))
+
+    def _place(self) -> int:
+        """Letters of a beginning, or less than 0 those of an ending, that make the fewest parts."""
+        sample = self.names.take(pa.array(np.arange(0, len(self.names), -(-len(self.names) // SAMPLED))))
+        best = (len(sample.unique()) + 1, self.longest)
+        for sign in (1, -1):
+            for letters in range(1, self.longest):
+                heads, tails = (len(x.unique()) for x in _cut(sample, sign * letters))
+                if tails <= TAILS:
+                    best = min(best, (heads + tails, sign * letters))
+                # The part of so many letters only becomes more diverse.
+                if (heads if sign > 0 else tails) > best[0]:
+                    break
+        return best[1]
 
-    def nearest(self, asked: list[str], limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, asked: list[str] | pa.Array, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distance and number of each asked name's nearest, -1 where none is within its limit.
 
         Among equally near names the first in order is taken.
         """
         far, which = limits.astype(np.int64), np.full(len(asked), -1)
-        if not self.order or not asked:
+        if not len(self.names) or not len(asked):
             return far, which
-        self._neighbours(asked, far, which)
-        sizes = np.array([len(x) for x in asked])
-        # Names of one length are asked together, those of one narrow limit in order, as that
-        # leaves branches out, and others by limit, as that needs fewer rows of a column.
-        near = np.where(far * 6 <= sizes, far, FAR)
-        order = np.array(sorted(range(len(asked)), key=lambda k: (sizes[k], near[k], far[k], asked[k])))
-        changes = np.flatnonzero((np.diff(sizes[order]) != 0) | (np.diff(near[order]) != 0)) + 1
-        for some in np.split(order, changes):
-            size = int(sizes[some[0]])
-            kind = np.int8 if size + self.longest <= BYTE_LETTERS else np.int32
-            row = (self.deepest + len(self.tails) + COMPARED) * (size + 2) * np.dtype(kind).itemsize
-            block = min(BLOCK, max(1, COLUMNS // row))
-            for part in np.array_split(some, -(-len(some) // block)):
-                f, w = far[part], which[part]
-                self._block([asked[k] for k in part], size, kind, f, w)
-                far[part], which[part] = f, w
+        asked = pa.array(asked, pa.string()) if isinstance(asked, list) else asked
+        sizes = pc.utf8_length(asked).to_numpy(zero_copy_only=False)
+        order = np.argsort(sizes, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+            m, f, w = int(sizes[some[0]]), far[some], which[some]
+            self._of_one_length(asked.take(pa.array(some)), m, f, w)
+            far[some], which[some] = f, w
         return far, which
 
-    def _neighbours(self, asked: list[str], far: np.ndarray, which: np.ndarray) -> None:
-        """Limits from names next in order, read forwards and backwards."""
-        for keys, places, turn in zip(self.keys, (self.sorted, self.backward), (1, -1)):
-            places, q, name = np.array(places), [], []
-            at = np.array([bisect_left(keys, x[::turn]) for x in asked])
-            for step in range(-SEEDS, SEEDS):
-                ok = (at + step >= 0) & (at + step < len(places))
-                q.append(np.flatnonzero(ok))
-                name.append(places[at[ok] + step])
-            q, name = np.concatenate(q), np.concatenate(name)
-            self._keep(edit_distances(Names(asked), self.held, q, name), q, name, far, which)
-
-    def _keep(self, d: np.ndarray, q: np.ndarray, name: np.ndarray, far: np.ndarray, which: np.ndarray) -> None:
-        first = np.lexsort((self.rank[name], d, q))
-        first = first[np.concatenate([[True], q[first[1:]] != q[first[:-1]]])[: len(first)]]
-        q, name, d = q[first], name[first], d[first]
-        before = np.where(which[q] >= 0, self.rank[which[q]], len(self.rank))
-        better = (d < far[q]) | ((d == far[q]) & (self.rank[name] < before))
-        far[q[better]], which[q[better]] = d[better], name[better]
-
-    def _block(self, asked: list[str], m: int, kind: type, far: np.ndarray, which: np.ndarray) -> None:
-        n = len(asked)
-        codes = Names(asked).codes.reshape(n, m).T
-        same = {x: (codes == ord(x)).astype(kind) for x in {*self.letter[1:], *"".join(self.tails)}}
-        gain = {x: of + kind(1) for x, of in same.items()}
-        # Cells further than the widest limit from the diagonal are in no table that matters.
-        reach = int(min(far.max(), m + self.longest))
-        ends = self._ends(same, m, n, kind)
-        # Row i of a column holds the distance of the first i letters, less i and the column's
-        # depth: letters of one name alone then cost nothing, and a running minimum counts them.
-        columns = np.zeros((self.deepest + 1, m + 1, n), kind)
-        rows = [list(column) for column in columns]
-        outside = np.iinfo(kind).max if kind is np.int8 else 1 << 28
-        work = np.empty((m + 1, n), kind)
-        diagonal = np.arange(m + 1, dtype=kind)[:, None]
-        if reach < m:
-            columns[0, reach + 1] = outside
-        found, held, depths = np.empty((COMPARED, n), kind), [], []
-        node, minimum = 0, np.minimum
-        while node < len(self.depth):
-            d, end = self.depth[node], self.end[node]
-            low, high = max(0, d - reach), min(m, d + reach)
-            if low > m:
-                node = end
-                continue
-            column = columns[d]
-            inner = column[low: high + 1]
-            if d:
-                above, begin = columns[d - 1], max(low, 1)
-                inner[:1] = above[low: low + 1]
-                if begin <= high:
-                    part = work[begin: high + 1]
-                    np.subtract(above[begin - 1: high], gain[self.letter[node]][begin - 1: high], part)
-                    minimum(above[begin: high + 1], part, column[begin: high + 1])
-                row = rows[d]
-                for i in range(low + 1, high + 1):
-                    minimum(row[i], row[i - 1], row[i])
-                if high < m:
-                    row[high + 1].fill(outside)
-            if end - node > BRANCH and (inner + diagonal[low: high + 1]).min() > reach - d:
-                node = end
-                continue
-            for k in range(self.first[node], self.last[node]):
-                part = work[low: high + 1]
-                np.add(inner, ends[self.tail_of[k]][low: high + 1], part)
-                minimum.reduce(part, 0, None, found[len(held)])
-                held.append(self.order[k])
-                depths.append(d)
-                if len(held) == COMPARED:
-                    self._compare(found, held, depths, far, which)
-                    held, depths = [], []
-            node += 1
-        self._compare(found, held, depths, far, which)
-
-    def _ends(self, same: dict, m: int, n: int, kind: type) -> np.ndarray:
-        """For each ending the distances of it to the asked names from letter i on, plus i."""
-        out = np.empty((len(self.tails), m + 1, n), kind)
-        columns, before = [np.full((m + 1, n), m, kind)], ""
-        for tail, k in sorted((x[::-1], k) for k, x in enumerate(self.tails)):
-            same_letters = next((c for c, (a, b) in enumerate(zip(tail, before)) if a != b), min(len(tail), len(before)))
-            del columns[same_letters + 1:]
-            for x in tail[same_letters:]:
-                column = columns[-1] + kind(1)
-                np.minimum(column[:-1], columns[-1][1:] - same[x], column[:-1])
-                rows = list(column)
-                for i in range(m - 1, -1, -1):
-                    np.minimum(rows[i], rows[i + 1], rows[i])
-                columns.append(column)
-            out[k], before = columns[-1], tail
-        return out
-
-    def _compare(self, found: np.ndarray, held: list[int], depths: list[int], far: np.ndarray, which: np.ndarray) -> None:
-        self.measured += len(held) * len(far)
-        if held:
-            found = found[: len(held)]
-            found += np.array(depths, found.dtype)[:, None]
-            least = found.min(axis=0)
-            q = np.flatnonzero(least <= far)
-            k, j = np.nonzero(found[:, q] == least[q])
-            if len(k):
-                self._keep(least[q[j]].astype(np.int64), q[j], np.array(held)[k], far, which)
+    def _of_one_length(self, asked: pa.Array, m: int, far: np.ndarray, which: np.ndarray) -> None:
+        k, block = max(0, self.shortest - m, m - self.longest), BLOCK
+        rest = np.flatnonzero(far >= k)
+        while k < SEEDS and len(rest):
+            begin = 0
+            while begin < len(rest):
+                part = rest[begin: begin + block]
+                found = self._within(Asked(self, asked.take(pa.array(part)), m), k)
+                if found is None:
+                    block = -(-len(part) // 2)
+                    continue
+                q, name, d = found
+                far[part[q]], which[part[q]] = d, name
+                begin += block
+            rest = rest[(which[rest] < 0) & (far[rest] > k)]
+            k += 1
+        kind = next(x for x in (np.int8, np.int16, np.int32) if 3 * (m + self.longest) < np.iinfo(x).max)
+        row = 4 * sum(len(x.count) for x in self.parts) * np.dtype(kind).itemsize
+        block = min(BLOCK, max(1, MEASURED // row))
+        for begin in range(0, len(rest), block):
+            part = rest[begin: begin + block]
+            q, name, d = self._beyond(Asked(self, asked.take(pa.array(part)), m), k, far[part], kind)
+            far[part[q]], which[part[q]] = d, name
+
+    def _within(self, asked: Asked, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Nearest names within ``k`` letters; None if names are asked for too many at once."""
+        n, kept = len(asked.names.sizes), KEPT if len(asked.names.sizes) > 1 else len(self.names)
+        shape = asked.codes[0].shape
+        half = np.full((shape[0] + 1, n), k // 2, np.int8)
+        # The smaller tree is walked twice.
+        one = int(len(self.parts[0].tree.letter) > len(self.parts[1].tree.letter))
+        found: list = [None, None]
+        limits = half
+        for side in (one, 1 - one, one):
+            found[side] = self.parts[side].tree.near(asked.codes[side], limits, k + 1, kept)
+            if found[side] is None:
+                return None
+            # A part further than its limit is at least so much further, or matters no more.
+            least = _least(found[side], half + np.int8(1) if limits is half else np.full_like(half, k + 1))
+            limits = (np.int8(k) - least)[::-1]
+        names = [np.bincount(x[0], part.count[x[1]], n) for x, part in zip(found, self.parts)]
+        fewer = np.where(names[0] <= names[1], 0, 1)
+        fewer[(names[0] == 0) | (names[1] == 0)] = 2
+        hits: list = []
+        for side in (0, 1):
+            q, part, _ = found[side]
+            other = found[1 - side]
+
+            def inside(own: np.ndarray) -> np.ndarray:
+                out = np.zeros((len(own), len(self.parts[1 - side].count)), dtype=bool)
+                some = slice(*np.searchsorted(other[0], [own[0], own[-1] + 1]))
+                at = np.searchsorted(own, other[0][some])
+                good = own[at] == other[0][some]
+                out[at[good], other[1][some][good]] = True
+                return out
+
+            chosen = fewer[q] == side
+            self._join(side, q[chosen], part[chosen], inside, np.full(n, k), asked, hits)
+        return self._first(hits)
+
+    def _beyond(self, asked: Asked, k: int, limits: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nearest names, not nearer than ``k`` letters, within limits."""
+        m, n = asked.codes[0].shape
+        steps = np.arange(m + 1, dtype=kind)[:, None]
+        least = []
+        for part, codes in zip(self.parts, asked.codes):
+            out = np.full((m + 1, n), np.iinfo(kind).max, kind)
+            for depth, _, column in part.tree.columns(codes, kind):
+                np.minimum(out, column.min(axis=1) + steps + kind(depth), out)
+            least.append(out)
+        # The least distance of a name with a part, and one from which it is among few to be tried:
+        # one of the two parts of a name has at most half of what its distance exceeds the least.
+        lowest, tried = [], []
+        for side, (part, codes) in enumerate(zip(self.parts, asked.codes)):
+            own, other = least[side], least[1 - side][::-1]
+            bound, turn = np.empty((len(part.count), n), kind), np.empty((len(part.count), n), kind)
+            once, twice = (other + steps)[:, None], (other - own + 2 * steps + kind(side))[:, None]
+            for depth, text, column in part.tree.columns(codes, kind):
+                bound[text] = (column + once).min(axis=0) + kind(depth)
+                column = column + column
+                column += twice
+                turn[text] = column.min(axis=0) + kind(2 * depth)
+            lowest.append(np.ascontiguousarray(bound.T))
+            tried.append(np.ascontiguousarray(turn.T))
+        k = np.maximum(lowest[0].min(axis=1).astype(np.int64), k)
+        rest, done = np.flatnonzero(k <= limits), [self._first([])]
+        while len(rest):
+            hits: list = []
+            for side in (0, 1):
+                q, part = np.divmod(np.flatnonzero(tried[side][rest] <= k[rest][:, None]), tried[side].shape[1])
+                self._join(side, rest[q], part, lambda own: lowest[1 - side][own] <= k[own][:, None], k, asked, hits)
+            done.append(self._first(hits))
+            rest = np.setdiff1d(rest, done[-1][0])
+            k[rest] += 1
+            rest = rest[k[rest] <= limits[rest]]
+        return tuple(np.concatenate(x) for x in zip(*done))
+
+    def _join(
+        self, side: int, q: np.ndarray, part: np.ndarray, inside: Callable[[np.ndarray], np.ndarray],
+        most: np.ndarray, asked: Asked, hits: list,
+    ) -> None:
+        """Names of parts (by asked name) whose other part is inside, too, if near enough."""
+        mine, others = self.parts[side], len(self.parts[1 - side].count)
+        begins = np.flatnonzero(np.diff(q, prepend=-1))
+        ends = np.append(begins[1:], len(q))[: len(begins)]
+        count = mine.count[part]
+        total, at = np.concatenate([[0], np.cumsum(count)]), 0
+        while at < len(begins):
+            last = int(np.searchsorted(total[ends], total[begins[at]] + COMPARED, side="right"))
+            last = min(max(at + 1, last), at + max(1, TABLE // others))
+            some = slice(begins[at], ends[last - 1])
+            row = np.repeat(np.arange(last - at) * others, ends[at: last] - begins[at: last])
+            each = np.repeat(np.arange(some.start, some.stop), count[some])
+            name = np.arange(len(each)) + np.repeat(mine.begin[part[some]] - total[some] + total[some.start], count[some])
+            good = inside(q[begins[at: last]]).ravel().take(mine.joined.take(name) + row.take(each - some.start))
+            good = np.flatnonzero(good)
+            self.measured += len(each)
+            own, name = q[each[good]], mine.names[name[good]]
+            d = asked.distances(own, name)
+            near = d <= most[own]
+            hits.append((own[near], name[near], d[near]))
+            at = last
+
+    def _first(self, hits: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The nearest name of each asked one, the first in order of those equally near."""
+        q, name, d = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*hits)) if hits else (np.zeros(0, np.int64),) * 3
+        if not len(q):
+            return q, name, d
+        least = np.full(int(q.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, q, d)
+        good = d == least[q]
+        q, d, (held, name) = q[good], d[good], np.unique(name[good], return_inverse=True)
+        rank = np.empty(len(held), np.int64)
+        rank[pc.array_sort_indices(self.names.take(pa.array(held))).to_numpy()] = np.arange(len(held))
+        order = np.lexsort((rank[name], q))
+        order = order[np.diff(q[order], prepend=-1) > 0]
+        return q[order], held[name[order]], d[order]
+
+
+class Asked:
+    """Some asked names of one length, and their distances to names."""
+
+    def __init__(self, trie: NameTrie, texts: pa.Array, size: int) -> None:
+        self.trie, self.names = trie, Names(texts)
+        codes = self.names.codes.reshape(len(texts), size).T
+        #: A column of letters for each name, read forwards and backwards.
+        self.codes = np.ascontiguousarray(codes), np.ascontiguousarray(codes[::-1])
+        self.words = Words(self.names, trie.alphabet, np.zeros(0, np.int32), self.names) if 0 < size <= WORD else None
+
+    def distances(self, q: np.ndarray, name: np.ndarray) -> np.ndarray:
+        some, name = np.unique(name, return_inverse=True)
+        held = Names(self.trie.names.take(pa.array(some)))
+        if self.words is None:
+            return edit_distances(self.names, held, q, name)
+        self.words.held, self.words.ids = held, self.trie.lookup[held.codes]
+        return self.words.distances(q, name)
+
+
+def _cut(names: pa.Array, place: int) -> tuple[pa.Array, pa.Array]:
+    """Beginnings and endings of names cut after so many letters, or before the last ones."""
+    return pc.utf8_slice_codeunits(names, 0, place), pc.utf8_slice_codeunits(names, place)
+
+
+def _least(found: tuple[np.ndarray, np.ndarray, np.ndarray], most: np.ndarray) -> np.ndarray:
+    """The least distance of a part to the first letters of each asked name, at most ``most``."""
+    q, _, distances = found
+    out = most.copy()
+    if len(q):
+        begins = np.flatnonzero(np.diff(q, prepend=-1))
+        out[:, q[begins]] = np.minimum(out[:, q[begins]], np.minimum.reduceat(distances, begins, axis=1))
+    return out

@@ -7,7 +7,8 @@ A box around the points of a node gives a lower bound for all its names, so leav
 visited from the lowest bound up until it exceeds the distance of the best name found.
 
 Counts say little about short names, which are many to a count: those are searched by the
-beginnings and endings they share (:mod:`rollbook.operators.name_trie`).
+beginnings and endings they share (:mod:`rollbook.operators.name_trie`), in cells so large that
+there is rarely more than one.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from rollbook import session
@@ -31,10 +33,10 @@ MOST_CELLS = 4096
 SAMPLE_NAMES = 8
 TEAM_NAMES = 512
 #: Letters of a name (average) up to which beginnings are searched, and then names of a cell
-#: and names asked for by a task: at least, and at most.
+#: and names of a cell asked for at once: at least, and at most.
 SHORT = 24
-SHORT_CELL_NAMES = 1 << 20
-RANGE_NAMES = (1024, 1 << 14)
+SHORT_CELL_NAMES = 1 << 21
+SHORT_TEAM_NAMES = (1024, 1 << 16)
 TASK_NAMES = 1024
 MOST_TASKS = 10_000
 #: (asked, held) pairs and letters worked on at once, and letters that fit a machine word.
@@ -46,14 +48,27 @@ LETTERS = 1 << 21
 FAR = np.iinfo(np.int32).max
 
 
+def letters_of(texts: pa.Array) -> np.ndarray:
+    """Code points of texts, one after the other."""
+    if not len(texts):
+        return np.zeros(0, np.int32)
+    texts = texts.cast(pa.string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[[texts.offset, texts.offset + len(texts)]].tolist()
+    letters = bytes(memoryview(texts.buffers()[2] or b"")[slice(*offsets)])
+    return np.frombuffer(letters.decode().encode("utf-32-le"), np.int32)
+
+
 class Names:
     """Letters of some names, one after the other."""
 
-    def __init__(self, names: list[str]) -> None:
+    def __init__(self, names: list[str] | pa.Array) -> None:
         self.names = names
-        self.sizes = np.array([len(x) for x in names], np.int32)
+        if isinstance(names, pa.Array):
+            self.sizes, self.codes = pc.utf8_length(names).to_numpy(zero_copy_only=False), letters_of(names)
+        else:
+            self.sizes = np.array([len(x) for x in names], np.int32)
+            self.codes = np.frombuffer("".join(names).encode("utf-32-le"), np.int32)
         self.begins = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])[:-1]
-        self.codes = np.frombuffer("".join(names).encode("utf-32-le"), np.int32)
 
     def points(self) -> np.ndarray:
         """Letters of every group, and the length."""
@@ -111,13 +126,15 @@ class Words:
     def __init__(self, asked: Names, alphabet: np.ndarray, ids: np.ndarray, held: Names) -> None:
         self.asked, self.ids, self.held = asked, ids, held
         self.letters = len(alphabet)
-        self.where = np.zeros((len(asked.names), self.letters), np.uint64)
+        #: Words of as many bits as the asked names have letters.
+        self.kind = np.uint32 if asked.sizes.max(initial=0) <= 32 else np.uint64
+        self.where = np.zeros((len(asked.names), self.letters), self.kind)
         for k in range(int(asked.sizes.max(initial=0))):
             own = np.flatnonzero(asked.sizes > k)
             code = asked.codes[asked.begins[own] + k]
             at = np.minimum(np.searchsorted(alphabet, code), max(0, self.letters - 1))
             same = alphabet[at] == code if self.letters else np.zeros(len(own), dtype=bool)
-            self.where[own[same], at[same]] |= np.uint64(1 << k)
+            self.where[own[same], at[same]] |= self.kind(1 << k)
 
     def distances(self, q: np.ndarray, name: np.ndarray) -> np.ndarray:
         out = np.empty(len(q), np.int32)
@@ -131,10 +148,11 @@ class Words:
         order = np.argsort(-self.held.sizes[name], kind="stable")
         q, name = q[order], name[order]
         size, begin, row = self.held.sizes[name], self.held.begins[name], q * self.letters
-        score = self.asked.sizes[q].astype(np.int64)
-        last = (score - 1).astype(np.uint64)
-        up, down = np.full(len(q), np.uint64((1 << WORD) - 1)), np.zeros(len(q), np.uint64)
-        one, where = np.uint64(1), self.where.ravel()
+        signed = np.int32 if self.kind is np.uint32 else np.int64
+        score = self.asked.sizes[q].astype(signed)
+        last = (score - 1).astype(self.kind)
+        up, down = np.full(len(q), np.iinfo(self.kind).max, self.kind), np.zeros(len(q), self.kind)
+        one, where = self.kind(1), self.where.ravel()
         for k in range(int(size.max(initial=0))):
             n = int(np.searchsorted(-size, -k, side="left"))
             u, d = up[:n], down[:n]
@@ -142,7 +160,7 @@ class Words:
             vertical = same | d
             across = (((same & u) + u) ^ u) | same
             more, less = d | ~(across | u), u & across
-            score[:n] += ((more >> last[:n]) & one).astype(np.int64) - ((less >> last[:n]) & one).astype(np.int64)
+            score[:n] += ((more >> last[:n]) & one).view(signed) - ((less >> last[:n]) & one).view(signed)
             more, less = (more << one) | one, less << one
             up[:n], down[:n] = less | ~(vertical | more), more & vertical
         out = np.empty(len(q), np.int32)
@@ -170,7 +188,8 @@ def split(points: np.ndarray) -> int:
 class NameTree:
     """Names by leaves, each a box around their points. Leaves halve at medians."""
 
-    def __init__(self, names: list[str]) -> None:
+    def __init__(self, names: list[str] | pa.Array) -> None:
+        names = names.to_pylist() if isinstance(names, pa.Array) else names
         self.rank = np.argsort(np.argsort(np.array(names, dtype=object), kind="stable"))
         self.held = Names(names)
         self.points = self.held.points()
@@ -192,11 +211,12 @@ class NameTree:
         #: Leaves looked into and distances computed so far.
         self.visited = self.measured = 0
 
-    def nearest(self, asked: list[str], limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, asked: list[str] | pa.Array, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distance and number of each asked name's nearest, -1 where none is within its limit.
 
         Among equally near names the first in order is taken.
         """
+        asked = asked.to_pylist() if isinstance(asked, pa.Array) else asked
         far, which = limits.astype(np.int64), np.full(len(asked), -1)
         block = max(1, PAIRS // len(self.order))
         sizes = np.array([len(x) for x in asked])
@@ -300,8 +320,11 @@ def nearest(
     average, cells are searched by beginnings, and are larger.
     """
     offered = session.materialize(offered.select("g", "m", "p"), "names-offered")
-    count, letters = offered.agg(F.count("*"), F.avg(F.length("m"))).first()
-    by_beginnings = (letters or 0) <= short
+    groups = offered.groupBy("g").agg(F.count("*").alias("names"), F.sum(F.length("m")).alias("letters"))
+    count, largest, letters = groups.agg(F.sum("names"), F.max("names"), F.sum("letters")).first()
+    by_beginnings = (letters or 0) <= short * (count or 0)
+    # A cell of beginnings and endings is searched as fast whether it holds few or many names.
+    count = (largest if by_beginnings else count) or 0
     cell_names = cell_names or (SHORT_CELL_NAMES if by_beginnings else CELL_NAMES)
     cells = min(MOST_CELLS, max(1, -(-count // cell_names)))
     nodes: list = []
@@ -323,7 +346,7 @@ def nearest(
     limit = FAR if most is None else most
     held = session.materialize(placed(offered, "m"), "names-cells") if nodes else placed(offered, "m")
     home = session.materialize(placed(asked.select("g", "n"), "n").withColumn("limit", F.lit(limit)), "names-asked")
-    searched = _searched_in_order if by_beginnings else partial(_searched, team_names=team_names)
+    searched = _searched_by_beginnings if by_beginnings else partial(_searched, team_names=team_names)
     found = searched(home, held)
     if not nodes:
         return found
@@ -365,42 +388,35 @@ def _point_columns(held: DataFrame) -> DataFrame:
 
 def _searched(asked: DataFrame, held: DataFrame, team_names: int) -> DataFrame:
     """Each cell's names meet the names sent to it, so many of them to a task."""
-    teams = asked.groupBy("g", "cell").agg(F.ceil(F.count("*") / team_names).cast("int").alias("teams"))
     # The work follows the names asked for, not their bytes, so the number of tasks is given.
     tasks = min(MOST_TASKS, max(1, -(-asked.count() // TASK_NAMES)))
-    team = F.pmod(F.xxhash64("n"), F.col("teams")).cast("int")
-    dealt = asked.join(teams, ["g", "cell"]).withColumn("team", team).drop("teams")
-    copied = held.join(teams, ["g", "cell"]).withColumn("team", F.explode(F.sequence(F.lit(0), F.col("teams") - 1))).drop("teams")
+    return _visited(asked, held, team_names, tasks, NameTree)
 
-    keys = ["g", "cell", "team"]
-    copied, dealt = copied.repartition(tasks, *keys), dealt.repartition(tasks, *keys)
-    return _visited(dealt, copied, keys, NameTree)
 
-
-def _searched_in_order(asked: DataFrame, held: DataFrame) -> DataFrame:
-    """Names of one length that are next in order meet their cell together."""
+def _searched_by_beginnings(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """The same, for the index of beginnings, which is larger and takes longer to build."""
     from rollbook.operators.name_trie import NameTrie  # which needs this module
 
-    least, most = RANGE_NAMES
+    least, most = SHORT_TEAM_NAMES
     count = asked.count()
-    size = min(most, max(least, count // (4 * asked.sparkSession.sparkContext.defaultParallelism)))
-    tasks = min(MOST_TASKS, max(1, -(-count // size)))
+    team_names = min(most, max(least, count // (4 * asked.sparkSession.sparkContext.defaultParallelism)))
+    # More tasks than teams, as teams are dealt to them by a hash.
+    tasks = min(MOST_TASKS, max(1, -(-4 * count // team_names)))
+    return _visited(asked, held, team_names, tasks, NameTrie)
+
+
+def _visited(asked: DataFrame, held: DataFrame, team_names: int, tasks: int, index: type) -> DataFrame:
+    teams = asked.groupBy("g", "cell").agg(F.ceil(F.count("*") / team_names).cast("int").alias("teams"))
+    team = F.pmod(F.xxhash64("n"), F.col("teams")).cast("int")
+    dealt = asked.join(teams, ["g", "cell"]).withColumn("team", team).drop("teams")
+    copied = held.join(teams, ["g", "cell"]).withColumn("team", F.explode(F.sequence(F.lit(0), F.col("teams") - 1))).drop("teams")
     keys = ["g", "cell", "team"]
-    by_length = asked.withColumn("letters", F.length("n"))
-    dealt = session.materialize(
-        by_length.repartitionByRange(tasks, "letters", "g", "cell", "n").withColumn("team", F.spark_partition_id()), "names-dealt"
-    )
-    teams = dealt.select("g", "cell", (F.col("team") + 0).alias("team")).distinct()
-    copied = held.join(teams, ["g", "cell"])
     copied, dealt = copied.repartition(tasks, *keys), dealt.repartition(tasks, *keys)
-    return _visited(dealt, copied, keys, NameTrie)
-
 
-def _visited(dealt: DataFrame, copied: DataFrame, keys: list[str], index: type) -> DataFrame:
     def visit(names: pa.Table, wanted: pa.Table) -> pa.Table:
         if len(names) and len(wanted):
-            tree = index(names.column("m").to_pylist())
-            far, which = tree.nearest(wanted.column("n").to_pylist(), wanted.column("limit").to_numpy())
+            tree = index(names.column("m").combine_chunks())
+            far, which = tree.nearest(wanted.column("n").combine_chunks(), wanted.column("limit").to_numpy())
         else:
             far, which = np.zeros(0, np.int64), np.full(len(wanted), -1)
         ok = np.flatnonzero(which >= 0)
