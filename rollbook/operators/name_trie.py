@@ -210,7 +210,8 @@ class NameTrie:
             return
         sizes = pc.min_max(pc.utf8_length(names)).as_py()
         self.shortest, self.longest = sizes["min"], sizes["max"]
-        self.parts = tuple(Parts(texts, backward) for texts, backward in zip(_cut(names, self._place()), (False, True)))
+        place = self._place()
+        self.parts = Parts(_cut(names, place)[0], False), Parts(_cut(names, place)[1], True)
         for mine, other in (self.parts, self.parts[::-1]):
             mine.joined = other.of.take(mine.names)
         for part in self.parts:

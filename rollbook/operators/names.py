@@ -409,7 +409,9 @@ def _visited(asked: DataFrame, held: DataFrame, team_names: int, tasks: int, ind
     teams = asked.groupBy("g", "cell").agg(F.ceil(F.count("*") / team_names).cast("int").alias("teams"))
     team = F.pmod(F.xxhash64("n"), F.col("teams")).cast("int")
     dealt = asked.join(teams, ["g", "cell"]).withColumn("team", team).drop("teams")
-    copied = held.join(teams, ["g", "cell"]).withColumn("team", F.explode(F.sequence(F.lit(0), F.col("teams") - 1))).drop("teams")
+    # Groups may be few: without this a task or two would write the copies of all names.
+    spread = held.join(teams, ["g", "cell"]).repartition(min(tasks, 4 * asked.sparkSession.sparkContext.defaultParallelism), "m")
+    copied = spread.withColumn("team", F.explode(F.sequence(F.lit(0), F.col("teams") - 1))).drop("teams")
     keys = ["g", "cell", "team"]
     copied, dealt = copied.repartition(tasks, *keys), dealt.repartition(tasks, *keys)
 
